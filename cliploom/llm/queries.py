@@ -4,18 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_trie, chat, media, rans, url_filter
+from . import bpe_trie, chat, html_extract, media, minhash, mixing, quality, rans, substring, url_filter
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -24,14 +40,21 @@ def op8_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_segments(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict:
-    ops = (op2_audio_features, op4_bpe_trie, op7_url_filter, op8_rans_ids, op10_chat_masks)
+    ops = (
+        op1_quality_rules, op2_audio_features, op3_minhash_dedup, op4_bpe_trie, op5_html_text,
+        op6_mix_sources, op7_url_filter, op8_rans_ids, op9_substring_dedup, op10_chat_masks,
+    )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mix_sources": mixing.oracle()}
