@@ -121,9 +121,9 @@ def leaderboard(votes: DataFrame, criterion: str | None = None) -> DataFrame:
 
 def thin(h: DataFrame, most: int = 200, by: tuple[str, ...] = ("arena", "criterion", "model")) -> DataFrame:
     """At most about ``most`` points of each history, by stride, the last one kept."""
-    n = F.max("step").over(Window.partitionBy(*by))
-    stride = F.greatest(F.lit(1), F.ceil(n / most))
-    return h.filter(((F.col("step") - 1) % stride == 0) | (F.col("step") == n))
+    h = h.withColumn("_n", F.max("step").over(Window.partitionBy(*by)))
+    stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
+    return h.filter(((F.col("step") - 1) % stride == 0) | (F.col("step") == F.col("_n"))).drop("_n")
 
 
 def combined_history(h: DataFrame) -> DataFrame:

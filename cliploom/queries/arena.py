@@ -1,0 +1,107 @@
+"""Votes, ratings and agreement."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import arena
+from .base import query
+
+
+@query("w12_ratings", "votes")
+def w12(spark, sf_dir, v):
+    return arena.ratings(v)
+
+
+@query("w13_combined_history", "votes")
+def w13(spark, sf_dir, v):
+    return arena.combined_history(arena.thin(arena.history(v)))
+
+
+@query("w18_influence", "votes")
+def w18(spark, sf_dir, v):
+    return arena.influence(v, "username")
+
+
+@query("w19_agreement", "votes")
+def w19(spark, sf_dir, v):
+    return arena.agreement(v)
+
+
+@query("w19_gamma", "votes", """SELECT round(avg(s), 6) AS gamma, count(*) AS pairs FROM (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s FROM (SELECT model_a AS m, avg(duration_ms) AS x, count(*) AS y FROM votes GROUP BY model_a) a, (SELECT model_a AS m, avg(duration_ms) AS x, count(*) AS y FROM votes GROUP BY model_a) b WHERE a.m < b.m) WHERE s <> 0""")
+def w19b(spark, sf_dir, v):
+    one = lambda e: v.groupBy(F.col("model_a").alias("model")).agg(e.alias("rating"))
+    return arena.gamma(one(F.avg("duration_ms")), one(F.count("*"))).withColumn("gamma", F.round("gamma", 6))
+
+
+@query("a23_arena_counts", "votes", "SELECT arena, count(*) AS n_votes, count(DISTINCT match_id) AS n_matches, count(DISTINCT username) AS n_users FROM votes GROUP BY arena")
+def a23(spark, sf_dir, v):
+    return arena.counts(v)
+
+
+@query("a23_item_counts", "votes", "SELECT arena, input_id, count(DISTINCT match_id) AS n_matches FROM votes GROUP BY ALL")
+def a23b(spark, sf_dir, v):
+    return arena.item_counts(v)
+
+
+@query("a23_win_rates", "votes", """SELECT arena, model, count(*) AS n, sum(win)::BIGINT AS wins, sum(tie)::BIGINT AS ties, round(100.0::DOUBLE * sum(win) / count(*), 1) AS win_rate FROM (
+  SELECT arena, model_a AS model, (winner IN ('a', 'a_slightly'))::BIGINT AS win, (winner = 'tie')::BIGINT AS tie FROM votes WHERE winner <> 'skip'
+  UNION ALL SELECT arena, model_b, (winner IN ('b', 'b_slightly'))::BIGINT, (winner = 'tie')::BIGINT FROM votes WHERE winner <> 'skip') GROUP BY arena, model""")
+def a23c(spark, sf_dir, v):
+    return arena.win_rates(v)
+
+
+@query("a23_leaderboard", "votes")
+def a23d(spark, sf_dir, v):
+    return arena.leaderboard(v)
+
+
+@query("a24_mean_rating", "votes", "SELECT arena, round(1500 + 400 * log10(p / (1 - p)), 5) AS rating FROM (SELECT arena, avg(1 / (1 + pow(10.0::DOUBLE, (1500 - (1000 + duration_ms)) / 400.0::DOUBLE))) AS p FROM votes GROUP BY arena)")
+def a24(spark, sf_dir, v):
+    return v.groupBy("arena").agg(F.round(arena.mean_rating(F.col("duration_ms") + 1000.0), 5).alias("rating"))
+
+
+@query("a25_match_page", "votes", "SELECT match_id, max(created_at) AS newest, count(*) AS n FROM votes WHERE arena = 'a1' GROUP BY match_id ORDER BY newest DESC, match_id LIMIT 20 OFFSET 40")
+def a25(spark, sf_dir, v):
+    return arena.match_page(v, "a1", 20, 40).select("match_id", F.col("at").alias("newest"), F.size("votes").cast("long").alias("n"))
+
+
+@query("a28_vote_timing", "votes", "SELECT username, median(f)::DOUBLE AS first_ms, median(t)::DOUBLE AS total_ms, count(*) AS n_matches FROM (SELECT username, match_id, min_by(duration_ms, id) AS f, sum(duration_ms) AS t FROM votes GROUP BY username, match_id) GROUP BY username")
+def a28(spark, sf_dir, v):
+    return arena.timing(v, "username")
+
+
+@query("a29_item_evaluations", "votes", "SELECT input_id, count(*) AS n FROM (SELECT DISTINCT input_id, least(model_a, model_b), greatest(model_a, model_b), criterion, username FROM votes) GROUP BY input_id")
+def a29(spark, sf_dir, v):
+    return arena.item_evaluations(v)
+
+
+@query("f33_vote_filters", "votes", "SELECT id FROM votes WHERE input_id IN ('i0', 'i3', 'i6', 'i9', 'i12', 'i15', 'i18') AND criterion = 'c1' AND username <> 'u2'")
+def f33(spark, sf_dir, v):
+    n = F.substring("input_id", 2, 9).cast("int")
+    lab = v.select("input_id").distinct().withColumn("labels", F.array(F.when(n % 3 == 0, "x").otherwise("y")))
+    return arena.filtered(v, lab, ["x"], criteria=["c1"], without_users=["u2"]).select("id")
+
+
+@query("f36_visible_arenas", "votes", "SELECT DISTINCT arena AS name FROM votes WHERE arena IN ('a0', 'a1')")
+def f36(spark, sf_dir, v):
+    a = v.select(F.col("arena").alias("name")).distinct().select("name", (F.col("name") == "a0").alias("published"), F.concat(F.lit("owner_"), "name").alias("owner"))
+    return arena.visible(a, "owner_a1").select("name")
+
+
+@query("m09_information_gain", "votes", """SELECT id, round(2 * (b0 - 1 / (1 / b0 + 1 / v)), 9) AS gain FROM (SELECT id, pow(200 / 173.7178::DOUBLE, 2) + 0.0036::DOUBLE AS b0, 1 / (g * g * greatest(e * (1 - e), 1e-12)) AS v FROM (SELECT id, g, 1 / (1 + exp(-g * (duration_ms % 300) / 173.7178::DOUBLE)) AS e FROM (SELECT *, 1 / sqrt(1 + 3 * pow(200 / 173.7178::DOUBLE, 2) / pow(pi(), 2)) AS g FROM votes)))""")
+def m09(spark, sf_dir, v):
+    x = (F.col("duration_ms") % 300).cast("double")
+    g = arena.information_gain(1500 + x, F.lit(200.0), F.lit(0.06), F.lit(1500.0), F.lit(200.0), F.lit(0.06))
+    return v.select("id", F.round(g, 9).alias("gain"))
+
+
+@query("m09_next_matches", "votes")
+def m09b(spark, sf_dir, v):
+    return arena.next_matches(arena.ratings(v, ("arena",)).filter("arena = 'a0'"), 3)
+
+
+@query("d10_insert_votes", "votes", "SELECT match_id, criterion, min(id) AS id FROM votes WHERE id >= 5000 GROUP BY ALL HAVING count(*) FILTER (id < 5000) = 0 UNION ALL SELECT match_id, criterion, id FROM votes WHERE id < 5000 AND match_id <> 'm7'")
+def d10(spark, sf_dir, v):
+    old, new = v.filter("id < 5000"), v.filter("id >= 5000")
+    return arena.delete_match(arena.insert_votes(old, new), "m7").select("match_id", "criterion", "id")
