@@ -63,6 +63,34 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Splitter:
+    """Words of a text as the tokenizer sees them; BPE never joins across words."""
+
+    def __init__(self, special: dict[str, int]):
+        self.special = special
+        self.special_re = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+    def __call__(self, text: str | None) -> list[str]:
+        """Words after normalizing; special tokens whole."""
+        if not text:
+            return []
+        if not self.special_re or "<" not in text or not self.special_re.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.special_re.finditer(text):
+            out += [*self._plain(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self._plain(text[at:])
+
+    def _plain(self, part: str) -> list[str]:
+        if part.isascii():
+            return _ASCII.findall(part.lower())
+        low = unicodedata.normalize("NFC", part)
+        # one character at a time where str.lower() would look at its neighbours
+        low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
+        return (_LATIN if not _BEYOND.search(low) else _ANY).findall(low)
+
+
 class TrieBPE:
     """Encoder and decoder for a byte-level BPE vocabulary with a word-end suffix.
 
@@ -77,8 +105,7 @@ class TrieBPE:
         self.suffix = model["end_of_word_suffix"] or ""
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of = {i: t.encode() for t, i in (model["vocab"] | added).items()}
-        self.special = added
-        self.special_re = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.special, self.split = added, Splitter(added)
         self.ids = {s: i for t, i in model["vocab"].items() if (s := self._symbols_of_token(t)) is not None}
         self.rank: dict[tuple[str, str], int] = {}
         for k, m in enumerate(model["merges"]):
@@ -218,26 +245,6 @@ class TrieBPE:
             before = s
         return out
 
-    def split(self, text: str | None) -> list[str]:
-        """A text's words after normalizing, special tokens whole; BPE never joins across words."""
-        if not text:
-            return []
-        if not self.special_re or "<" not in text or not self.special_re.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.special_re.finditer(text):
-            out += [*self._plain(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + self._plain(text[at:])
-
-    def _plain(self, part: str) -> list[str]:
-        if part.isascii():
-            return _ASCII.findall(part.lower())
-        low = unicodedata.normalize("NFC", part)
-        # one character at a time where str.lower() would look at its neighbours
-        low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
-        return (_LATIN if not _BEYOND.search(low) else _ANY).findall(low)
-
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, packed as little-endian unsigned 32-bit integers."""
         symbols = {}
@@ -282,13 +289,19 @@ class WordCache:
             yield b"".join(map(get, words))
 
 
+@functools.lru_cache(2)
+def trie_cache(path: str) -> WordCache:
+    """One cache for each worker process: tasks that follow one another in it share the words."""
+    bpe = encoder(path)
+    return WordCache(bpe.split, bpe.encode_pieces)
+
+
 def encode_documents(docs: DataFrame, path: str = DEFAULT_FILE) -> DataFrame:
     """(doc_id, text) -> doc_id, ids (packed little-endian uint32)."""
     path = tokenizer_path(path)
 
     def each(batches):
-        bpe = encoder(path)
-        cache = WordCache(bpe.split, bpe.encode_pieces)
+        cache = trie_cache(path)
         for ids, texts in batches:
             yield list(zip(ids, cache.encode_texts(texts), strict=True))
 
@@ -300,8 +313,7 @@ def encode_decode(docs: DataFrame, path: str = DEFAULT_FILE) -> DataFrame:
     path = tokenizer_path(path)
 
     def each(batches):
-        bpe = encoder(path)
-        cache = WordCache(bpe.split, bpe.encode_pieces)
+        bpe, cache = encoder(path), trie_cache(path)
         for ids, texts in batches:
             rows = []
             for i, packed in zip(ids, cache.encode_texts(texts), strict=True):

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_trie import DEFAULT_FILE, WordCache, tokenizer_path
+from .bpe_trie import DEFAULT_FILE, Splitter, WordCache, tokenizer_path
 from .common import drop_scratch, map_rows, materialize, scratch
 
 MAGIC = b"RNSB"
@@ -142,19 +142,20 @@ def _library(path: str):
     return t
 
 
-def library_chunks(path: str):
-    """Encoding of distinct chunks by the tokenizers library, as this tokenizer never joins across white space."""
-
-    def encode(chunks: list[str]) -> dict[str, bytes]:
-        coded = _library(path).encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: struct.pack(f"<{len(i)}I", *i) for c, e in zip(chunks, coded, strict=True) for i in [e.ids]}
+@functools.lru_cache(2)
+def library_cache(path: str) -> WordCache:
+    """The library's encodings of the tokenizer's words, each encoded once by a worker process.
 
-    return encode
+    The words are what the library's own normalizer and splitter make of a text (see Splitter), so
+    joined encodings of words are the encoding of the text.
+    """
+    t = _library(path)
 
+    def encode(words: list[str]) -> dict[str, bytes]:
+        coded = t.encode_batch_fast(words, add_special_tokens=False)
+        return {w: struct.pack(f"<{len(i)}I", *i) for w, e in zip(words, coded, strict=True) for i in [e.ids]}
 
-def split_chunks(text: str | None) -> list[str]:
-    """Parts between white space, ASCII's only: what other white space joins, the library splits itself."""
-    return [x.decode() for x in text.encode().split()] if text else []
+    return WordCache(Splitter({x.content: i for i, x in t.get_added_tokens_decoder().items()}), encode)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = DEFAULT_FILE, end_id: int = 2) -> None:
@@ -162,7 +163,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = DEFAULT_FILE, end_id:
     spark, tokenizer = docs.sparkSession, tokenizer_path(tokenizer)
 
     def encode(batches):
-        cache = WordCache(split_chunks, library_chunks(tokenizer))
+        cache = library_cache(tokenizer)
         end = struct.pack("<I", end_id)
         for ids, texts in batches:
             rows = []
