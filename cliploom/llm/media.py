@@ -34,7 +34,7 @@ FLOOR = -10.0
 #: Multiple of HOP * DOWN: pieces start at frame borders.
 PIECE = 1 << 18
 #: Segments open above the high level and close below the low one (natural log of mean power), if long enough.
-HIGH, LOW_LEVEL, LEAST_FRAMES = -2.0, -3.0, 2
+HIGH, LOW_LEVEL, LEAST_FRAMES = -2.3, -3.0, 2
 
 
 def to_wave(samples: bytes, rate: int = RATE) -> bytes:
@@ -69,7 +69,7 @@ def payload(text: str | None) -> tuple[bytes, int]:
 @functools.lru_cache(4)
 def polyphase(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     """Filter banks (up, taps): a Hann-windowed sinc cut at the lower of both Nyquist rates."""
-    n = np.arange(up * taps) - (up * taps - 1) / 2
+    n = np.arange(up * taps) - up * taps // 2
     cut = 1 / max(up, down)
     h = np.sinc(n * cut) * cut * (0.5 + 0.5 * np.cos(2 * np.pi * n / (up * taps)))
     h = h * up / h.sum()
