@@ -4,7 +4,7 @@ Host and path become character 3- to 5-grams, hashed into ``N_BITS`` bits; a log
 trained by full-batch gradient descent from a small labelled URL table gives a block probability.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule and is
-judged by the model as it is (allowed, by the model's bias, as no n-gram speaks against it);
+allowed, as no n-gram speaks against it;
 repeated rows are judged alike; other columns are not read; an empty table gives no rows. A URL of
 any length is judged whole.
 """
@@ -123,7 +123,9 @@ class Model:
 
     def probability(self, host: str, path: str) -> float:
         f = features(host, path)
-        z = self.bias + (float(self.weights[f].sum()) / np.sqrt(len(f)) if len(f) else 0.0)
+        if not len(f):
+            return 0.0  # nothing speaks against it
+        z = self.bias + float(self.weights[f].sum()) / np.sqrt(len(f))
         return float(1 / (1 + np.exp(-z)))
 
 
