@@ -260,3 +260,79 @@ def u06(spark, sf_dir, c):
   WHERE n_pred > 0) WHERE r % greatest(1, floor(m / 2)::BIGINT) = 0 AND r / greatest(1, floor(m / 2)::BIGINT) < 2""")
 def a27(spark, sf_dir, a, c):
     return evaluation.select_scenarios(a, c.filter("cast(clip_id as bigint) % 2 = 0"), 2, 5, 10)
+
+
+@query("v05_pooled_views", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(6))}), 6) AS score FROM vectors WHERE clip_id IN ('c1', 'c2', 'c3', 'c4') GROUP BY clip_id")
+def v05(spark, sf_dir, v):
+    s = vector_search.scored(v, _vec(v, 6), v.filter("clip_id in ('c1', 'c2', 'c3', 'c4')").select("clip_id").distinct())
+    return vector_search.pooled(s).withColumn("score", F.round("score", 6))
+
+
+@query("v08_image_upload", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(8))}), 6) AS score FROM vectors GROUP BY clip_id")
+def v08(spark, sf_dir, v):
+    from ..plans.client import Client
+    from ..plans.engine import Catalog, Engine
+
+    c = v.select("clip_id").distinct()
+    client = Client(Engine(Catalog(c, c, visual_vectors=v, uploads={"up1": _vec(v, 8)})))
+    return client.search_visual_image("up1").rows.select("clip_id", F.round("visual_image_score", 6).alias("score"))
+
+
+@query("v03_text_query", "captions")
+def v03b(spark, sf_dir, c):
+    """Text search over encoded captions, several rows a clip, two query texts."""
+    from ..functions.encoders import HashingEncoder, encode
+    from ..plans.client import Client
+    from ..plans.engine import Catalog, Engine
+
+    e = HashingEncoder(32)
+    v = c.select("clip_id", F.col("uid").alias("row_id"), encode("caption", e).alias("vec"))
+    clips = c.select("clip_id").distinct()
+    client = Client(Engine(Catalog(clips, clips, caption_vectors=v, encoders={"caption": e.one}), k=25))
+    return client.search_caption_embed("the thing in the ring", caption_embed_extra=["der die das"]).rows.select("clip_id", F.round("caption_embed_score", 5).alias("score"))
+
+
+@query("v20_sample_rows", "vectors")
+def v20(spark, sf_dir, v):
+    return vector_search.sample_rows(v, 50).select("row_id")
+
+
+@query("v25_encoding_cache", "captions")
+def v25(spark, sf_dir, c):
+    from ..functions.encoders import HashingEncoder, encode_cached
+
+    t = c.select(F.col("caption").alias("text"))
+    cache = encode_cached(t.limit(20), spark.createDataFrame([], "hash string, vec array<float>"), HashingEncoder(8)).select("hash", "vec")
+    return encode_cached(t, cache, HashingEncoder(8)).select("hash", F.size("vec").alias("dims"))
+
+
+@query("w09_precision_recall", "vectors", f"""SELECT clip_id, rank::BIGINT AS rank, round(sum(hit::INT) OVER (ORDER BY rank) / rank, 6) AS precision, round(sum(hit::INT) OVER (ORDER BY rank) / 30.0::DOUBLE, 6) AS recall FROM (
+  SELECT row_id::STRING AS clip_id, row_id % 3 = 0 AND row_id < 90 AS hit, row_number() OVER (ORDER BY {_DOT.format(_Q.format(3))} DESC, row_id)::DOUBLE AS rank FROM vectors)""")
+def w09(spark, sf_dir, v):
+    s = v.select("row_id", F.col("row_id").cast("string").alias("clip_id"), V.dot("vec", V.vector(_vec(v, 3))).alias("s"))
+    ranked = s.select(F.lit("near").alias("label"), "clip_id", F.row_number().over(Window.orderBy(F.desc("s"), "row_id")).cast("long").alias("rank"))
+    truth = v.filter("row_id % 3 = 0 and row_id < 90").select(F.lit("near").alias("label"), F.col("row_id").cast("string").alias("clip_id"))
+    return evaluation.ranked_hits(ranked, truth).select("clip_id", "rank", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("w20_client_score", "assignments scores", """SELECT a.clip_id, coalesce(CASE WHEN p <= 0.9::DOUBLE THEN p END, 1 / (1 + distance)) AS best FROM assignments a LEFT JOIN scores s ON s.clip_id = a.clip_id AND s.run_id = 'run0'""")
+def w20(spark, sf_dir, a, s):
+    from ..plans.engine import client_score
+
+    p = F.when(F.col("p") > 0.9, float("nan")).otherwise(F.col("p"))
+    r = a.select("clip_id", F.col("distance").alias("cluster_distance")).join(s.filter("run_id = 'run0'").select("clip_id", p.alias("classifier_score")), "clip_id", "left")
+    return r.select("clip_id", client_score(r).alias("best"))
+
+
+@query("o08_score_by_targets", "vectors", """SELECT clip_id, run AS dimension, round(max(score), 6) AS score FROM (SELECT concat('like_', q.row_id) AS run, v.row_id::STRING AS clip_id, list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2])) AS score FROM vectors v, vectors q WHERE q.row_id IN (21, 22)) GROUP BY ALL""")
+def o08(spark, sf_dir, v):
+    q = v.filter("row_id in (21, 22)").select(F.concat(F.lit("like_"), "row_id").alias("query_id"), "vec")
+    return vector_search.similarity_rows(v.withColumn("clip_id", F.col("row_id").cast("string")), q).select("clip_id", F.col("query_id").alias("dimension"), F.round("score", 6).alias("score"))
+
+
+@query("x05_cell_recall", "vectors")
+def x05(spark, sf_dir, v):
+    c = v.filter("row_id < 8").select(F.col("row_id").cast("int").alias("cluster_id"), "vec")
+    celled = vector_search.assign_cells(v, c)
+    exact = vector_search.knn(v, _vec(v, 3), 20)
+    return spark.createDataFrame([(n, vector_search.recall(exact, vector_search.search_cells(celled, c, _vec(v, 3), 20, n))) for n in (1, 4, 8)], "n_probe int, recall double")
