@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -67,6 +69,29 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_arrays(df: DataFrame, columns: list[str], schema: str, each: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
+    """As map_rows, but ``each`` yields tuples of equally long numpy arrays."""
+    arrow = _arrow_schema(df.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in each(tuple(b.column(i).to_pylist() for i in range(b.num_columns)) for b in _small(batches)):
+            for at in range(0, len(cols[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)], f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with little to do may put off for long.
+    """
+    for _ in range(2):  # the first round frees Python's handles, so that the second finds their plans unused
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def _small(batches: Iterator[pa.RecordBatch], target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches to about ``target`` bytes, so that Python objects are made for few rows at a time."""
     for b in batches:

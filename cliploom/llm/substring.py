@@ -7,26 +7,29 @@ at cover positions are ``ANCHOR`` words hashed, and ``ANCHOR + PERIOD - 1 <= WIN
 windows always share an aligned anchor. Anchors that occur once are dropped; around the others the
 match is extended to whole windows, which are compared by 128-bit hashes of their words.
 
+Within a task, an anchor or window that was seen before is decided on the spot, so the rows of one
+hash that meet in a shuffle are bounded by the number of tasks, however often a passage occurs.
+
 A word is removed if a window over it also starts earlier: in a smaller doc_id, or earlier in the
 same document. Exact copies of earlier documents are removed whole without hashing windows.
 
 Defined results: null and empty texts, and those of fewer words than a window, lose nothing; a null
-doc_id comes before all others; of rows that share a doc_id, windows at the same start are neither
-earlier than the other; texts are read whole; an empty table gives no rows; ``dedup`` keeps other
+doc_id comes before all others; rows that share a doc_id aren't compared with one
+another; texts are read whole; an empty table gives no rows; ``dedup`` keeps other
 columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import zlib
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, map_rows, materialize
+from .common import drop_scratch, map_arrays, map_rows, materialize, release
 
 WINDOW = 20
 PERIOD = 13
@@ -114,96 +117,134 @@ def anchors_of(docs: DataFrame) -> DataFrame:
             order = np.argsort(h, kind="stable")
             s = h[order]
             first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
-            rank = np.arange(len(s)) - np.repeat(first, np.diff(np.concatenate([first, [len(s)]])))
+            size = np.diff(np.concatenate([first, [len(s)]]))
+            rank = np.arange(len(s)) - np.repeat(first, size)
             distinct = s[first]
             seen = np.isin(distinct, once, assume_unique=True).astype(np.int64) + np.isin(distinct, twice, assume_unique=True)
-            rank += np.repeat(seen, np.diff(np.concatenate([first, [len(s)]])))
+            rank += np.repeat(seen, size)
             more = rank >= 2
             h_out = np.where(more, mix(s + rank.astype(np.uint64) * _M2 + k[order].view(np.uint64)), s)
-            p_out = np.where(more, -1 - p[order], p[order])
-            yield list(zip(h_out.view(np.int64).tolist(), k[order].tolist(), p_out.tolist(), strict=True))
+            yield h_out.view(np.int64), k[order], np.where(more, -1 - p[order], p[order]).astype(np.int32)
             most = np.maximum.reduceat(rank, first)
             once = np.union1d(once, distinct)
             twice = np.union1d(twice, distinct[most >= 1])
 
-    return map_rows(docs, ["_k", "text"], "h long, _k long, pos int", each)
+    return map_arrays(docs, ["_k", "text"], "h long, _k long, pos int", each)
 
 
-def _forget() -> None:
-    """Let Spark drop the shuffle files of plans that are no longer used."""
-    gc.collect()
+#: Windows that a task remembers to decide later ones by.
+SEEN_WINDOWS = 1_000_000
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """docs plus _k, _id (hash of the row's text), _n (words), _copy, _starts (of its removed windows)."""
-    base = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_KEY)), "_m": F.md5(F.coalesce("text", F.lit("")))})
-    anchors = anchors_of(base)
-    repeated = anchors.withColumn("c", F.count("*").over(Window.partitionBy("h"))).filter("c > 1 or pos < 0")
+def windows_of(docs: DataFrame) -> DataFrame:
+    """(_k, text, _m, _hits, _copies) -> h1, h2, _k, at: the windows around repeated anchors.
+
+    ``at`` is the start below the text's checksum in the upper half. A window that the task has seen
+    in an earlier document, or earlier in the same one, is known to go and leaves with ``-1 - at``
+    under hashes of its own.
+    """
+
+    def each(batches):
+        hashes, seen = WordHashes(), {}
+        for keys, texts, digests, hits, copies in batches:
+            ones, twos, ks, ats = [], [], [], []
+            for k, text, m, hit, copy in zip(keys, texts, digests, hits, copies, strict=True):
+                words = text.encode().split() if text and hit and not (copy and m in copy) else []
+                starts = candidate_starts(len(words), np.array(hit)) if len(words) >= WINDOW else np.zeros(0, np.int64)
+                if not len(starts):
+                    continue
+                if len(seen) > SEEN_WINDOWS:
+                    seen.clear()
+                wh = hashes.of(words)
+                one, two = run_hash(wh, starts, WINDOW, 1), run_hash(wh, starts, WINDOW, 2)
+                at = (zlib.crc32(text.encode()) << 31) | starts
+                late, own = np.zeros(len(starts), bool), set()
+                for i, h in enumerate(one.tolist()):
+                    if h in own or seen.get(h, k) < k:
+                        late[i] = True
+                    else:
+                        own.add(h)
+                        seen[h] = k
+                n = np.arange(len(starts), dtype=np.uint64)
+                ones.append(np.where(late, mix(one + n * _M2 + np.uint64(k & 0xFFFFFFFF)), one))
+                twos.append(two)
+                ks.append(np.full(len(starts), k, np.int64))
+                ats.append(np.where(late, -1 - at, at))
+            if ones:
+                yield np.concatenate(ones).view(np.int64), np.concatenate(twos).view(np.int64), np.concatenate(ks), np.concatenate(ats)
+
+    return map_arrays(docs, ["_k", "text", "_m", "_hits", "_copies"], "h1 long, h2 long, _k long, at long", each)
+
+
+def repeated_anchors(base: DataFrame) -> DataFrame:
+    """_k, _hits: places of the anchors that occur more than once."""
+    repeated = anchors_of(base).withColumn("c", F.count("*").over(Window.partitionBy("h"))).filter("c > 1 or pos < 0")
     hits = repeated.groupBy("_k").agg(F.collect_set(F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))).alias("_hits"))
-    hits = materialize(hits, "anchors")
-    _forget()
+    return materialize(hits, "anchors")
+
+
+def exact_copies(base: DataFrame) -> DataFrame:
+    """_k, _copies: digests of the doc_id's texts that a smaller doc_id has."""
     rows = base.select("_k", "_m")
-    groups = rows.groupBy("_m").agg(F.min("_k").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = rows.join(groups, "_m").filter("_k > first").groupBy("_k").agg(F.collect_set("_m").alias("_copies"))
-    marks = hits.join(copies, "_k", "full")
-    names = docs.columns
-    inner = [f"_s_{i}" for i in range(len(names))]
-    text_at = names.index("text")
-    joined = base.join(marks, "_k", "left").select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner, strict=True)], "_k", "_m", "_hits", "_copies")
+    groups = rows.groupBy("_m").agg(F.min("_k").alias("first"), F.max("_k").alias("last")).filter("first <> last").select("_m", "first")
+    return materialize(rows.join(groups, "_m").filter("_k > first").groupBy("_k").agg(F.collect_set("_m").alias("_copies")), "copies")
 
-    def each(batches):
-        hashes = WordHashes()
-        for cols in batches:
-            out = []
-            for *row, k, m, hits_, copies_ in zip(*cols, strict=True):
-                words = row[text_at].encode().split() if row[text_at] else []
-                n = len(words)
-                copy = bool(copies_) and m in copies_ and n >= WINDOW
-                starts = candidate_starts(n, np.array(hits_)) if hits_ and not copy and n >= WINDOW else np.zeros(0, np.int64)
-                windows = None
-                if len(starts):
-                    wh = hashes.of(words)
-                    one, two = run_hash(wh, starts, WINDOW, 1), run_hash(wh, starts, WINDOW, 2)
-                    windows = [{"s": s, "h1": a, "h2": b} for s, a, b in zip(starts.tolist(), one.view(np.int64).tolist(), two.view(np.int64).tolist(), strict=True)]
-                out.append((*row, k, m, n, copy, windows))
-            yield out
-
-    kept = ", ".join(f"{i} {joined.schema[i].dataType.simpleString()}" for i in inner)
-    schema = kept + ", _k long, _m string, _n long, _copy boolean, _w array<struct<s: int, h1: long, h2: long>>"
-    wide = materialize(map_rows(joined, joined.columns, schema, each), "windows")
+
+def late_windows(base: DataFrame, hits: DataFrame, copies: DataFrame) -> DataFrame:
+    """_k, _gone: windows that start earlier elsewhere."""
+    near = windows_of(base.select("_k", "text", "_m").join(hits.join(copies, "_k", "left"), "_k"))
+    late = near.withColumn("first", F.min("_k").over(Window.partitionBy("h1", "h2"))).filter("at < 0 or _k > first")
+    gone = late.groupBy("_k").agg(F.collect_set(F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).alias("_gone"))
+    return materialize(gone, "windows")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """docs (columns renamed to _s_<name>) plus _m, _copies (digests of the doc_id's texts that are copies) and _gone (its windows to remove).
+
+    Each phase is written, and its shuffle files are let go before the next one begins.
+    """
+    spark = docs.sparkSession
+    base = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_KEY)), "_m": F.md5(F.coalesce("text", F.lit("")))})
+    hits = repeated_anchors(base)
+    release(spark)
+    copies = exact_copies(base)
+    gone = late_windows(base, hits, copies)
     drop_scratch(hits)
-    _forget()
-    w = wide.filter("_w is not null").select("_k", "_m", F.explode("_w").alias("w")).select("_k", "_m", "w.*")
-    firsts = w.groupBy("h1", "h2").agg(F.min(F.struct("_k", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = w.join(firsts, ["h1", "h2"]).filter(F.struct("_k", "s") > F.col("first"))
-    gone = late.groupBy("_k", "_m").agg(F.collect_set("s").alias("_starts"))
-    pending = wide.filter("_w is not null").drop("_w").join(gone, ["_k", "_m"], "left")
-    done = wide.filter("_w is null").drop("_w").withColumn("_starts", F.lit(None).cast("array<int>"))
-    return done.unionByName(pending).withColumnsRenamed(dict(zip(inner, [f"_s_{c}" for c in names], strict=True)))
+    release(spark)
+    names = {c: f"_s_{c}" for c in docs.columns}
+    own = base.select(*[F.col(f"`{c}`").alias(i) for c, i in names.items()], "_k", "_m")
+    return own.join(gone.join(copies, "_k", "full"), "_k", "left").drop("_k")
 
 
-def _kept(text: str | None, copy: bool, starts: list[int] | None) -> tuple[list[bytes], np.ndarray]:
+def kept_words(text: str | None, digest: str, copies: list[str] | None, gone: list[int] | None) -> tuple[list[bytes], np.ndarray]:
+    """The text's words, and the mask of those that go."""
     words = text.encode().split() if text else []
-    gone = np.ones(len(words), bool) if copy else covered(len(words), np.array(starts)) if starts else np.zeros(len(words), bool)
-    return words, gone
+    if copies and digest in copies and len(words) >= WINDOW:
+        return words, np.ones(len(words), bool)
+    if gone:
+        at = np.array(gone, np.int64)
+        at = at[at >> 31 == zlib.crc32(text.encode())] & ((1 << 31) - 1)
+        if len(at):
+            return words, covered(len(words), at)
+    return words, np.zeros(len(words), bool)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
 
     def each(batches):
-        for ids, texts, copies, starts in batches:
+        for ids, texts, digests, copies, gones in batches:
             rows = []
-            for i, text, copy, st in zip(ids, texts, copies, starts, strict=True):
-                words, gone = _kept(text, copy, st)
+            for i, text, m, copy, g in zip(ids, texts, digests, copies, gones, strict=True):
+                words, gone = kept_words(text, m, copy, g)
                 n = int(gone.sum())
                 if n:
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                 rows.append((i, len(gone), n, hashlib.sha256(b" ".join(words)).hexdigest()))
             yield rows
 
     m = marked(docs.select("doc_id", "text"))
-    return map_rows(m, ["_s_doc_id", "_s_text", "_copy", "_starts"], "doc_id long, n_words long, n_removed long, kept_sha256 string", each)
+    return map_rows(m, ["_s_doc_id", "_s_text", "_m", "_copies", "_gone"], "doc_id long, n_words long, n_removed long, kept_sha256 string", each)
 
 
 def cut(text: str, gone: np.ndarray) -> str:
@@ -225,7 +266,7 @@ def cut(text: str, gone: np.ndarray) -> str:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from their texts (and n_chars counted again); documents left without a word go."""
-    m = marked(docs)
+    marks = marked(docs)
     names = docs.columns
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
@@ -233,11 +274,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     def each(batches):
         for cols in batches:
             rows = []
-            for *row, copy, starts in zip(*cols, strict=True):
-                if copy:
-                    continue
-                if starts:
-                    words, gone = _kept(row[text_at], copy, starts)
+            for *row, m, copy, g in zip(*cols, strict=True):
+                _, gone = kept_words(row[text_at], m, copy, g)
+                if gone.any():
                     if gone.all():
                         continue
                     row[text_at] = cut(row[text_at], gone)
@@ -247,5 +286,5 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield rows
 
     inner = [f"_s_{c}" for c in names]
-    schema = ", ".join(f"`{i}` {m.schema[i].dataType.simpleString()}" for i in inner)
-    return map_rows(m, [*[f"`{i}`" for i in inner], "_copy", "_starts"], schema, each).toDF(*names)
+    schema = ", ".join(f"`{i}` {marks.schema[i].dataType.simpleString()}" for i in inner)
+    return map_rows(marks, [*[f"`{i}`" for i in inner], "_m", "_copies", "_gone"], schema, each).toDF(*names)
