@@ -57,7 +57,7 @@ class Engine:
         return self.catalog.video_paths.select("clip_id")
 
     def search(self, filters: SearchFilters) -> DataFrame:
-        """clip_id, score columns, rank_score, ord (from 1). Equal filters share a plan."""
+        """clip_id, score columns and rank_score, best first. Equal filters share a plan."""
         if (key := filters.key()) not in self._plans:
             self._plans[key] = self.plan(filters)
         return self._plans[key]
@@ -200,7 +200,7 @@ def active_scores(r: DataFrame, f: SearchFilters) -> list[Column]:
 
 
 def rank(r: DataFrame, f: SearchFilters) -> DataFrame:
-    """rank_score and ord: by priority the first score there is, or by reciprocal ranks over all.
+    """rank_score, and rows in its order: by priority the first score there is, or by reciprocal ranks over all.
 
     Without scores, caption matches go by BM25, other clips by id.
     """
