@@ -85,6 +85,7 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more.
 
     It does so when the driver's garbage is collected, which a driver with little to do may put off for long.
+    Callers build each phase in a function of its own, so that no variable keeps a finished plan.
     """
     for _ in range(2):  # the first round frees Python's handles, so that the second finds their plans unused
         gc.collect()
