@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, map_rows, materialize
@@ -132,7 +132,12 @@ def within_reach(sets: DataFrame) -> DataFrame:
     return sets.join(shared, "c").filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("c", (F.col("n") - F.col("shared")).alias("own"))
 
 
-def matches() -> F.Column:
+def _enough(shared: Column, n: Column, m: Column) -> Column:
+    """Can sets of n and m shingles be similar enough, if they have at most ``shared`` in common?"""
+    return 100 * shared >= PERCENT * (n + m - shared)
+
+
+def matches() -> Column:
     return F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (acc, x) -> acc + x)")
 
 
@@ -163,6 +168,16 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after more links, which lie between components: these are joined, not their members again."""
+    ends = more.select(F.col("a").alias("c")).unionByName(more.select(F.col("b").alias("c"))).distinct()
+    label = materialize(label.unionByName(ends.join(label, "c", "left_anti").select("c", F.col("c").alias("label"))), "label")
+    side = lambda x: label.select(F.col("c").alias(x), F.col("label").alias(f"to_{x}"))
+    bridges = more.join(side("a"), "a").join(side("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+    top = components(bridges).select(F.col("c").alias("label"), F.col("label").alias("to"))
+    return label.join(top, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and c: the class of equal sets (null where nothing can be linked)."""
     rows = materialize(signatures(docs), "signatures")
@@ -177,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = shingle_sets(brought).groupBy("c").agg(F.first("s").alias("s"))
     sets = materialize(found.join(reps.select("c", "n"), "c"), "sets")
     near = materialize(within_reach(sets), "reach")
-    posts = materialize(posts.join(near, "c").join(classes.select("c", "rep"), "c"), "posts")
+    posts = materialize(posts.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
     sigs = classes.join(near, "c", "left_semi").select("c", "n", "sig")
 
     hub = posts.groupBy("token").agg(F.min_by("c", F.struct("own", "rep")).alias("hub"))
@@ -186,14 +201,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = components(links)
 
     # pairs of a list that are still apart; a member without links is a component of its own
-    member = posts.join(first, "c", "left").select("token", "c", F.coalesce("label", "c").alias("label"))
-    split = member.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    member = materialize(member.join(split, "token"), "apart")
-    other = member.select("token", F.col("c").alias("b"), F.col("label").alias("label_b"))
-    rest = member.withColumnRenamed("c", "a").join(other, "token").filter("label <> label_b and a < b").select("a", "b").distinct()
+    toks = posts.groupBy("c").agg(F.array_sort(F.collect_list("token")).alias("toks"))
+    member = posts.join(first, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    lists = member.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least_n")).filter("x <> y").drop("x", "y")
+    # what a member shares must be enough for the smallest partner that the list and its own size allow
+    smallest = F.greatest("least_n", F.ceil(F.col("n") * PERCENT / 100))
+    member = member.join(lists, "token").filter(_enough(F.col("n") - F.col("own"), F.col("n"), smallest))
+    member = materialize(member.select("token", "c", "label", "n", (F.col("n") - F.col("own")).alias("s")).join(toks, "c"), "apart")
+    other = member.select("token", *[F.col(x).alias(f"{x}_b") for x in ("c", "label", "n", "s", "toks")])
+    # a pair may meet in many lists; it counts in the first one
+    meet = F.array_min(F.array_intersect("toks", "toks_b")) == F.col("token")
+    fits = _enough(F.least("s", "s_b"), F.col("n"), F.col("n_b"))
+    rest = member.join(other, "token").filter((F.col("label") != F.col("label_b")) & (F.col("c") < F.col("c_b")) & fits & meet)
+    rest = rest.select(F.col("c").alias("a"), F.col("c_b").alias("b"))
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = confirm(rest, sigs, sets)
-    label = components(links.unionByName(more))
+    more = materialize(confirm(rest, sigs, sets), "links")
+    label = first if not more.limit(1).count() else _joined(first, more)
 
     home = classes.select("c", "rep").join(label, "c", "left")
     linked = home.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
