@@ -45,10 +45,11 @@ def n_tokens(text: Column) -> Column:
 
 def topic_of(text: Column) -> Column:
     """A topic by rule from a text's surface: table, question, numeric, listing or prose."""
-    chars = lambda pattern: F.length(text) - F.length(F.translate(text, pattern, ""))
     size = F.length(text)
+    chars = lambda c: size - F.length(F.replace(text, F.lit(c), F.lit("")))
+    digits = size - F.length(F.regexp_replace(text, "[0-9]+", ""))
     return (
-        F.when(chars("|") >= 3, "table").when(50 * chars("0123456789") > size, "numeric").when(chars("?") > 0, "question")
+        F.when(chars("|") >= 3, "table").when(50 * digits > size, "numeric").when(F.contains(text, F.lit("?")), "question")
         .when(chars("\n") * 100 > size, "listing").otherwise("prose")
     )
 
@@ -99,10 +100,8 @@ def draw(mix: Mix) -> Column:
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def sample(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """docs plus source_key, lang_key, topic, tokens, probability, sampled."""
-    mix = mix or Mix()
-    k = keyed(docs)
+def drawn(k: DataFrame, mix: Mix) -> DataFrame:
+    """Documents with cell keys and tokens, plus probability and sampled."""
     cells = materialize(probabilities(k.select(*DIMENSIONS, "tokens"), mix), "probabilities").coalesce(1)
     p = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
     return k.join(cells, list(DIMENSIONS), "left").withColumn("probability", p).withColumn("sampled", draw(mix) < F.col("probability"))
@@ -110,7 +109,8 @@ def sample(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 def report(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, sampled, for every document."""
-    return sample(docs.select("doc_id", "text", "lang", "source"), mix).select(
+    k = keyed(docs.select("doc_id", "text", "lang", "source")).drop("text")  # texts are read once; the rest is small
+    return drawn(materialize(k, "keyed"), mix or Mix()).select(
         "doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled"
     )
 
@@ -120,7 +120,7 @@ def keep(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     inner = {c: f"_m_{c}" for c in docs.columns}
     need = docs.withColumns({i: F.col(f"`{c}`") for c, i in inner.items()})
     need = need.select(*inner.values(), "doc_id", "text", "lang", "source")
-    return sample(need, mix).filter("sampled").select(*inner.values()).toDF(*docs.columns)
+    return drawn(keyed(need), mix or Mix()).filter("sampled").select(*inner.values()).toDF(*docs.columns)
 
 
 def oracle(mix: Mix | None = None) -> str:
