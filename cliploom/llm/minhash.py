@@ -2,13 +2,13 @@
 
 Documents of equal shingle sets are one class. A class has a signature of ``COORDINATES`` minima
 and is posted under (coordinate, value) pairs. Two classes at the similarity threshold agree in at
-least ``MATCHES`` coordinates but for a chance of about one in a million, so
+least ``least_matches(percent)`` coordinates but for a chance of about one in a million, so
 
 * prefix: with its pairs in ascending order of frequency, a class needs posting only under the first
-  ``COORDINATES - MATCHES + 1``; pairs that no other class has fill places without being posted;
+  ``COORDINATES - least_matches + 1``; pairs that no other class has fill places without being posted;
 * skip: a class whose prefix holds such pairs only is skipped, and so is one of whose shingles so
   many are found in no other posted class that the threshold is out of reach (an exact bound);
-* count: collisions of a candidate pair's signatures are counted, and pairs below MATCHES go.
+* count: collisions of a candidate pair's signatures are counted, and pairs with fewer go.
 
 Kept pairs are confirmed on the full sets. A list of N classes isn't turned into its N * N pairs:
 each list first joins its members to one hub, the member with the fewest shingles of its own; when
@@ -24,6 +24,8 @@ texts are read whole; an empty table gives no rows; ``dedup`` keeps other column
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,13 +36,23 @@ from .substring import WordHashes, mix, run_hash
 
 SHINGLE = 5
 COORDINATES = 64
-MATCHES = 40
-PREFIX = COORDINATES - MATCHES + 1
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is the contract of op3.
 PERCENT = 85
+#: The chance that a link right at the threshold agrees in too few coordinates.
+MISS = 2.5e-6
 MAX_ROUNDS = 60
 
 
+def least_matches(percent: int) -> int:
+    """Coordinates that links must agree in: as many as leave a link at the threshold a chance below MISS to be missed."""
+    p, missed = percent / 100, 0.0
+    for m in range(COORDINATES + 1):
+        missed += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if missed >= MISS:
+            return m
+    return COORDINATES
+
+
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20240501)
     return r.integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -108,47 +120,47 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["text"], "c long, s array<long>", each)
 
 
-def prefix_posts(classes: DataFrame) -> DataFrame:
+def prefix_posts(classes: DataFrame, percent: int) -> DataFrame:
     """(c, n, sig) -> token, c: the postings of the rarest coordinate-value pairs within the prefix."""
     token = F.expr("transform(sig, (v, j) -> shiftleft(cast(j as bigint), 32) | (cast(v as bigint) & 4294967295))")
     tokens = classes.select("c", F.explode(token).alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     mine = tokens.join(common, "token").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     # pairs of no other class come first in frequency and fill the prefix
-    room = F.lit(PREFIX) - (F.lit(COORDINATES) - F.size("t"))
+    room = F.size("t") - F.lit(least_matches(percent) - 1)
     posted = mine.filter(room > 0).select("c", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("c", "t.token")
     shared = posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token")
     return posted.join(shared, "token")
 
 
-def within_reach(sets: DataFrame) -> DataFrame:
+def within_reach(sets: DataFrame, percent: int) -> DataFrame:
     """(c, n, s) -> c, own: classes that have few enough shingles which no other posted class has.
 
-    A link needs PERCENT of the union, so PERCENT of either set must be shared.
+    A link needs ``percent`` of the union, so ``percent`` of either set must be shared.
     """
     each = sets.select("c", F.explode("s").alias("h"))
     common = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     shared = each.join(common, "h").groupBy("c").agg(F.count("*").alias("shared"))
-    return sets.join(shared, "c").filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("c", (F.col("n") - F.col("shared")).alias("own"))
+    return sets.join(shared, "c").filter(100 * F.col("shared") >= percent * F.col("n")).select("c", (F.col("n") - F.col("shared")).alias("own"))
 
 
-def _enough(shared: Column, n: Column, m: Column) -> Column:
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     """Can sets of n and m shingles be similar enough, if they have at most ``shared`` in common?"""
-    return 100 * shared >= PERCENT * (n + m - shared)
+    return 100 * shared >= percent * (n + m - shared)
 
 
 def matches() -> Column:
     return F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (acc, x) -> acc + x)")
 
 
-def confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) candidates -> those that agree in MATCHES coordinates and whose sets are similar enough."""
+def confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) candidates -> those that agree in enough coordinates and whose sets are similar enough."""
     side = lambda x: sigs.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    p = p.filter((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (matches() >= MATCHES)).select("a", "b", "n_a", "n_b")
+    p = p.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (matches() >= least_matches(percent))).select("a", "b", "n_a", "n_b")
     s = lambda x: sets.select(F.col("c").alias(x), F.col("s").alias(f"s_{x}"))
     p = p.join(s("a"), "a").join(s("b"), "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
-    return p.filter(100 * F.col("i") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
+    return p.filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,26 +190,29 @@ def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
     return label.join(top, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and c: the class of equal sets (null where nothing can be linked)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and c: the class of equal sets (null where nothing can be linked).
+
+    Links are pairs of a similarity of ``percent`` or more.
+    """
     rows = materialize(signatures(docs), "signatures")
     classes = materialize(
         rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
     )
-    posts = materialize(prefix_posts(classes), "posts")
+    posts = materialize(prefix_posts(classes, percent), "posts")
     posted = posts.select("c").distinct()
     # one row of each posted class brings its set
     reps = classes.join(posted, "c", "left_semi").select("c", "n", F.col("rep").alias("doc_id"))
     brought = docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi")
     found = shingle_sets(brought).groupBy("c").agg(F.first("s").alias("s"))
     sets = materialize(found.join(reps.select("c", "n"), "c"), "sets")
-    near = materialize(within_reach(sets), "reach")
+    near = materialize(within_reach(sets, percent), "reach")
     posts = materialize(posts.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
     sigs = classes.join(near, "c", "left_semi").select("c", "n", "sig")
 
     hub = posts.groupBy("token").agg(F.min_by("c", F.struct("own", "rep")).alias("hub"))
     star = posts.join(hub, "token").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
-    links = materialize(confirm(star, sigs, sets), "links")
+    links = materialize(confirm(star, sigs, sets, percent), "links")
     first = components(links)
 
     # pairs of a list that are still apart; a member without links is a component of its own
@@ -205,17 +220,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = posts.join(first, "c", "left").withColumn("label", F.coalesce("label", "c"))
     lists = member.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least_n")).filter("x <> y").drop("x", "y")
     # what a member shares must be enough for the smallest partner that the list and its own size allow
-    smallest = F.greatest("least_n", F.ceil(F.col("n") * PERCENT / 100))
-    member = member.join(lists, "token").filter(_enough(F.col("n") - F.col("own"), F.col("n"), smallest))
+    smallest = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
+    member = member.join(lists, "token").filter(_enough(F.col("n") - F.col("own"), F.col("n"), smallest, percent))
     member = materialize(member.select("token", "c", "label", "n", (F.col("n") - F.col("own")).alias("s")).join(toks, "c"), "apart")
     other = member.select("token", *[F.col(x).alias(f"{x}_b") for x in ("c", "label", "n", "s", "toks")])
     # a pair may meet in many lists; it counts in the first one
     meet = F.array_min(F.array_intersect("toks", "toks_b")) == F.col("token")
-    fits = _enough(F.least("s", "s_b"), F.col("n"), F.col("n_b"))
+    fits = _enough(F.least("s", "s_b"), F.col("n"), F.col("n_b"), percent)
     rest = member.join(other, "token").filter((F.col("label") != F.col("label_b")) & (F.col("c") < F.col("c_b")) & fits & meet)
     rest = rest.select(F.col("c").alias("a"), F.col("c_b").alias("b"))
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, sigs, sets), "links")
+    more = materialize(confirm(rest, sigs, sets, percent), "links")
     label = first if not more.limit(1).count() else _joined(first, more)
 
     home = classes.select("c", "rep").join(label, "c", "left")
@@ -227,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"), "c")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: one document of each group."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
