@@ -321,6 +321,13 @@ def t07(spark, sf_dir, c):
     return text.update_index(old, c, c.select("clip_id").distinct()).select("term", "clip_id", F.size("positions").cast("long").alias("tf"))
 
 
+@query("t07_update_index_all", "captions", rf"SELECT term, clip_id, count(*) AS tf FROM (SELECT clip_id, unnest({_TOK}) AS term FROM captions GROUP BY clip_id) GROUP BY ALL")
+def t07_all(spark, sf_dir, c):
+    """The index of the first two turns of all clips, updated where more turns came."""
+    changed = c.filter("uid % 100 >= 2").select("clip_id").distinct()
+    return text.update_index(text.build_index(c.filter("uid % 100 < 2")), c, changed).select("term", "clip_id", F.size("positions").cast("long").alias("tf"))
+
+
 @query("t08_captions_by_model", "captions", "SELECT clip_id, model_name, count(*) AS n, first(caption ORDER BY start_time, uid) AS first_caption FROM captions GROUP BY clip_id, model_name")
 def t08(spark, sf_dir, c):
     return text.captions_by_model(c).select("clip_id", "model_name", F.size("captions").cast("long").alias("n"), F.col("captions")[0]["caption"].alias("first_caption"))
