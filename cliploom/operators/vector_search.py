@@ -72,17 +72,20 @@ def search_two_stage(vectors: DataFrame, first: Sequence[float], second: Sequenc
     return knn(vectors, second, k, knn(vectors, first, n_first))
 
 
-def similarity_rows(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def similarity_rows(vectors: DataFrame, queries: DataFrame, own: str | None = None) -> DataFrame:
     """(query_id, vec) x vectors -> query_id, clip_id, score pooled per clip.
 
     Every row meets the stated query set: queries travel as one array of literals, in blocks of
-    QUERY_BLOCK, and are exploded beside each row.
+    QUERY_BLOCK, and are exploded beside each row. A row whose column ``own`` is the query's id is left out.
     """
     rows = queries.select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).collect()  # the stated query set
     out = None
     for at in range(0, len(rows), QUERY_BLOCK):
         block = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), V.vector(r.vec).alias("q")) for r in rows[at : at + QUERY_BLOCK]])
-        s = vectors.select("clip_id", "vec", F.explode(block).alias("b")).select("b.query_id", "clip_id", V.dot("vec", "b.q").alias("score"))
+        s = vectors.select("*", F.explode(block).alias("b"))
+        if own is not None:
+            s = s.filter(~F.col(own).cast("string").eqNullSafe(F.col("b.query_id")))
+        s = s.select("b.query_id", "clip_id", V.dot("vec", "b.q").alias("score"))
         out = s if out is None else out.unionByName(s)
     if out is None:
         return vectors.select(F.lit("").alias("query_id"), "clip_id", F.lit(0.0).alias("score")).filter(F.lit(False))

@@ -14,6 +14,11 @@ _DOT = "list_sum(list_transform(list_zip(vec::DOUBLE[], {}), lambda x: x[1] * x[
 _L2 = "list_sum(list_transform(list_zip(vec::DOUBLE[], {}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
 
 
+def _queries(v):
+    """The stated query set of searches: every id divisible by 100."""
+    return v.filter("row_id % 100 = 0").select(F.col("row_id").cast("string").alias("query_id"), "vec")
+
+
 def _vec(v, i):
     return [float(x) for x in v.filter(F.col("row_id") == i).head().vec]
 
@@ -89,6 +94,12 @@ def v21(spark, sf_dir, v):
     return vector_search.similarity_rows(v, q).select("query_id", "clip_id", F.round("score", 6).alias("score"))
 
 
+@query("v21_similarity_matrix_all", "vectors", """SELECT q.row_id::STRING AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 6) AS score
+  FROM vectors v, vectors q WHERE q.row_id % 100 = 0 GROUP BY ALL""")
+def v21_all(spark, sf_dir, v):
+    return vector_search.similarity_rows(v, _queries(v)).select("query_id", "clip_id", F.round("score", 6).alias("score"))
+
+
 @query("v22_expand_seeds", "vectors", """SELECT clip_id, round(score, 6) AS score, seed FROM (SELECT row_id::STRING AS clip_id, 1.0::DOUBLE AS score, row_id::STRING AS seed FROM vectors WHERE row_id IN (1, 2, 3)
   UNION ALL (SELECT clip_id, max(score), max_by(seed, (score, seed)) FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, clip_id) AS r FROM (
   SELECT q.row_id::STRING AS seed, v.row_id::STRING AS clip_id, list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2])) AS score FROM vectors v, vectors q WHERE q.row_id IN (1, 2, 3) AND v.row_id <> q.row_id))
@@ -222,10 +233,44 @@ def x01(spark, sf_dir, v):
     return evaluation.recall_report(evaluation.truth_ranks(_sims(v), _truth(v)))
 
 
+def _sims_all(v):
+    """The stated query set against all vectors but a query's own."""
+    return vector_search.similarity_rows(v, _queries(v), "row_id").withColumn("score", F.round("score", 3))
+
+
+_SIMS_ALL = """s AS (SELECT q.row_id::STRING AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 3) AS score FROM vectors v, vectors q WHERE q.row_id % 100 = 0 AND v.row_id <> q.row_id GROUP BY ALL),
+  r AS (SELECT query_id, count(*) FILTER (score > t) + 1 + (count(*) FILTER (score = t) - 1) / 2.0::DOUBLE AS rank FROM s JOIN (SELECT s.query_id, score AS t FROM s JOIN vectors q ON q.row_id::STRING = s.query_id AND q.clip_id = s.clip_id) USING (query_id) GROUP BY query_id)"""
+
+
+def _truth_all(v):
+    return v.filter("row_id % 100 = 0").select(F.col("row_id").cast("string").alias("query_id"), "clip_id")
+
+
+@query("w05_truth_ranks_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT query_id, rank FROM r)")
+def w05_all(spark, sf_dir, v):
+    return evaluation.truth_ranks(_sims_all(v), _truth_all(v))
+
+
+@query("x01_recall_report_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT avg((rank <= 1)::INT) AS recall_1, avg((rank <= 5)::INT) AS recall_5, avg((rank <= 10)::INT) AS recall_10, median(rank) AS median_rank, count(*) AS n FROM r)")
+def x01_all(spark, sf_dir, v):
+    return evaluation.recall_report(evaluation.truth_ranks(_sims_all(v), _truth_all(v)))
+
+
+@query("x03_failures_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT query_id, rank, wrong FROM r JOIN (SELECT query_id, min_by(clip_id, (-score, clip_id)) AS wrong FROM s GROUP BY query_id) USING (query_id) JOIN (SELECT row_id::STRING AS query_id, clip_id FROM vectors) USING (query_id) WHERE rank > 10 AND wrong <> clip_id)")
+def x03_all(spark, sf_dir, v):
+    return evaluation.failures(_sims_all(v), _truth_all(v), 10)
+
+
+@query("w04_zscore_fusion_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT query_id, clip_id, round(2 * (score - avg(score) OVER (PARTITION BY query_id)) / (stddev_pop(score) OVER (PARTITION BY query_id) + 1e-8::DOUBLE), 5) AS score FROM s)")
+def w04_all(spark, sf_dir, v):
+    s = _sims_all(v)
+    return evaluation.fuse({"a": s, "b": s}, "zscore").withColumn("score", F.round("score", 5))
+
+
 @query("x02_fusion_grid", "vectors")
 def x02(spark, sf_dir, v):
-    s = _sims(v)
-    return evaluation.fusion_grid({"a": s, "b": s.withColumn("score", -F.col("score")), "c": s}, {"a": "x", "b": "y", "c": "x"}, _truth(v))
+    s = _sims_all(v)
+    return evaluation.fusion_grid({"a": s, "b": s.withColumn("score", -F.col("score")), "c": s}, {"a": "x", "b": "y", "c": "x"}, _truth_all(v))
 
 
 @query("x03_failures", "vectors", f"SELECT * FROM (WITH {_SIMS} SELECT query_id, rank, wrong FROM r JOIN (SELECT query_id, min_by(clip_id, (-score, clip_id)) AS wrong FROM s GROUP BY query_id) USING (query_id) WHERE rank > 10 AND wrong <> query_id)")
@@ -268,6 +313,11 @@ def v05(spark, sf_dir, v):
     return vector_search.pooled(s).withColumn("score", F.round("score", 6))
 
 
+@query("v05_pooled_views_all", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(6))}), 6) AS score FROM vectors GROUP BY clip_id")
+def v05_all(spark, sf_dir, v):
+    return vector_search.pooled(vector_search.scored(v, _vec(v, 6))).withColumn("score", F.round("score", 6))
+
+
 @query("v08_image_upload", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(8))}), 6) AS score FROM vectors GROUP BY clip_id")
 def v08(spark, sf_dir, v):
     from ..plans.client import Client
