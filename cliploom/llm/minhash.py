@@ -120,6 +120,17 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["text"], "c long, s array<long>", each)
 
 
+def classes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, c (class id) of the rows with a set."""
+
+    def each(batches):
+        hashes = WordHashes()
+        for ids, texts in batches:
+            yield [(i, t, set_key(s)[0]) for i, t in zip(ids, texts, strict=True) if len(s := shingles(t, hashes))]
+
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, text string, c long", each)
+
+
 def prefix_posts(classes: DataFrame, percent: int) -> DataFrame:
     """(c, n, sig) -> token, c: the postings of the rarest coordinate-value pairs within the prefix."""
     token = F.expr("transform(sig, (v, j) -> shiftleft(cast(j as bigint), 32) | (cast(v as bigint) & 4294967295))")
@@ -244,5 +255,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: one document of each group."""
-    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    judged = near_duplicates(docs, percent).groupBy("doc_id")
+    judged = judged.agg(F.max("kept").alias("some_stay"), F.collect_set(F.when(~F.col("kept"), F.col("c"))).alias("copies"))
+    gone = materialize(judged.filter(F.size("copies") > 0), "gone")
+    out = docs.join(gone.filter("not some_stay").select("doc_id"), "doc_id", "left_anti")
+    # of a doc_id whose rows differ, only those go whose own text was judged a copy
+    some = gone.filter("some_stay").select("doc_id", F.explode("copies").alias("c"))
+    if some.limit(1).count():
+        texts = classes_of(docs.join(some.select("doc_id").distinct(), "doc_id", "left_semi"))
+        copies = materialize(texts.join(some, ["doc_id", "c"], "left_semi").select("doc_id", "text").distinct(), "copies")
+        out = out.join(copies, ["doc_id", "text"], "left_anti")
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -53,3 +53,10 @@ def test_pipeline_stage_takes_80(spark):
     want = kept_by_brute(rows, 80)
     assert want != kept_by_brute(rows, 85)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, PAIR), "").collect()} == want
+
+
+def test_rows_of_one_doc_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (5, None), (7, b), (7, a), (None, a), (9, a)], PAIR)
+    kept = sorted(map(str, [tuple(r) for r in minhash.dedup(d).collect()]))
+    assert kept == sorted(map(str, [(1, a), (5, b), (5, None), (None, a)]))
