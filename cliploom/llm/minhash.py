@@ -11,10 +11,17 @@ least ``least_matches(percent)`` coordinates but for a chance of about one in a
 * count: collisions of a candidate pair's signatures are counted, and pairs with fewer go.
 
 Kept pairs are confirmed on the full sets. A list of N classes isn't turned into its N * N pairs:
-each list first joins its members to one hub, the member with the fewest shingles of its own; when
-the confirmed links have been turned into components, only pairs of one list that are still in
-different components are compared. Members of the same component need no further comparison, as
-components are what is asked for.
+
+* each list first joins its members to one hub, the member with the fewest shingles of its own, and
+  the confirmed links are turned into components. Members of one component need no further
+  comparison, as components are what is asked for;
+* of a list with members in several components, short ones (``SHORT`` members) have those pairs
+  compared that lie in different components;
+* in longer ones a member is written as its differences from the hub, the shingles that only one of
+  both has. Two members are as far apart as their differences are, so a link needs many differences
+  in common; ``differences_in_common`` is the exact bound. Where everybody differs from the hub in
+  ways of their own, as copies with random edits do, no pairs are left, and where differences are
+  shared, only members that meet in a rare one are compared.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts of fewer
 than five words have their whole word sequence as one shingle; a null doc_id is linked with
@@ -40,7 +47,8 @@ COORDINATES = 64
 PERCENT = 85
 #: The chance that a link right at the threshold agrees in too few coordinates.
 MISS = 2.5e-6
-MAX_ROUNDS = 60
+#: Lists of up to so many members have their pairs compared; both ways are exact.
+SHORT = 16
 
 
 def least_matches(percent: int) -> int:
@@ -178,7 +186,7 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> c, label: the smallest node each node reaches, by neighbour minima and pointer jumps."""
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("label")), "label")
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels only fall, and a round without a change is the last
         near = both.join(label, both.b == label.c).groupBy("a").agg(F.min("label").alias("m"))
         new = label.join(near, label.c == near.a).select("c", F.least("label", "m").alias("to"), F.col("label").alias("was"))
         ahead = new.select(F.col("c").alias("to"), F.col("to").alias("jump"))
@@ -187,8 +195,8 @@ def components(links: DataFrame) -> DataFrame:
         drop_scratch(label)
         label = new.drop("was")
         if not changed:
+            drop_scratch(both)
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
@@ -201,6 +209,72 @@ def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
     return label.join(top, "label", "left").select("c", F.coalesce("to", "label").alias("label"))
 
 
+def still_apart(posts: DataFrame, hubs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """token, hub, c, label, n, s (shingles it may share), m (members): lists with members in several components, without
+    members that share too little for a link with the smallest partner that their list and their own size allow."""
+    member = posts.join(hubs, "token").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    several = lambda d, *more: d.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), *more).filter("x <> y").drop("x", "y")
+    smallest = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
+    shared = F.col("n") - F.col("own")
+    member = member.join(several(member, F.min("n").alias("least_n")), "token").filter(_enough(shared, F.col("n"), smallest, percent))
+    member = materialize(member.select("token", "hub", "c", "label", "n", shared.alias("s")), "apart")
+    return member.join(several(member, F.count("*").alias("m")), "token")
+
+
+def pairs_of_short_lists(member: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that meet in a list; a pair counts in the first list that it meets in."""
+    toks = posts.groupBy("c").agg(F.array_sort(F.collect_list("token")).alias("toks"))
+    member = materialize(member.select("token", "c", "label", "n", "s").join(toks, "c"), "short")
+    other = member.select("token", *[F.col(x).alias(f"{x}_b") for x in ("c", "label", "n", "s", "toks")])
+    meet = F.array_min(F.array_intersect("toks", "toks_b")) == F.col("token")
+    fits = _enough(F.least("s", "s_b"), F.col("n"), F.col("n_b"), percent)
+    pairs = member.join(other, "token").filter((F.col("label") != F.col("label_b")) & (F.col("c") < F.col("c_b")) & fits & meet)
+    return pairs.select(F.col("c").alias("a"), F.col("c_b").alias("b"))
+
+
+def differences(member: DataFrame, sets: DataFrame, label: DataFrame) -> DataFrame:
+    """hub, c, label, n, near (in the hub's component), d: a member's differences from the hub of its list."""
+    side = sets.select(F.col("c").alias("hub"), F.col("s").alias("s_hub"))
+    home = label.select(F.col("c").alias("hub"), F.col("label").alias("home"))
+    m = member.filter("c <> hub").select("hub", "c", "label", "n").distinct().join(home, "hub", "left")
+    m = m.join(sets.select("c", "s"), "c").join(side, "hub")
+    d = F.concat(F.array_except("s", "s_hub"), F.array_except("s_hub", "s"))
+    return m.select("hub", "c", "label", "n", (F.col("label") == F.coalesce("home", "hub")).alias("near"), d.alias("d"))
+
+
+def differences_in_common(diffs: DataFrame, percent: int) -> DataFrame:
+    """(hub, c, label, n, near, d) -> (a, b): pairs of one hub and of different components that may be linked.
+
+    With D the differences, a link of a and b needs ``2 * (100 + percent) * |Da & Db| >= low(a) + low(b)``, where
+    ``low = (100 + percent) * |D| - (100 - percent) * n``. As |Da & Db| is at most the number of differences of
+    either one that others have as well, ``top(a) = 2 * (100 + percent) * shared(a) - low(a)`` is the most that
+    ``low(b)`` may be. One of a pair is outside the hub's component (far), and low(a) + low(b) is above zero then, so the
+    pair meets in a difference of both, and in one of the rarest, as in any prefix join.
+    """
+    unit = 100 + percent
+    each = diffs.select("hub", "c", F.explode("d").alias("e"))
+    common = each.groupBy("hub", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = each.join(common, ["hub", "e"]).groupBy("hub", "c").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    low = (unit * F.size("d") - (100 - percent) * F.col("n")).cast("long")
+    x = diffs.select("hub", "c", "label", "near", low.alias("low")).join(shared, ["hub", "c"])
+    x = materialize(x.withColumn("top", 2 * unit * F.size("es") - F.col("low")), "differ")
+    # members that a far one may be linked with, and the far ones that may be linked with these
+    far = x.filter("not near").groupBy("hub").agg(F.min("low").alias("far_low"))
+    partner = x.join(far, "hub").filter("top >= far_low")
+    reach = partner.groupBy("hub").agg(F.min("low").alias("near_low"), F.max("top").alias("near_top"))
+    far = x.filter("not near").join(reach, "hub").filter("low <= near_top and top >= near_low")
+
+    def posted(d: DataFrame, least: str) -> DataFrame:
+        need = F.greatest(F.lit(1), F.ceil((F.col("low") + F.col(least)) / (2 * unit)))
+        room = (F.size("es") - need + 1).cast("int")
+        return d.filter(room > 0).select("hub", "c", "label", "low", "top", F.explode(F.slice("es", F.lit(1), room)).alias("e")).withColumn("e", F.col("e.e"))
+
+    other = posted(partner, "far_low").select("hub", "e", *[F.col(k).alias(f"{k}_b") for k in ("c", "label", "low", "top")])
+    fits = (F.col("label") != F.col("label_b")) & (F.col("top_b") >= F.col("low")) & (F.col("top") >= F.col("low_b"))
+    pairs = posted(far, "near_low").join(other, ["hub", "e"]).filter(fits)
+    return pairs.select(F.least("c", "c_b").alias("a"), F.greatest("c", "c_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and c: the class of equal sets (null where nothing can be linked).
 
@@ -210,43 +284,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialize(
         rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
     )
-    posts = materialize(prefix_posts(classes, percent), "posts")
-    posted = posts.select("c").distinct()
+    found = materialize(prefix_posts(classes, percent), "posts")
     # one row of each posted class brings its set
-    reps = classes.join(posted, "c", "left_semi").select("c", "n", F.col("rep").alias("doc_id"))
+    reps = classes.join(found.select("c").distinct(), "c", "left_semi").select("c", "n", F.col("rep").alias("doc_id"))
     brought = docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi")
-    found = shingle_sets(brought).groupBy("c").agg(F.first("s").alias("s"))
-    sets = materialize(found.join(reps.select("c", "n"), "c"), "sets")
+    sets = shingle_sets(brought).groupBy("c").agg(F.first("s").alias("s"))
+    sets = materialize(sets.join(reps.select("c", "n"), "c"), "sets")
     near = materialize(within_reach(sets, percent), "reach")
-    posts = materialize(posts.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
+    posts = materialize(found.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
     sigs = classes.join(near, "c", "left_semi").select("c", "n", "sig")
 
-    hub = posts.groupBy("token").agg(F.min_by("c", F.struct("own", "rep")).alias("hub"))
-    star = posts.join(hub, "token").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
+    hubs = posts.groupBy("token").agg(F.min_by("c", F.struct("own", "rep")).alias("hub"))
+    star = posts.join(hubs, "token").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
     links = materialize(confirm(star, sigs, sets, percent), "links")
     first = components(links)
 
-    # pairs of a list that are still apart; a member without links is a component of its own
-    toks = posts.groupBy("c").agg(F.array_sort(F.collect_list("token")).alias("toks"))
-    member = posts.join(first, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    lists = member.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least_n")).filter("x <> y").drop("x", "y")
-    # what a member shares must be enough for the smallest partner that the list and its own size allow
-    smallest = F.greatest("least_n", F.ceil(F.col("n") * percent / 100))
-    member = member.join(lists, "token").filter(_enough(F.col("n") - F.col("own"), F.col("n"), smallest, percent))
-    member = materialize(member.select("token", "c", "label", "n", (F.col("n") - F.col("own")).alias("s")).join(toks, "c"), "apart")
-    other = member.select("token", *[F.col(x).alias(f"{x}_b") for x in ("c", "label", "n", "s", "toks")])
-    # a pair may meet in many lists; it counts in the first one
-    meet = F.array_min(F.array_intersect("toks", "toks_b")) == F.col("token")
-    fits = _enough(F.least("s", "s_b"), F.col("n"), F.col("n_b"), percent)
-    rest = member.join(other, "token").filter((F.col("label") != F.col("label_b")) & (F.col("c") < F.col("c_b")) & fits & meet)
-    rest = rest.select(F.col("c").alias("a"), F.col("c_b").alias("b"))
+    apart = materialize(still_apart(posts, hubs, first, percent), "apart")
+    rest = pairs_of_short_lists(apart.filter(F.col("m") <= SHORT), posts, percent)
+    longer = apart.filter(F.col("m") > SHORT)
+    if longer.limit(1).count():
+        diffs = materialize(differences(longer, sets, first), "diffs")
+        rest = rest.unionByName(differences_in_common(diffs, percent)).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
     more = materialize(confirm(rest, sigs, sets, percent), "links")
     label = first if not more.limit(1).count() else _joined(first, more)
 
     home = classes.select("c", "rep").join(label, "c", "left")
     linked = home.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
-    home = home.join(linked, "label", "left").select("c", F.coalesce("component_id", "rep").alias("component_id"))
+    home = materialize(home.join(linked, "label", "left").select("c", F.coalesce("component_id", "rep").alias("component_id")), "home")
+    for done in (classes, found, sets, near, posts, links, first, more):
+        drop_scratch(done)
     out = rows.select("doc_id", "n", "c").join(home, "c", "left")
     # an empty set is a component of its own
     own = F.coalesce("component_id", "doc_id")

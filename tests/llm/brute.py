@@ -20,7 +20,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
-def components(rows):
+def components(rows, percent=85):
     """(doc_id, text) of distinct ids -> {doc_id: (n_shingles, component_id, kept)}, by comparing all pairs."""
     sets = {d: shingle_set(t) for d, t in rows}
     parent = {d: d for d in sets}
@@ -33,9 +33,9 @@ def components(rows):
     ids = sorted(d for d in sets if sets[d])
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if 100 * min(len(sets[a]), len(sets[b])) >= 85 * max(len(sets[a]), len(sets[b])):
+            if 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])):
                 both = len(sets[a] & sets[b])
-                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                     x, y = sorted((find(a), find(b)))
                     parent[y] = x
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}

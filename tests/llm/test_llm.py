@@ -276,7 +276,7 @@ def test_pipeline(spark, docs, corpus, tmp_path):
     got = {r.doc_id: r for r in p.run(spark, str(tmp_path)).collect()}
     kept = {r.doc_id for r in quality.judge(plain).filter("kept").collect()}
     rows = [r[:2] for r in corpus if r[0] in kept]
-    parts = brute.components(rows)
+    parts = brute.components(rows, p.NEAR_PERCENT)
     rows = [r for r in rows if parts[r[0]][2]]
     cut = {d: b" ".join(w for w, g in zip(words, gone, strict=True) if not g) for d, (words, gone) in brute.removals(rows).items()}
     meta = {r[0]: r for r in corpus}

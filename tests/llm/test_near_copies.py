@@ -30,15 +30,7 @@ def near_copies():
 
 
 def kept_by_brute(rows, percent):
-    """As brute.components, at any threshold: the smallest doc_id of each group."""
-    sets, group = {d: brute.shingle_set(t) for d, t in rows}, {d: d for d, _ in rows}
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((group[a], group[b]))
-                group = {d: x if g == y else g for d, g in group.items()}
-    return {d for d, g in group.items() if d == g}
+    return {d for d, (_, _, kept) in brute.components(rows, percent).items() if kept}
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -60,3 +52,51 @@ def test_rows_of_one_doc_id(spark):
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (5, None), (7, b), (7, a), (None, a), (9, a)], PAIR)
     kept = sorted(map(str, [tuple(r) for r in minhash.dedup(d).collect()]))
     assert kept == sorted(map(str, [(1, a), (5, b), (5, None), (None, a)]))
+
+
+def copies(kind, n, rng):
+    """n copies of one text, with edits of their own or edits that many of them share, up to a third of the words."""
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in sorted(rng.sample(range(5, 115), rng.choice([0, 1, 2, 2, 3, 3, 4, 5, 8])), reverse=True):
+            if kind == "shared":
+                at = at // 20 * 20 + 7
+            if kind == "drop" or rng.random() < 0.3:
+                del w[at]
+            else:
+                w[at] = "same" if kind == "shared" else f"v{rng.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_long_lists(spark, percent):
+    """Groups of more copies than a short list has, some of them linked only through one another."""
+    rng = random.Random(percent)
+    texts = [t for kind in ("own", "shared", "drop") for t in copies(kind, 90, rng)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute.components(rows, percent)
+    assert len({c for _, c, _ in want.values()}) > 10
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, PAIR), percent).collect()}
+    assert got == want
+
+
+def test_few_pairs_are_left(spark):
+    """Copies with edits of their own: no pair of members far from the hub is left, however many there are."""
+    n, size = 200, 100
+    far = [(0, c, c, size, False, [c * 1000 + k for k in range(12)] + [-k for k in range(c % 50, c % 50 + 12)]) for c in range(1, n)]
+    d = spark.createDataFrame([*far, (0, n, 0, size, True, [n * 1000])], "hub long, c long, label long, n int, near boolean, d array<long>")
+    assert minhash.differences_in_common(d, 85).count() == 0
+    twins = [(0, n + 1 + k, n + 1 + k, size, False, [n * 9999 + j for j in range(22)] + [k]) for k in range(2)]
+    more = d.unionByName(spark.createDataFrame(twins, d.schema))
+    assert [tuple(r) for r in minhash.differences_in_common(more, 85).collect()] == [(n + 1, n + 2)]
+
+
+def test_recall_of_all_documents(spark):
+    """Every link of the synthetic corpus that comparing all pairs finds, found within one component."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, PAIR)).collect()}
+    assert got == brute.components(rows)
