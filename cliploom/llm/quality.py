@@ -2,10 +2,12 @@
 
 Each document gets a few metrics. Per language and source, a log-bucket histogram of each metric is
 a mergeable quantile sketch of 1 % relative error: sketches of parts add up by their counts, so the
-sketch of a language is the sum of its sources'. Fences of quartiles and their distance replace
-fixed cutoffs; a group's fence is held within its language's, so that a source which is mostly junk
-doesn't set its own standard, and groups of few documents take their language's. The thresholds are
-joined to the documents, and documents beyond any of them are rejected.
+sketch of a language is the sum of its sources'. Thresholds are fences made of a sketch's quartiles and
+their distance alone; no metric has a cutoff of its own. Metrics that are zero for most documents are
+sketched over their positive values, whose fences are multiples (quartiles of logarithms), as their
+quartiles would be zero otherwise. A group's fence is held within its language's, so that a source
+which is mostly junk doesn't set its own standard, and groups of few values take their language's. The
+thresholds are joined to the documents, and documents beyond any of them are rejected.
 
 Defined results: null and empty texts have no words and fail the base rule; null languages and
 sources are groups of their own; repeated rows are judged alike; texts are read whole; an empty
@@ -28,27 +30,30 @@ SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 
 
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
 @dataclass(frozen=True)
 class Metric:
-    """An expression over the counts, and how far beyond a group's quartiles a clean document may lie at least."""
+    """An expression over the counts; ``rare`` ones are zero for most documents."""
 
     name: str
     value: str
-    slack: float
+    rare: bool = False
     two_sided: bool = False
 
 
 METRICS = (
-    Metric("symbols", "n_symbols / greatest(word_chars, 1)", 0.03),
-    Metric("dup_lines", "n_dup_lines / greatest(n_lines, 1)", 0.4),
-    Metric("repeats", "n_repeat_words / greatest(n_words, 1)", 0.35),
-    Metric("capitals", "n_capitals / greatest(word_chars, 1)", 0.3),
-    Metric("word_length", "word_chars / greatest(n_words, 1)", 1.2, True),
+    Metric("punctuation", "n_punctuation / greatest(word_chars, 1)"),
+    Metric("dup_lines", "n_dup_lines / greatest(n_lines, 1)", rare=True),
+    Metric("repeats", "n_repeat_words / greatest(n_words, 1)", rare=True),
+    Metric("capitals", "n_capitals / greatest(word_chars, 1)"),
+    Metric("word_length", "word_chars / greatest(n_words, 1)", two_sided=True),
 )
-#: Multiples of the quartile distance for a group and for its language; documents that a group needs.
-GROUP_REACH, LANGUAGE_REACH, LEAST_DOCS = 3.0, 6.0, 50
+#: Multiples of the quartile distance for a group and for its language, and for rare metrics; values that a group needs.
+GROUP_REACH, LANGUAGE_REACH, RARE_REACH, LEAST_DOCS = 3.0, 4.0, 1.5, 50
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_punctuation")
 
 
 def counts(text: str | None) -> tuple[int, ...]:
@@ -68,7 +73,7 @@ def counts(text: str | None) -> tuple[int, ...]:
     joined = b"".join(words)
     return (
         n, len(joined.decode()), len(joined) - len(joined.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated,
-        len(lines), len(joined) - len(joined.translate(None, CAPITALS)),
+        len(lines), len(joined) - len(joined.translate(None, CAPITALS)), len(joined) - len(joined.translate(None, PUNCTUATION)),
     )
 
 
@@ -90,11 +95,11 @@ def features(docs: DataFrame) -> DataFrame:
 
 def sketch(feats: DataFrame) -> DataFrame:
     """Histogram sketches: lang_key, source_key, metric, bucket, n. Equal to the sum of the sketches of any parts."""
-    values = F.explode(F.array(*[F.struct(F.lit(m.name).alias("metric"), F.expr(m.value).cast("double").alias("v")) for m in METRICS]))
+    values = F.explode(F.array(*[F.struct(F.lit(m.name).alias("metric"), F.expr(m.value).cast("double").alias("v"), F.lit(m.rare).alias("rare")) for m in METRICS]))
     bucket = F.when(F.col("v") > 0, F.ceil(F.log("v") / math.log(GAMMA))).otherwise(F.lit(-100_000)).cast("int")
     return (
         feats.filter(~base_failed()).select("lang_key", "source_key", values.alias("x")).select("lang_key", "source_key", "x.*")
-        .groupBy("lang_key", "source_key", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+        .filter("v > 0 or not rare").groupBy("lang_key", "source_key", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     )
 
 
@@ -123,9 +128,12 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     few, l_few = F.col("docs") < LEAST_DOCS, F.col("ldocs") < LEAST_DOCS
     l25, l75 = F.when(l_few, F.col("a25")).otherwise(F.col("l25")), F.when(l_few, F.col("a75")).otherwise(F.col("l75"))
     g25, g75 = F.when(few, l25).otherwise(F.col("q25")), F.when(few, l75).otherwise(F.col("q75"))
-    slack = F.element_at(F.create_map(*[F.lit(y) for m in METRICS for y in (m.name, m.slack)]), F.col("metric"))
-    high = F.least(g75 + GROUP_REACH * (g75 - g25), l75 + LANGUAGE_REACH * (l75 - l25)) + slack
-    low = F.greatest(g25 - GROUP_REACH * (g75 - g25), l25 - LANGUAGE_REACH * (l75 - l25)) - slack
+    rare = F.col("metric").isin([m.name for m in METRICS if m.rare])
+    up = lambda a, b, reach: F.when(rare, b * F.pow(b / a, F.lit(RARE_REACH))).otherwise(b + reach * (b - a)) * GAMMA
+    down = lambda a, b, reach: (a - reach * (b - a)) / GAMMA
+    # a bucket's width more, so that no value of the quartile's own bucket is beyond it
+    high = F.least(up(g25, g75, GROUP_REACH), up(l25, l75, LANGUAGE_REACH))
+    low = F.greatest(down(g25, g75, GROUP_REACH), down(l25, l75, LANGUAGE_REACH))
     x = x.select("lang_key", "source_key", "metric", low.alias("low"), high.alias("high"))
     one = lambda m, c: F.max(F.when(F.col("metric") == m.name, F.col(c))).alias(f"{c}_{m.name}")
     return x.groupBy("lang_key", "source_key").agg(*[one(m, c) for m in METRICS for c in ("low", "high")])
@@ -145,7 +153,7 @@ def verdict():
 def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Features and thresholds, both written to the shared folder."""
     feats = materialize(features(docs), "quality")
-    return feats, materialize(thresholds(sketch(feats)), "fences").coalesce(1)
+    return feats, materialize(thresholds(sketch(feats)), "fences")
 
 
 def judge(docs: DataFrame) -> DataFrame:
