@@ -6,8 +6,9 @@ contiguous region with the highest sum; pieces inside it whose words score below
 the article, say) are left out.
 
 Defined results: null, empty and word-free pages give an empty text; repeated rows give equal rows;
-pages are read whole, cut off anywhere, with unclosed elements or not; other columns are not read;
-an empty table gives no rows. White space is Unicode's.
+pages are read whole, cut off anywhere, with unclosed elements or not, in time that grows with their
+length however deep they nest; other columns are not read; an empty table gives no rows. White space
+is Unicode's.
 """
 
 from __future__ import annotations
@@ -44,36 +45,83 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _NAME = re.compile(r"[a-z]+")
 
 
-@dataclass
-class Piece:
-    """Text with the features of the elements around it, or a tag (text None)."""
-
-    text: str | None
-    features: frozenset = frozenset()
-    tag: str = ""
-    breaks: bool = False
-
-
 @dataclass
 class Weights:
-    words: dict[str, float] = field(default_factory=dict)
-    tags: dict[str, float] = field(default_factory=dict)
+    """Log-odds of features in millionths, so that sums don't depend on the order of addition, and costs of tags."""
 
-    def word(self, features: frozenset) -> float:
-        """A word's score: 1 where nothing speaks against it. Words of other parts cost little, so that an
-        article goes on after a long advert; they are left out all the same."""
-        s = [self.words.get(f, 0.0) for f in features]
-        against = sum(x for x in s if x < 0)
-        return 1.0 if not against else max(-0.25, min(1.0, 1.0 + against + min(3.0, sum(x for x in s if x > 0))))
+    words: dict[str, int] = field(default_factory=dict)
+    tags: dict[str, float] = field(default_factory=dict)
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, -0.1)
 
 
-def features_of(tag: str, attrs: str, inside: tuple[str, ...]) -> frozenset:
+class Around:
+    """The distinct features of the open elements, kept as elements open and close."""
+
+    def __init__(self):
+        self.count: dict[str, int] = {}
+        self.hidden = 0
+
+    def keep(self, feature: str) -> bool:
+        return True
+
+    def open(self, features: frozenset) -> list[str]:
+        """The features to close again."""
+        kept = [f for f in features if f in HIDING or self.keep(f)]
+        for f in kept:
+            n = self.count[f] = self.count.get(f, 0) + 1
+            if n == 1:
+                self.change(f, 1)
+        return kept
+
+    def close(self, kept: list[str]) -> None:
+        for f in kept:
+            self.count[f] -= 1
+            if not self.count[f]:
+                del self.count[f]
+                self.change(f, -1)
+
+    def change(self, feature: str, by: int) -> None:
+        self.hidden += by * (feature in HIDING)
+
+
+class Scored(Around):
+    """The score of a word below the open elements: 1 where nothing speaks against it.
+
+    Words of other parts cost little, so that an article goes on after a long advert; they are left out all the same.
+    """
+
+    def __init__(self, weights: Weights):
+        super().__init__()
+        self.words, self.against, self.favour = weights.words, 0, 0
+
+    def keep(self, feature: str) -> bool:
+        return bool(self.words.get(feature))
+
+    def change(self, feature: str, by: int) -> None:
+        super().change(feature, by)
+        w = self.words.get(feature, 0)
+        if w < 0:
+            self.against += by * w
+        else:
+            self.favour += by * w
+
+    def word(self) -> float:
+        if self.hidden:
+            return 0.0
+        if not self.against:
+            return 1.0
+        return max(-0.25, min(1.0, 1.0 + self.against / 1e6 + min(3.0, self.favour / 1e6)))
+
+
+#: Features of elements that are never shown.
+HIDING = frozenset({"hidden", *(f"<{t}>" for t in HIDDEN)})
+
+
+def features_of(tag: str, attrs: str, in_article: bool) -> frozenset:
     """Features of one element: its tag, and the words of its class, id and role; hidden ones have their own."""
-    name = f"{tag}-in-article" if tag in ("header",) and ("article" in inside or "main" in inside) else tag
-    out = {f"<{name}>"}
+    out = {f"<{tag}-in-article>" if tag == "header" and in_article else f"<{tag}>"}
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
@@ -84,37 +132,44 @@ def features_of(tag: str, attrs: str, inside: tuple[str, ...]) -> frozenset:
     return frozenset(out)
 
 
-def pieces(page: str) -> Iterator[Piece]:
-    """The page as pieces, in order."""
-    stack: list[tuple[str, frozenset]] = []
+def pieces(page: str, around: Around) -> Iterator[tuple[str | None, str, bool]]:
+    """The page in order: (text, "", False), or (None, tag, whether it breaks the line); ``around`` follows the open elements."""
+    stack: list[tuple[str, list[str]]] = []
+    depth: Counter = Counter()
+
+    def pop() -> str:
+        tag, kept = stack.pop()
+        depth[tag] -= 1
+        around.close(kept)
+        return tag
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
-            yield Piece(page[at:], stack[-1][1] if stack else frozenset())
+            yield page[at:], "", False
             return
         if m.start() > at:
-            yield Piece(page[at : m.start()], stack[-1][1] if stack else frozenset())
+            yield page[at : m.start()], "", False
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                yield Piece(html.escape(m[0][9:].removesuffix("]]>"), quote=False), stack[-1][1] if stack else frozenset())
+                yield html.escape(m[0][9:].removesuffix("]]>"), quote=False), "", False
             continue
         tag, breaks = m[2].lower(), m[2].lower() not in INLINE
-        yield Piece(None, tag=tag, breaks=breaks)
+        yield None, tag, breaks
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            while depth[tag] and pop() != tag:
+                pass
             continue
         if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW:
             continue
         shut = CLOSES.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
         while stack and stack[-1][0] in shut or stack and stack[-1][0] in INLINE and shut and any(t in shut for t, _ in stack[-4:]) and tag in CLOSES_P:
-            stack.pop()
-        names = tuple(t for t, _ in stack)
-        stack.append((tag, (stack[-1][1] if stack else frozenset()) | features_of(tag, m[3], names)))
+            pop()
+        kept = around.open(features_of(tag, m[3], bool(depth["article"] or depth["main"])))
+        stack.append((tag, kept))
+        depth[tag] += 1
         if tag in RAW:
             close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             at = close.start() if close else end
@@ -122,71 +177,72 @@ def pieces(page: str) -> Iterator[Piece]:
                 return
 
 
-_SHOWN = re.compile("|".join(f"<{t}>" for t in sorted(HIDDEN)))
-
-
-def hidden(features: frozenset) -> bool:
-    return "hidden" in features or any(f[1:-1] in HIDDEN for f in features if f[0] == "<")
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """[from, to) of the contiguous run with the greatest sum, the first of those that tie; (0, 0) if no sum is above zero."""
+    best = best_from = best_to = run = start = 0
+    for i, score in enumerate(scores):
+        if run <= 0:
+            run, start = 0, i
+        run += score
+        if run > best:
+            best, best_from, best_to = run, start, i + 1
+    return best_from, best_to
 
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: block texts in page order, joined by one space."""
     if not page:
         return ""
-    known: dict[frozenset, float] = {}
-    parts: list[tuple[float, Piece]] = []
-    for p in pieces(page):
-        if p.text is None:
-            parts.append((weights.tag(p.tag), p))
+    around = Scored(weights)
+    scores: list[float] = []
+    parts: list[tuple[str | None, bool]] = []  # text, and whether it may be shown or breaks the line
+    for text, tag, breaks in pieces(page, around):
+        if text is None:
+            scores.append(weights.tag(tag))
+            parts.append((None, breaks))
         else:
-            if p.features not in known:
-                known[p.features] = 0.0 if hidden(p.features) else weights.word(p.features)
-            parts.append((known[p.features] * len(p.text.split()), p))
-    best = best_from = best_to = run = start = 0
-    for i, (score, _) in enumerate(parts):
-        if run <= 0:
-            run, start = 0, i
-        run += score
-        if run > best:
-            best, best_from, best_to = run, start, i + 1
+            scores.append(around.word() * len(text.split()))
+            parts.append((text, not around.hidden))
+    a, b = best_region(scores)
     out: list[str] = []
     block: list[str] = []
-    for score, p in parts[best_from:best_to]:
-        if p.text is None:
-            if p.breaks:
+    for score, (text, flag) in zip(scores[a:b], parts[a:b], strict=True):
+        if text is None:
+            if flag:
                 out.append("".join(block))
                 block = []
-        elif score > 0 or not p.text.strip() and not hidden(p.features):
-            block.append(html.unescape(p.text))
+        elif score > 0 or flag and not text.strip():
+            block.append(html.unescape(text))
     out.append("".join(block))
     return " ".join(w for b in out for w in b.split())
 
 
-def fit(labelled: list[tuple[str, bool]]) -> Weights:
-    """Weights from labelled pages, given as (page, is content) for each marked part: see labelled_pages.
+def fit(labelled: list[tuple[str, frozenset]]) -> Weights:
+    """Weights from labelled pages, given as (page, the words that are content): see labelled_pages.
 
     The weight of a feature is the smoothed log-odds of words below it being content.
     """
     good, bad, tag_good, tag_bad = Counter(), Counter(), Counter(), Counter()
     for page, marks in labelled:
-        for p in pieces(page):
-            if p.text is None:
-                last_tag = p.tag
-                pending = last_tag
-                tag_bad[pending] += 1
+        around, last_tag = Around(), ""
+        for text, tag, _ in pieces(page, around):
+            if text is None:
+                last_tag = tag
+                tag_bad[tag] += 1
                 continue
-            words = p.text.split()
-            if not words or hidden(p.features):
+            words = text.split()
+            if not words or around.hidden:
                 continue
             main = words[0] in marks
-            (good if main else bad).update({f: len(words) for f in p.features})
+            (good if main else bad).update({f: len(words) for f in around.count})
             if main:
                 tag_good[last_tag] += 1
     g, b = sum(good.values()) or 1, sum(bad.values()) or 1
     out = Weights()
     for f in good.keys() | bad.keys():
         w = math.log((good[f] + 0.5) / (g + 1)) - math.log((bad[f] + 0.5) / (b + 1))
-        out.words[f] = max(-8.0, min(2.0, w)) if abs(w) > 1.5 else 0.0
+        if abs(w) > 1.5:
+            out.words[f] = round(max(-8.0, min(2.0, w)) * 1e6)
     for t in tag_bad:
         out.tags[t] = -min(0.5, max(0.02, 0.05 * math.log((tag_bad[t] + 1) / (tag_good[t] + 1)) + 0.05))
     return out
