@@ -80,27 +80,36 @@ class RuleIndex:
         return best
 
 
+def made_names(n: int, seed: int = 3) -> list[str]:
+    """Host names that say nothing: two to four syllables each, by a fixed draw."""
+    rng = np.random.default_rng(seed)
+    syllables = [c + v + e for c in "b c d f g k l m n p r s v z br cl dr pl st".split() for v in "aeiou" for e in ("", "", "l", "n")]
+    return ["".join(rng.choice(syllables, rng.integers(2, 5))) for _ in range(n)]
+
+
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: (url, 1 to block). Hosts and paths as people write them, crossed by a rule."""
+    """The small labelled table: (url, 1 to block). Names as people give them to such hosts, and clean ones, partly
+    made by a rule; crossed with subdomains, paths and ends. None of them is taken from a table that is judged."""
     bad = (
-        "cheap-pills casino-win ads-track spam-farm free-casino best-pills win-money click-track ad-server spam-links "
-        "poker-bonus pills-online slots-win track-pixel link-farm viagra-cheap loan-fast bet-win adclick popup-ads "
-        "bets-online free-bets adult-x adult-video adult-cams xxx-adult free-spins"
+        "free-casino best-pills win-money click-track ad-server spam-links poker-bonus pills-online slots-win track-pixel "
+        "link-farm viagra-cheap loan-fast bet-win adclick popup-ads bets-online adult-video adult-cams xxx-adult free-spins "
+        "casino-online casino-bonus cheap-meds cheap-watches win-prizes spam-mailer content-farm free-bet-tips ads-network ads-banner"
     ).split()
     good = (
         "news weather library museum science garden history school recipes travel library-archive city-hall "
-        "thering tionsh ththan therha thernd health-info open-data research music-school blog-writer bookshop "
-        "football-club winter-sports tracking-history cheaptravel farm-museum pharmacy-board advice public-service"
+        "health-info open-data research music-school blog-writer bookshop football-club winter-sports tracking-history "
+        "cheaptravel farm-museum pharmacy-board advice public-service adulthood-study freedom-press windmill alphabet "
+        "railtrack-museum farmers-market betterment castle-tours address-book loanword-dictionary"
     ).split()
-    subs, tops = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org")
-    langs = ("en", "de", "fr", "es")
+    rng = np.random.default_rng(1)
+    draw = lambda *options: options[rng.integers(len(options))]  # noqa: E731  drawn, so that nothing but the name goes with the label
     rows = []
-    for label, hosts in ((1, bad), (0, good)):
-        for k, h in enumerate(hosts):
-            for j in range(6):
-                n = 37 * k + 101 * j
-                end = ("", "/", ".html", "?page=2", "#top", "?utm_source=feed")[j]
-                rows.append((f"http://{subs[(k + j) % 4]}{h}.{tops[(k + j) % 3]}/{langs[j % 4]}/{n}{end}", label))
+    for label, hosts in ((1, bad), (0, good), (0, made_names(90))):
+        for h in hosts:
+            for _ in range(8):
+                host = f"{draw('', 'www.', 'm.', 'blog.')}{h}.{draw('example.com', 'example.net', 'example.org')}"
+                end = draw("", "/", ".html", "?page=2", "#top", "?utm_source=feed")
+                rows.append((f"http://{host}/{draw('en', 'de', 'fr', 'es')}/{rng.integers(10_000)}{end}", label))
     return rows
 
 
@@ -129,6 +138,13 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
+def gradient(w: np.ndarray, b: float, at: np.ndarray, cols: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float) -> tuple[np.ndarray, float]:
+    """Gradient of the mean log loss plus l2 / 2 * |w|^2; row ``at[k]`` has the value ``x[k]`` in column ``cols[k]``."""
+    z = np.bincount(at, w[cols] * x, len(y)) + b
+    g = (1 / (1 + np.exp(-z)) - y) / len(y)
+    return np.bincount(cols, g[at] * x, len(w)) + l2 * w, float(g.sum())
+
+
 def train(rows: list[tuple[str, int]], steps: int = 400, rate: float = 6.0, l2: float = 1e-4) -> Model:
     """Full-batch gradient descent from zero: the same rows give the same weights."""
     feats = [features(*split_url(u)) for u, _ in rows]
@@ -138,10 +154,8 @@ def train(rows: list[tuple[str, int]], steps: int = 400, rate: float = 6.0, l2:
     x = np.repeat([1 / np.sqrt(max(1, len(f))) for f in feats], [len(f) for f in feats])
     w, b = np.zeros(1 << N_BITS), 0.0
     for _ in range(steps):
-        z = np.bincount(at, w[cols] * x, len(rows)) + b
-        g = (1 / (1 + np.exp(-z)) - y) / len(rows)
-        w -= rate * (np.bincount(cols, g[at] * x, 1 << N_BITS) + l2 * w)
-        b -= rate * g.sum()
+        gw, gb = gradient(w, b, at, cols, x, y, l2)
+        w, b = w - rate * gw, b - rate * gb
     return Model(w, b)
 
 
