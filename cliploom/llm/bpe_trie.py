@@ -10,7 +10,8 @@ tokens.
 Defined results: null and empty texts have no tokens; texts of any length are encoded whole; equal
 texts get equal ids; the library's special tokens in a text become their own ids, as the library
 does with ``add_special_tokens=False``; an empty table gives an empty table; only the id and text
-columns are read, so other columns may have any name.
+columns are read, so other columns may have any name. Only tokenizer files whose words end at white
+space are taken (see ``drops_spaces``); others raise ValueError before anything runs.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ import json
 import os
 import re
 import struct
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 
 from .common import map_rows
 
 DEFAULT_FILE = "word_bpe_49k.json"
-#: Words whose encodings a worker keeps, in each of two generations.
-CACHE_WORDS = 300_000
+#: Bytes of keys and encodings that a worker keeps, about, in each of two generations.
+CACHE_BYTES = 64 << 20
+#: Entries of each of the trie's tables; a full one is begun anew.
+TABLE_ENTRIES = 1_000_000
 
 
 def tokenizer_path(name: str = DEFAULT_FILE) -> str:
@@ -51,30 +52,61 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-#: The tokenizer's words: contractions, runs of letters, single digits, runs of the rest; white space goes.
-#: The same pattern for ASCII, for Latin-1, and for any text, as the standard library's patterns are faster.
+#: The words of the tokenizer's splitter in lower-cased ASCII and Latin-1: contractions, runs of letters, single digits, runs of the rest.
 _ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\x09-\\x0d a-z0-9]+")
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\x09-\\x0d \\x85\\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
-_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
 _BEYOND = re.compile("[^\\x00-\\xff]")
+#: The normalizer and splitter that these patterns stand for (fixed values of the tokenizer's format).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def drops_spaces(spec: dict) -> bool:
+    """True for a tokenizer file that lower-cases, drops white space and splits as _SPLITTER."""
+    plain = all(not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in spec["added_tokens"])
+    return plain and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLITTER
 
 
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def library(path: str):
+    """The tokenizers library's object for a file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 class Splitter:
-    """Words of a text as the tokenizer sees them; BPE never joins across words."""
+    """Words of a text as the tokenizer sees them; BPE never joins across words.
 
-    def __init__(self, special: dict[str, int]):
-        self.special = special
-        self.special_re = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+    Texts of Latin-1 characters, which normalizing only lower-cases, go through a pattern; others through the
+    library's normalizer and splitter, so that character classes are the library's own.
+    """
+
+    def __init__(self, path: str):
+        t = library(path)
+        self.normalize, self.pieces = t.normalizer.normalize_str, t.pre_tokenizer.pre_tokenize_str
+        self.special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+        self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.sign = os.path.commonprefix(list(self.special))
 
     def __call__(self, text: str | None) -> list[str]:
         """Words after normalizing; special tokens whole."""
         if not text:
             return []
-        if not self.special_re or "<" not in text or not self.special_re.search(text):
+        if not self.special_re or self.sign not in text or not self.special_re.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.special_re.finditer(text):
@@ -85,10 +117,10 @@ class Splitter:
     def _plain(self, part: str) -> list[str]:
         if part.isascii():
             return _ASCII.findall(part.lower())
-        low = unicodedata.normalize("NFC", part)
-        # one character at a time where str.lower() would look at its neighbours
-        low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)
-        return (_LATIN if not _BEYOND.search(low) else _ANY).findall(low)
+        if not _BEYOND.search(part):
+            return _LATIN.findall(part.lower())
+        low = self.normalize(part)
+        return [low[a:b] for _, (a, b) in self.pieces(low)]
 
 
 class TrieBPE:
@@ -101,11 +133,13 @@ class TrieBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not drops_spaces(spec) or spec["model"]["type"] != "BPE" or not spec["model"]["end_of_word_suffix"] or spec["decoder"]:
+            raise ValueError(f"{path}: only BPE with word ends, white space dropped and no decoder")
         model, self.alphabet = spec["model"], _byte_chars()
         self.suffix = model["end_of_word_suffix"] or ""
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of = {i: t.encode() for t, i in (model["vocab"] | added).items()}
-        self.special, self.split = added, Splitter(added)
+        self.special, self.split = added, Splitter(path)
         self.ids = {s: i for t, i in model["vocab"].items() if (s := self._symbols_of_token(t)) is not None}
         self.rank: dict[tuple[str, str], int] = {}
         for k, m in enumerate(model["merges"]):
@@ -209,6 +243,9 @@ class TrieBPE:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of distinct symbol strings, by one depth-first pass over their trie."""
+        for kept in (self._follow, self._next, self._ending):
+            if len(kept) > TABLE_ENTRIES:
+                kept.clear()
         out, before = {}, ""
         last, back, states = [-1], [0], [0]
         follow, moves, endings = self._follow, self._next, self._ending
@@ -265,58 +302,73 @@ def encoder(path: str) -> TrieBPE:
     return TrieBPE(path)
 
 
-class WordCache:
-    """Packed ids by word, in two generations: what a generation didn't use is forgotten."""
+class Kept:
+    """Values by key in two generations, each of about ``most`` bytes: what a generation didn't use is forgotten."""
+
+    def __init__(self, make: Callable[[list], dict], most: int):
+        self.make, self.most, self.young, self.old, self.size = make, most, {}, {}, 0
 
-    def __init__(self, split, encode, most: int = CACHE_WORDS):
-        self.split, self.encode, self.most, self.young, self.old = split, encode, most, {}, {}
+    def of(self, keys: set) -> Callable:
+        """Get the values of these keys, making those that are missing."""
+        need = keys - self.young.keys()
+        if need and self.size > self.most:
+            self.old, self.young, self.size, need = self.young, {}, 0, keys
+        if need:
+            found = {k: self.old[k] for k in need & self.old.keys()} if self.old else {}
+            found |= self.make(list(need - found.keys()))
+            self.young |= found
+            self.size += sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
+        return self.young.__getitem__
 
-    def encode_texts(self, texts: list[str | None]) -> Iterator[bytes]:
+
+class TextEncoder:
+    """Packed ids of texts, from encodings of their words."""
+
+    def __init__(self, split: Callable[[str | None], list[str]], encode: Callable[[list[str]], dict[str, bytes]], most: int = CACHE_BYTES):
+        self.split, self.words = split, Kept(encode, most)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [self.split(t) for t in texts]
-        need = set().union(*split)
-        if len(self.young) + len(need - self.young.keys()) > self.most:
-            self.old, self.young = self.young, {}
-        new = []
-        for w in need - self.young.keys():
-            if (x := self.old.get(w)) is None:
-                new.append(w)
-            else:
-                self.young[w] = x
-        if new:
-            self.young.update(self.encode(new))
-        get = self.young.__getitem__
+        get = self.words.of(set().union(*split))
         for words in split:
             yield b"".join(map(get, words))
 
 
 @functools.lru_cache(2)
-def trie_cache(path: str) -> WordCache:
-    """One cache for each worker process: tasks that follow one another in it share the words."""
+def trie_encoder(path: str) -> TextEncoder:
+    """One for each worker process: tasks that follow one another in it share the words."""
     bpe = encoder(path)
-    return WordCache(bpe.split, bpe.encode_pieces)
+    return TextEncoder(bpe.split, bpe.encode_pieces)
+
+
+def checked(path: str) -> str:
+    """The tokenizer's path; raises on the driver if the file is of another kind."""
+    path = tokenizer_path(path)
+    encoder(path)
+    return path
 
 
 def encode_documents(docs: DataFrame, path: str = DEFAULT_FILE) -> DataFrame:
     """(doc_id, text) -> doc_id, ids (packed little-endian uint32)."""
-    path = tokenizer_path(path)
+    path = checked(path)
 
     def each(batches):
-        cache = trie_cache(path)
+        encode = trie_encoder(path)
         for ids, texts in batches:
-            yield list(zip(ids, cache.encode_texts(texts), strict=True))
+            yield list(zip(ids, encode(texts), strict=True))
 
     return map_rows(docs, ["doc_id", "text"], "doc_id long, ids binary", each)
 
 
 def encode_decode(docs: DataFrame, path: str = DEFAULT_FILE) -> DataFrame:
     """(doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256; the text is decoded from the ids."""
-    path = tokenizer_path(path)
+    path = checked(path)
 
     def each(batches):
-        bpe, cache = encoder(path), trie_cache(path)
+        bpe, encode = encoder(path), trie_encoder(path)
         for ids, texts in batches:
             rows = []
-            for i, packed in zip(ids, cache.encode_texts(texts), strict=True):
+            for i, packed in zip(ids, encode(texts), strict=True):
                 decoded = bpe.decode(np.frombuffer(packed, "<u4").tolist())
                 rows.append((i, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield rows

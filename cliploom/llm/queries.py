@@ -13,7 +13,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.store_media(table(spark, sf_dir, "documents")))
+    return media.digests(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rans.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+    return rans.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

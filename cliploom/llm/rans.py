@@ -18,21 +18,25 @@ not read; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import os
+import json
 import struct
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import normalizers
 
-from .bpe_trie import DEFAULT_FILE, Splitter, WordCache, tokenizer_path
+from .bpe_trie import DEFAULT_FILE, Splitter, TextEncoder, drops_spaces, library, tokenizer_path
 from .common import drop_scratch, map_rows, materialize, scratch
 
 MAGIC = b"RNSB"
 SCALE_BITS = 20
-LANES = 512
-BLOCK_TOKENS = 1 << 17
+LANES = 2048
+BLOCK_TOKENS = 1 << 19
+#: Words that the library gets in one string.
+WORDS_AT_ONCE = 500
 #: Steps between snapshots of the lane states.
 CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)
@@ -132,61 +136,71 @@ def decode_block(data: bytes, table: Table, from_mark: int = 0, to_mark: int | N
 
 
 @functools.lru_cache(2)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def library_encoder(path: str, code: str) -> Callable[[list[str | None]], Iterable[bytes]]:
+    """Texts -> ids packed by ``code`` ("H" or "I"), as the tokenizers library encodes them.
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
-@functools.lru_cache(2)
-def library_cache(path: str) -> WordCache:
-    """The library's encodings of the tokenizer's words, each encoded once by a worker process.
-
-    The words are what the library's own normalizer and splitter make of a text (see Splitter), so
-    joined encodings of words are the encoding of the text.
+    Where the file's words end at white space, each word is encoded once by a worker process, and joined
+    encodings of words are the encoding of the text; with other files texts are encoded whole. Words go to
+    the library many at a time, between spaces; as they are normalized already, it needn't do so again, and
+    a word's ids end at the token that has the mark of a word's end.
     """
-    t = _library(path)
+    t = library(path)
+
+    def whole(texts: list[str | None]) -> Iterator[bytes]:
+        for e in t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False):
+            yield struct.pack(f"<{len(e.ids)}{code}", *e.ids)
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not drops_spaces(spec):
+        return whole
+    mark, added = spec["model"]["end_of_word_suffix"], {x["id"] for x in spec["added_tokens"]}
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for w, i in t.get_vocab().items() if w.endswith(mark) or i in added]] = True
+    t.normalizer = normalizers.Sequence([])
+    width = struct.calcsize(f"<{code}")
 
     def encode(words: list[str]) -> dict[str, bytes]:
-        coded = t.encode_batch_fast(words, add_special_tokens=False)
-        return {w: struct.pack(f"<{len(i)}I", *i) for w, e in zip(words, coded, strict=True) for i in [e.ids]}
+        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        out = {}
+        for group, e in zip(groups, t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, f"<u{width}")
+            stop = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(stop) != len(group):
+                raise ValueError("a word was split")
+            data = ids.tobytes()
+            out |= {w: data[a * width : b * width] for w, a, b in zip(group, [0, *stop], stop, strict=False)}
+        return out
 
-    return WordCache(Splitter({x.content: i for i, x in t.get_added_tokens_decoder().items()}), encode)
+    return TextEncoder(Splitter(path), encode)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = DEFAULT_FILE, end_id: int = 2) -> None:
     """Encode (doc_id, text), append the end id to each document, write the blocks in ascending doc_id order."""
     spark, tokenizer = docs.sparkSession, tokenizer_path(tokenizer)
+    size = max(library(tokenizer).get_vocab_size(), end_id + 1)
+    code, kind = ("H", "<u2") if size <= 1 << 16 else ("I", "<u4")
 
     def encode(batches):
-        cache = library_cache(tokenizer)
-        end = struct.pack("<I", end_id)
+        encoded, end, counts = library_encoder(tokenizer, code), struct.pack(f"<{code}", end_id), np.zeros(size, np.int64)
         for ids, texts in batches:
-            rows = []
-            for i, packed in zip(ids, cache.encode_texts(texts), strict=True):
-                a = np.frombuffer(packed + end, "<u4")
-                wide = len(a) and int(a.max()) > 0xFFFF
-                rows.append((i, wide, a.tobytes() if wide else a.astype("<u2").tobytes()))
-            yield rows
+            packed = [p + end for p in encoded(texts)]
+            counts += np.bincount(np.frombuffer(b"".join(packed), kind), minlength=size)
+            yield [(i, p, None) for i, p in zip(ids, packed, strict=True)]
+        if counts.any():
+            yield [(None, None, counts.tobytes())]
 
-    coded = materialize(map_rows(docs, ["doc_id", "text"], "doc_id long, wide boolean, ids binary", encode), "ids")
+    # a task's last row holds its counts, so that the ids needn't be read again for them
+    coded = materialize(map_rows(docs, ["doc_id", "text"], "doc_id long, ids binary, counts binary", encode), "ids")
 
     def count(batches):
-        total = np.zeros(0, np.int64)
-        for wide, packed in batches:
-            for kind in ("<u2", "<u4"):
-                joined = b"".join(p for w, p in zip(wide, packed, strict=True) if (kind == "<u4") == w)
-                c = np.bincount(np.frombuffer(joined, kind)) if joined else np.zeros(0, np.int64)
-                if len(c) > len(total):
-                    c, total = total, c
-                total[: len(c)] += c
+        total = np.zeros(size, np.int64)
+        for (packed,) in batches:
+            for p in packed:
+                total += np.frombuffer(p, np.int64)
         yield [(int(i), int(total[i])) for i in np.flatnonzero(total)]
 
-    counts = map_rows(coded, ["wide", "ids"], "id int, n long", count).groupBy("id").agg(F.sum("n").alias("n"))
+    counts = map_rows(coded.filter("counts is not null"), ["counts"], "id int, n long", count).groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.collect()  # at most one row for each id of the vocabulary
     per_id = np.zeros(max([r.id for r in rows], default=0) + 1, np.int64)
     for r in rows:
@@ -207,11 +221,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = DEFAULT_FILE, end_id:
             first, block, held, tokens = first + len(ids), block + 1, [], 0
             return row
 
-        for parts, docs_, wide, packed in batches:
+        for parts, docs_, packed in batches:
             rows = []
-            for p, i, w, data in zip(parts, docs_, wide, packed, strict=True):
+            for p, i, data in zip(parts, docs_, packed, strict=True):
                 part = p
-                held.append((i, np.frombuffer(data, "<u4" if w else "<u2").astype("<u4")))
+                held.append((i, np.frombuffer(data, kind).astype("<u4")))
                 tokens += len(held[-1][1])
                 if tokens >= BLOCK_TOKENS:
                     rows.append(close())
@@ -219,15 +233,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = DEFAULT_FILE, end_id:
         if held:
             yield [close()]
 
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
+    ordered = coded.filter("counts is null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("part", F.spark_partition_id())
     map_rows(
-        ordered, ["part", "doc_id", "wide", "ids"], "part int, block int, first long, n_tokens long, data binary", blocks
+        ordered, ["part", "doc_id", "ids"], "part int, block int, first long, n_tokens long, data binary", blocks
     ).write.parquet(f"{path}/blocks")
     drop_scratch(coded)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32, ids (packed uint32), from the files."""
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, ids (packed uint32), from the files."""
     freq = np.frombuffer(spark.read.parquet(f"{path}/table").head().freq, "<u4")
     blocks = spark.read.parquet(f"{path}/blocks")
     sums = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per part
@@ -246,17 +260,17 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 at, rows = 0, []
                 for null, i, size in docs:
                     packed = ids[at : at + size].tobytes()
-                    rows.append((None if null else i, before[part] + first + at, size, zlib.crc32(packed), packed))
+                    rows.append((None if null else i, before[part] + first + at, size, zlib.crc32(packed), *([packed] * with_ids)))
                     at += size
                 yield rows
 
     return map_rows(
-        blocks, ["part", "first", "data"], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary", decode
+        blocks, ["part", "first", "data"], "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids, decode
     )
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, tokenizer: str = DEFAULT_FILE, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, tokenizer: str = DEFAULT_FILE, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Write the id files and read them back."""
     path = path or scratch(docs.sparkSession, "rans")
     write_ids(docs, path, tokenizer, end_id)
-    return read_ids(docs.sparkSession, path)
+    return read_ids(docs.sparkSession, path, with_ids)
