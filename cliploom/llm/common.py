@@ -6,7 +6,6 @@ import atexit
 import gc
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,19 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
+    """A fresh path in this application's part of the folder that the cluster shares (spark.checkpoint.dir).
+
+    What is left there when the driver's JVM ends is deleted by it. Where the setting is missing, a local master gets a
+    temporary folder; with other masters no folder of the driver's own is seen by the executors, so this raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cliploom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    home = f"{base.rstrip('/')}/cliploom-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{home}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -90,7 +101,6 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):  # the first round frees Python's handles, so that the second finds their plans unused
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
 
 
 def _small(batches: Iterator[pa.RecordBatch], target: int = 4 << 20) -> Iterator[pa.RecordBatch]:

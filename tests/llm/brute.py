@@ -1,6 +1,7 @@
 """Plain Python versions that the operators are held against."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 
@@ -73,3 +74,41 @@ def conversation_digests(rows):
         said = "".join(t for _, r, t in turns if r == "assistant")
         out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
     return out
+
+
+def quality_verdicts(rows, q):
+    """(doc_id, text, lang, source, _) of distinct ids -> {doc_id: kept}, {(lang, source): {metric: (low, high)}}."""
+    groups, values = defaultdict(lambda: defaultdict(list)), {}
+    for d, text, lang, source, _ in rows:
+        x = dict(zip(q.COUNTS, q.counts(text), strict=True))
+        chars, words = max(x["word_chars"], 1), max(x["n_words"], 1)
+        v = {
+            "punctuation": x["n_punctuation"] / chars, "dup_lines": x["n_dup_lines"] / max(x["n_lines"], 1), "repeats": x["n_repeat_words"] / words,
+            "capitals": x["n_capitals"] / chars, "word_length": x["word_chars"] / words,
+        }
+        values[d] = v, (lang, source), x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"]
+        if not values[d][2]:
+            for m in q.METRICS:
+                if v[m.name] > 0 or not m.rare:
+                    for g in ((lang, source), (lang,), ()):
+                        groups[g][m.name].append(v[m.name])
+
+    def quartile(xs, share):
+        x = sorted(xs)[math.ceil(share * len(xs)) - 1]
+        return q.GAMMA ** math.ceil(math.log(x) / math.log(q.GAMMA)) * 2 / (1 + q.GAMMA) if x > 0 else 0.0
+
+    fences = defaultdict(dict)
+    for g in [g for g in groups if len(g) == 2]:
+        for m in q.METRICS:
+            if own := groups[g].get(m.name):
+                enough = lambda *xs: next((x for x in xs[:-1] if len(x) >= q.LEAST_DOCS), xs[-1])
+                lang = enough(groups[g[:1]][m.name], groups[()][m.name])
+                pairs = [(enough(own, lang), q.GROUP_REACH), (lang, q.LANGUAGE_REACH)]
+                ends = [(quartile(x, 0.25), quartile(x, 0.75), reach) for x, reach in pairs]
+                high = min((b * (b / a) ** q.RARE_REACH if m.rare else b + r * (b - a)) * q.GAMMA for a, b, r in ends)
+                low = max((a - r * (b - a)) / q.GAMMA for a, b, r in ends)
+                fences[g][m.name] = low, high
+    kept = {}
+    for d, (v, g, failed) in values.items():
+        kept[d] = not failed and all(m.name not in fences[g] or v[m.name] <= fences[g][m.name][1] and (not m.two_sided or v[m.name] >= fences[g][m.name][0]) for m in q.METRICS)
+    return kept, fences

@@ -71,6 +71,38 @@ def test_quality_verdict(spark, docs, corpus):
     assert sorted(r.doc_id for r in quality.keep(docs).collect()) == sorted(r.doc_id for r in whole.collect())
 
 
+def test_quality_verdict_by_brute(spark):
+    """Groups of several habits, one of them small and one mostly junk: thresholds differ, and the verdict is that of plain Python."""
+    rng, rows = random.Random(8), []
+    for g, (lang, source, size) in enumerate([("en", "a", 200), ("en", "b", 150), ("en", None, 20), ("de", "a", 180), (None, "b", 60), ("de", "junk", 120)]):
+        for _ in range(size):
+            n = rng.randint(40, 200)
+            words = [rng.choice("xyzuvw") * rng.randint(2 + g % 3, 6 + g) + str(rng.randrange(900)) for _ in range(n)]
+            words = [w.capitalize() if rng.random() < 0.05 + 0.03 * g else w for w in words]
+            words = [w + rng.choice(".,") if rng.random() < 0.1 + 0.05 * g else w for w in words]
+            if source == "junk" and rng.random() < 0.7 or rng.random() < 0.05:
+                words = [w + rng.choice(["##", "$$", "%%"]) for w in words]
+            if rng.random() < 0.4:
+                at = rng.randrange(n - 9)
+                words[at : at + 9] = words[at : at + 3] * 3
+            text = " ".join(w + "\n" * (k % 11 == 0) for k, w in enumerate(words)) + "\nsame line" * rng.choice([0, 0, 0, 2, 5, 60])
+            rows.append((len(rows), text, lang, source, 0))
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    want, fences = brute.quality_verdicts(rows, quality)
+    assert got == want and 50 < sum(want.values()) < len(rows) - 50
+    for m in quality.METRICS:
+        assert len({f[m.name] for f in fences.values()}) >= 3, m
+
+
+def test_quality_odd_tables(spark, none):
+    assert quality.judge(none).count() == 0 and quality.keep(none).count() == 0
+    long = " ".join(f"{i:06x}" for i in range(300_000))  # words as long as those of the other texts
+    same = " ".join(f"wort{k}" for k in range(100))
+    rows = [(1, long, "en", "s", 0), (1, long, "en", "s", 0), (2, "a b " * 100_000, "en", "s", 0), (3, None, None, None, None), *[(9 + k, same, "fr", "t", 0) for k in range(60)]]
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, 300_000, True)] * 2 + [(2, 200_000, False), (3, 0, False)] + [(9 + k, 100, True) for k in range(60)]
+
+
 def test_sketches_merge(docs):
     f = quality.features(docs)
     parts = quality.sketch(f.filter("doc_id % 2 = 0")).unionByName(quality.sketch(f.filter("doc_id % 2 = 1")))
@@ -80,13 +112,15 @@ def test_sketches_merge(docs):
 
 
 def test_media_round_trip(docs, corpus, none):
-    got = {r.doc_id: r for r in media.media_digests(media.store_media(docs)).collect()}
+    got = {r.doc_id: r for r in media.digests(docs).collect()}
     for d, text, *_ in corpus:
         raw = (text or "").encode()
         full = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        wave = media.to_wave(full)
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
-        assert media.from_wave(media.to_wave(full)) == (full, media.RATE)
-    assert media.media_digests(media.store_media(none)).count() == 0
+        assert (got[d].media_bytes, got[d].media_sha256) == (len(wave), hashlib.sha256(wave).hexdigest())
+        assert media.from_wave(wave) == (full, media.RATE)
+    assert media.digests(none).count() == 0
 
 
 def test_media_features():
@@ -94,26 +128,70 @@ def test_media_features():
     loud = np.where((t > 0.8) & (t < 1.6), 100 * np.sin(2 * np.pi * 1000 * t), 0)
     samples = (128 + loud).astype(np.uint8).tobytes()
     ts, spans, segments = media.tensors(samples)
-    assert all(x.shape == (media.FRAMES, media.MELS) for x in ts) and spans[-1][1] <= len(samples) / media.RATE + 1e-9
-    assert len(segments) == 1 and abs(segments[0][0] - 0.8) < 0.05 and abs(segments[0][1] - 1.6) < 0.05
-    hz = np.argmax(np.concatenate(ts)[60:90].mean(0))
-    assert abs(hz - np.argmax(media.mel_bank(8000)[int(1000 / 8000 * media.FRAME)])) <= 1
-    x = np.sin(2 * np.pi * 300 * t).astype("f4")
-    assert np.abs(media.resample(x)[100:-100] - np.sin(2 * np.pi * 300 * t[::2])[100:-100]).max() < 0.02
+    assert ts.shape[1:] == (media.FRAMES, media.MELS) and len(spans) == len(ts) and spans[-1][1] <= len(samples) / media.RATE + 1e-9
+    assert len(segments) == 1 and abs(segments[0][0] - 0.8) < 0.06 and abs(segments[0][1] - 1.6) < 0.06
+    rate = media.RATE * media.UP // media.DOWN
+    hz = np.argmax(np.concatenate(ts)[45:65].mean(0))
+    assert abs(hz - np.argmax(media.mel_bank(rate)[int(1000 / rate * media.FRAME)])) <= 1
     long = (samples * 40)[: media.PIECE * 3 + 1000]
     a = np.concatenate([m for m, _ in media.log_mel(long)])
     whole, media.PIECE = media.PIECE, 1 << 30
     try:
-        assert np.abs(a - np.concatenate([m for m, _ in media.log_mel(long)])).max() < 1e-4
+        assert np.abs(a - np.concatenate([m for m, _ in media.log_mel(long)])).max() < 1e-3
     finally:
         media.PIECE = whole
 
 
-def test_arrow_tensors(docs):
-    rows = media.audio_tensors(media.store_media(docs.limit(3))).toArrow()
-    t = media.to_arrow_tensors(rows)
+def test_resampling():
+    """Every phase is used, and the samples are those of the sum over all inputs; a tone stays the same tone."""
+    assert media.polyphase().shape == (3, media.TAPS) and len({tuple(b) for b in media.polyphase().tolist()}) == 3
+    rng = np.random.default_rng(0)
+    for up, down in ((3, 4), (1, 2), (2, 1), (5, 3)):
+        x, banks = rng.normal(size=300).astype("f4"), media.polyphase(up, down)
+        want = []
+        for m in range(-(-len(x) * up // down)):
+            at, phase = divmod(m * down, up)
+            want.append(sum(banks[phase][k] * x[j] for k in range(media.TAPS) if 0 <= (j := at - media.TAPS // 2 + 1 + k) < len(x)))
+        assert np.abs(media.resample(x, up, down) - want).max() < 1e-4
+        assert np.abs(media.resample(x, up, down, start=31, count=50) - want[31:81]).max() < 1e-4
+    t = np.arange(8000)
+    x = np.sin(2 * np.pi * 300 * t / media.RATE).astype("f4")
+    y = media.resample(x)
+    assert np.abs(y - np.sin(2 * np.pi * 300 * np.arange(len(y)) / 12_000))[100:-100].max() < 0.02
+
+
+def test_hysteresis():
+    """Against a walk over the frames."""
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        e = np.round(rng.normal(size=rng.integers(1, 40)), 1)
+        high, low = np.quantile(e, [media.HIGH, media.LOW_LEVEL])
+        want, start = [], None
+        for i, v in enumerate([*e, -np.inf]):
+            if v > low and start is None:
+                start = i
+            elif v <= low and start is not None:
+                if i - start >= media.LEAST_FRAMES and max(e[start:i]) >= high:
+                    want.append((start, i))
+                start = None
+        assert media.hysteresis(e) == want
+
+
+def test_stored_tensors(docs, corpus):
+    blocks = media.store_features(media.store_media(docs))
+    row = blocks.head()
+    t = media.from_stream(row.tensors)
     assert isinstance(t.schema.field("log_mel").type, pa.FixedShapeTensorType)
-    assert t["log_mel"].combine_chunks().to_numpy_ndarray().shape == (rows.num_rows, media.FRAMES, media.MELS)
+    assert t["log_mel"].to_numpy_ndarray().shape == (t.num_rows, media.FRAMES, media.MELS)
+    texts, want, spans = {r[0]: r[1] for r in corpus}, {}, []
+    for d, text in texts.items():
+        ts, at, segments = media.tensors(media.payload(text)[0])
+        want |= {(d, k, *s): v.ravel().tolist() for k, (v, s) in enumerate(zip(ts, at, strict=True))}
+        spans += [(d, a, b) for a, b in segments]
+    assert {(r.doc_id, r.position, r.start_s, r.end_s): r.log_mel for r in media.audio_tensors(blocks).collect()} == want
+    assert sorted(tuple(r) for r in media.audio_segments(blocks).collect()) == sorted(spans)
+    rng = random.Random(6)
+    assert len(media.tensors(" ".join(rng.choice(["low", "HIGH", "~~~~"]) * rng.randint(1, 9) for _ in range(3000)).encode())[2]) > 5
 
 
 def test_minhash_components(spark, docs, corpus, none):
@@ -132,10 +210,11 @@ def test_minhash_odd_ids(spark):
 
 
 def test_bpe_equals_library(spark, docs, corpus, none):
-    t = rans._library(bpe_trie.tokenizer_path())
+    t = bpe_trie.library(bpe_trie.tokenizer_path())
     got = {r.doc_id: r for r in bpe_trie.encode_decode(docs).collect()}
     for d, text, *_ in corpus:
         ids = t.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(next(rans.library_encoder(bpe_trie.tokenizer_path(), "I")([text])), "<u4").tolist() == ids
         decoded = t.decode(ids, skip_special_tokens=False)
         want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
         assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == want, text
@@ -143,16 +222,35 @@ def test_bpe_equals_library(spark, docs, corpus, none):
 
 
 def test_bpe_random_words():
-    rng, t = random.Random(0), rans._library(bpe_trie.tokenizer_path())
+    rng, t = random.Random(0), bpe_trie.library(bpe_trie.tokenizer_path())
     bpe = bpe_trie.encoder(bpe_trie.tokenizer_path())
     words = list({"".join(rng.choice("etaoinshrdlu'éß12日") for _ in range(rng.randint(1, 14))) for _ in range(4000)})
-    cache = bpe_trie.WordCache(bpe.split, bpe.encode_pieces, most=500)
+    encode = bpe_trie.TextEncoder(bpe.split, bpe.encode_pieces, most=100_000)
     for at in range(0, len(words), 97):
         some = words[at : at + 97]
-        for w, packed in zip(some, cache.encode_texts(some), strict=True):
+        for w, packed in zip(some, encode(some), strict=True):
             assert np.frombuffer(packed, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids
 
 
+def test_code_points():
+    """Characters of every block between letters, and beside a digit, a mark and a space, as the library has them."""
+    t, encode = bpe_trie.library(bpe_trie.tokenizer_path()), bpe_trie.trie_encoder(bpe_trie.tokenizer_path())
+    some = [*range(0x3000), *range(0x3000, 0x30000, 23), *range(0xA640, 0xABFF), *range(0x10400, 0x10600), 0x558, 0x1C89, 0xA7CB, *range(0xE0000, 0xE0200, 3), 0x10FFFF]
+    texts = [f"a{chr(c)}b 7{chr(c)}!{chr(c)}\u0301 {chr(c)}{chr(c)}Σ" for c in some if not 0xD800 <= c < 0xE000]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+    assert [np.frombuffer(x, "<u2").tolist() for x in rans.library_encoder(bpe_trie.tokenizer_path(), "H")(texts)] == want
+
+
+def test_other_tokenizer_files(spark, docs, corpus):
+    """op4 refuses files of another kind; op8 encodes texts whole with them."""
+    with pytest.raises(ValueError, match="word ends"):
+        bpe_trie.encode_decode(docs, "byte_bpe_50k.json")
+    t = bpe_trie.library(bpe_trie.tokenizer_path("byte_bpe_50k.json"))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rans.pack_documents(docs, tokenizer="byte_bpe_50k.json", end_id=70_000).collect()}
+    assert got == {d: [*t.encode(x or "", add_special_tokens=False).ids, 70_000] for d, x, *_ in corpus}
+
+
 def test_html_held_out():
     w, right, total = html_extract.default_weights(), 0, 0
     for page, main in html_extract.labelled_pages(60, seed=77):
@@ -173,9 +271,27 @@ def test_html_pages(page, text):
     assert html_extract.extract(page, html_extract.default_weights()) == text
 
 
+def test_best_region_by_brute():
+    rng = random.Random(4)
+    for _ in range(300):
+        x = [rng.choice([-3, -1, -0.5, 0, 0.5, 2]) for _ in range(rng.randint(0, 25))]
+        a, b = html_extract.best_region(x)
+        assert sum(x[a:b]) == max([0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))])
+
+
+def test_html_deep_and_long():
+    """Unclosed elements with names of their own, and closing tags of nothing: time in proportion to the length."""
+    w = html_extract.default_weights()
+    page = lambda n: "".join(f'<div class="z{i}q"><i>word ' for i in range(n)) + "</span>" * n
+    assert html_extract.extract(page(20_000), w).split() == ["word"] * 20_000
+    text = " ".join(f"w{i}" for i in range(200_000))
+    assert html_extract.extract(f"<nav><a>x</a> y</nav><article><p>{text}</p></article><footer>z</footer>", w) == text
+
+
 def test_html_table(spark):
     p = spark.createDataFrame([(1, "u", "<p>hello there you</p>"), (1, "u", "<p>hello there you</p>"), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
-    assert sorted(map(str, html_extract.extract_pages(p).collect())) == sorted(map(str, [(1, "u", "hello there you", 15)] * 2 + [(None, None, "", 0)])) or html_extract.extract_pages(p).count() == 3
+    got = [tuple(r) for r in html_extract.extract_pages(p).collect()]
+    assert sorted(got, key=str) == sorted([(1, "u", "hello there you", 15)] * 2 + [(None, None, "", 0)], key=str)
     assert html_extract.extract_pages(p.limit(0)).count() == 0
 
 
@@ -196,10 +312,35 @@ def test_raking_meets_targets(spark):
         assert np.allclose(share, target, atol=1e-6)
 
 
+def test_url_model_on_other_hosts(spark):
+    """Hosts of the synthetic pages, none of which is in the labelled table."""
+    m, spam = url_filter.default_model(), ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    urls = {r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.url}
+    hosts = {u: url_filter.split_url(u)[0] for u in urls}
+    common = {"www", "m", "blog", "example", "com", "net", "org", ""}
+    trained = {x for u, _ in url_filter.labelled_urls() for x in url_filter.split_url(u)[0].split(".")}
+    assert not trained & {x for h in hosts.values() for x in h.split(".")} - common
+    blocked = {u for u in urls if m.probability(*url_filter.split_url(u)) > 0.5}
+    bad = {u for u, h in hosts.items() if any(s in h for s in spam)}
+    assert len(blocked & bad) >= 0.8 * len(bad) and len(blocked - bad) <= 0.01 * len(urls)
+
+
+def test_url_gradient():
+    rng = np.random.default_rng(2)
+    at, cols, x, y = np.repeat(np.arange(6), 3), rng.integers(0, 8, 18), rng.normal(size=18), rng.integers(0, 2, 6).astype(float)
+    w, b, l2 = rng.normal(size=8), 0.3, 0.01
+
+    def loss(w, b):
+        z = np.array([sum(w[c] * v for a, c, v in zip(at, cols, x, strict=True) if a == i) + b for i in range(6)])
+        return np.mean(np.log1p(np.exp(z)) - y * z) + l2 / 2 * (w**2).sum()
+
+    gw, gb = url_filter.gradient(w, b, at, cols, x, y, l2)
+    step = lambda k: np.eye(8)[k] * 1e-6
+    assert np.allclose(gw, [(loss(w + step(k), b) - loss(w - step(k), b)) / 2e-6 for k in range(8)], atol=1e-6)
+    assert abs(gb - (loss(w, b + 1e-6) - loss(w, b - 1e-6)) / 2e-6) < 1e-6
+
+
 def test_urls(spark):
-    m, bad, good = url_filter.default_model(), "casino-club pills-cheap spam-links ads-tracker".split(), "library history garden-school weather".split()
-    held = [(f"https://www.{h}.example.net/en/77", 1) for h in bad] + [(f"https://{h}.example.com/de/3.html", 0) for h in good]
-    assert sum((m.probability(*url_filter.split_url(u)) > 0.5) == bool(y) for u, y in held) >= 7
     cases = {
         None: ("", "", None), "nothing": ("", "", None), "http://A.Example.ORG/es/1?x#y": ("a.example.org", "/es/1", "example.org/es/"), "http://example.org/en/12": ("example.org", "/en/12", "example.org/en/1"),
         "http://x.org": ("x.org", "", None), "http://x.org/": ("x.org", "/", "org/"), "https://y.com/de/": ("y.com", "/de/", "com/de/"), "https://com/fr/?q": ("com", "/fr/", "com/fr/"), "http://xorg/": ("xorg", "/", None), "a://h#f": ("h", "", None),
@@ -210,14 +351,18 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
         if rule or not host:
             assert got[i].verdict == (next(r.verdict for r in url_filter.RULES if r.pattern == rule) if rule else "allow")
+    assert url_filter.judge(d.limit(0)).count() == 0
+    long = "http://" + "a." * 50_000 + "com/de/" + "x/" * 100_000
+    r = url_filter.judge(spark.createDataFrame([(1, long), (1, long)], "page_id long, url string")).collect()
+    assert [(len(x.host), len(x.path), x.rule, x.verdict) for x in r] == [(100_003, 200_004, "com/de/", "block")] * 2
 
 
 def test_rans_blocks():
     rng = np.random.default_rng(0)
-    ids = np.minimum(rng.zipf(1.2, 200_000), 49_000).astype("<u4")
+    ids = np.minimum(rng.zipf(1.2, 1_000_000), 49_000).astype("<u4")
     t = rans.Table.from_counts(np.bincount(ids))
     assert int(t.freq.sum()) == 1 << rans.SCALE_BITS and (t.freq[np.unique(ids)] > 0).all()
-    for n in (0, 1, 511, 512, 513, 200_000):
+    for n in (0, 1, 511, 512, 513, 2047, 2048, 2049, 1_000_000):
         e = rans.encode_block(ids[:n], t)
         assert (rans.decode_block(e, t) == ids[:n]).all()
     assert (np.concatenate([rans.decode_block(e, t, 0, 1), rans.decode_block(e, t, 1, 3), rans.decode_block(e, t, 3)]) == ids).all()
@@ -226,7 +371,7 @@ def test_rans_blocks():
 
 
 def test_token_files(docs, corpus, none):
-    t, start = rans._library(bpe_trie.tokenizer_path()), 0
+    t, start = bpe_trie.library(bpe_trie.tokenizer_path()), 0
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rans.pack_documents(docs).collect()}
     for d, text, *_ in sorted(corpus, key=lambda r: r[0]):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -283,6 +428,6 @@ def test_pipeline(spark, docs, corpus, tmp_path):
     left = [(d, t.decode(), meta[d][2], meta[d][3], len(t)) for d, t in cut.items() if t]
     mixed = {r.doc_id for r in mixing.keep(spark.createDataFrame(left, DOCS)).collect()}
     assert set(got) == mixed
-    t = rans._library(bpe_trie.tokenizer_path())
+    t = bpe_trie.library(bpe_trie.tokenizer_path())
     assert all(got[d].n_tokens == len(t.encode(cut[d].decode(), add_special_tokens=False).ids) for d in got)
     assert len(p.STAGES) == 5 and p.ORACLE_SQL is None
