@@ -13,16 +13,18 @@ from .windows import percentile_band, sample_per_group
 
 
 def fit(vectors: DataFrame, k: int, iterations: int = 25, seed: int = 1234, spherical: bool = False, per_cluster: int = 256):
-    """K-means on at most k * per_cluster rows, then every row assigned: (assignments, centroids).
+    """K-means on about k * per_cluster rows, then every row assigned: (assignments, centroids).
 
-    The sample is the hash-smallest rows. Distances are squared L2 to the nearest centroid.
+    The sample is the rows whose hash is below a threshold. Distances are squared L2 to the nearest centroid.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = vectors.withColumn("vec", V.normalize(F.col("vec"))) if spherical else vectors
     cap = k * per_cluster
-    sample = v.orderBy(F.xxhash64(F.lit(seed), "clip_id", "row_id")).limit(cap)
+    n = v.count()
+    share = F.pmod(F.xxhash64(F.lit(seed), "clip_id", "row_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, cap / max(1, n)))
+    sample = v.filter(share) if n > cap else v
     model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="f", distanceMeasure="cosine" if spherical else "euclidean").fit(sample.select(array_to_vector("vec").alias("f")))
     centres = [c.tolist() for c in model.clusterCenters()]
     centroids = vectors.sparkSession.createDataFrame(list(enumerate(centres)), "cluster_id int, vec array<double>")

@@ -39,13 +39,20 @@ def overlapped(left: DataFrame, right: DataFrame, key: str, start: str = "start_
 def best_overlap(windows: DataFrame, segments: DataFrame, key: str, value: str, a: str = "a", b: str = "b", start: str = "start_sec", end: str = "end_sec") -> DataFrame:
     """windows plus the value of the segment with the largest positive overlap; ties: the earliest; none: ''."""
     w = windows.withColumn("_w", F.struct(key, a, b))
-    s = segments.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
-    over = F.least(F.col(b), F.col("_e")) - F.greatest(F.col(a), F.col("_s"))
-    j = w.select("_w", key, a, b).distinct().join(s, F.col(key) == F.col("_k")).withColumn("_o", over).filter("_o > 0")
-    best = j.groupBy("_w").agg(F.max_by("_v", F.struct(F.col("_o"), -F.col("_s"), F.col("_v"))).alias(value))
+    s = segments.select(key, F.col(start).cast("double").alias("start_time"), F.col(end).cast("double").alias("end_time"), F.col(value).alias("v"))
+    spans = w.select("_w", key, F.col(a).cast("double").alias("start_time"), F.col(b).cast("double").alias("end_time")).distinct()
+    over = F.least("end_time", "end_time_r") - F.greatest("start_time", "start_time_r")
+    j = overlapping(spans, s, key).withColumn("_o", over).filter("_o > 0")
+    best = j.groupBy("_w").agg(F.max_by("v_r", F.struct(F.col("_o"), -F.col("start_time_r"), F.col("v_r"))).alias(value))
     return w.join(best, "_w", "left").withColumn(value, F.coalesce(value, F.lit(""))).drop("_w")
 
 
+def live_users(sessions: DataFrame, users: DataFrame, now: Column, hours: int = 72) -> DataFrame:
+    """Sessions (session_id, username, created_at) younger than ``hours`` with their users; a session of no known user has none."""
+    live = sessions.filter(F.col("created_at") > now - F.expr(f"interval {hours} hours"))
+    return live.join(users, "username")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, tolerance: float, values: list[str]) -> DataFrame:
     """left plus the values and time (_t) of the nearest right row of the keys within the tolerance; ties: the earlier.
 

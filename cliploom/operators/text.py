@@ -19,7 +19,7 @@ from ..functions.scalars import alphanumeric
 #: BM25 as in Robertson & Zaragoza (2009).
 K1, B = 1.2, 0.75
 #: Words that end no search phrase (fixed values).
-STOP_WORDS = frozenset("a an the of to in on at for with by".split())
+STOP_WORDS = frozenset("a an the of to in on at for with by is are".split())
 #: Words that connect parts of a scenario (fixed values).
 CONNECTORS = ("while", "with", "and", "when", "during", "near", "in", "on", "at", "under", "after", "before")
 
@@ -140,6 +140,22 @@ def build_index(captions: DataFrame) -> DataFrame:
     return e.groupBy("term", "clip_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"), F.first("sources").alias("sources"))
 
 
+def write_index(captions: DataFrame, path: str) -> None:
+    """The index in ranges of terms, sorted by term, so that a query's files and row groups are found by their statistics;
+    and its statistics beside it. Captions are tokenized once."""
+    build_index(captions).repartitionByRange("term", "clip_id").sortWithinPartitions("term", "clip_id").write.parquet(f"{path}/terms")
+    d = captions.sparkSession.read.parquet(f"{path}/terms").select("clip_id", "doc_len").distinct()
+    empty = captions.select("clip_id").distinct()  # clips without a word count as well
+    stats = d.agg(F.sum("doc_len").cast("double").alias("words")).crossJoin(empty.agg(F.count("*").alias("n_docs")))
+    stats.select("n_docs", (F.coalesce("words", F.lit(0.0)) / F.col("n_docs")).alias("avg_len")).write.parquet(f"{path}/stats")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, int, float]:
+    """The index, its number of documents and their mean length, from the files."""
+    row = spark.read.parquet(f"{path}/stats").head()
+    return spark.read.parquet(f"{path}/terms"), row.n_docs, row.avg_len
+
+
 def index_stats(captions: DataFrame) -> DataFrame:
     """One row: n documents and their mean length; kept beside the index."""
     d = documents(captions).select(F.size(tokens(F.col("doc"))).alias("n"))

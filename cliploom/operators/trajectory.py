@@ -30,7 +30,10 @@ def shape_vector(frames: Column, points: int) -> Column:
     f = F.slice(frames, 1, points)
     n = F.size(f)
     mean = lambda k: F.aggregate(f, F.lit(0.0), lambda s, p: s + p[k].cast("double")) / n
-    xy = F.flatten(F.transform(f, lambda p: F.array(p["x"].cast("double") - mean("x"), p["y"].cast("double") - mean("y"))))
+    # bound as a variable of the outer transform, so that the means are taken once a clip
+    once = F.array(F.struct(mean("x").alias("mx"), mean("y").alias("my"), f.alias("f")))
+    about = lambda m: F.flatten(F.transform(m["f"], lambda p: F.array(p["x"].cast("double") - m["mx"], p["y"].cast("double") - m["my"])))
+    xy = F.transform(once, about)[0]
     return F.concat(xy, F.array_repeat(F.lit(0.0), F.lit(2 * points) - 2 * n))
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workdir import workdir
 from ..operators import classifiers, clusters, labels, perception, text, trajectory, vector_search
 from .filters import SearchFilters
 
@@ -47,10 +48,14 @@ class Catalog:
 
 
 class Engine:
-    """Runs searches over a catalog. ``k`` limits vector hits; a text index is built once and kept."""
+    """Runs searches over a catalog; a text index is written once and kept.
 
-    def __init__(self, catalog: Catalog, k: int = 8192):
-        self.catalog, self.k, self._index = catalog, k, None
+    ``k`` limits the hits of vector and shape stages, which come before labels, lists and clusters: a clip that these
+    would keep is lost if k others are nearer. None sets no limit, which is exact.
+    """
+
+    def __init__(self, catalog: Catalog, k: int | None = 8192, most_plans: int = 1000):
+        self.catalog, self.k, self._index, self.most_plans = catalog, k, None, most_plans
         self._plans: dict[str, DataFrame] = {}
 
     def universe(self) -> DataFrame:
@@ -59,6 +64,8 @@ class Engine:
     def search(self, filters: SearchFilters) -> DataFrame:
         """clip_id, score columns and rank_score, best first. Equal filters share a plan."""
         if (key := filters.key()) not in self._plans:
+            if len(self._plans) >= self.most_plans:
+                self._plans.pop(next(iter(self._plans)))
             self._plans[key] = self.plan(filters)
         return self._plans[key]
 
@@ -71,7 +78,12 @@ class Engine:
     def invalidate(self, *terms: str) -> None:
         """Forget plans whose key has any of the terms."""
         for key in [k for k in self._plans if any(t in k for t in terms)]:
-            self._plans.pop(key).unpersist()
+            del self._plans[key]
+
+    def captions_changed(self) -> None:
+        """Forget the text index and all plans; the next caption search writes the index anew."""
+        self._index = None
+        self._plans.clear()
 
     def _tables(self, r: DataFrame, f: SearchFilters) -> DataFrame:
         if f.with_metrics is not None:
@@ -119,10 +131,12 @@ class Engine:
         if not f.search and not f.caption_extra_queries:
             return r
         if self._index is None:
-            self._index = (text.build_index(self.catalog.captions), text.index_stats(self.catalog.captions).head())
-        index, stats = self._index
+            path = workdir(self.catalog.captions.sparkSession, "text-index")
+            text.write_index(self.catalog.captions, path)
+            self._index = text.read_index(self.catalog.captions.sparkSession, path)
+        index, n_docs, avg_len = self._index
         q = text.parse_any([x for x in [f.search, *f.caption_extra_queries] if x])
-        return r.join(text.search(index, stats.n_docs, stats.avg_len, q, f.data_source or None, r, None), "clip_id")
+        return r.join(text.search(index, n_docs, avg_len, q, f.data_source or None, r, None), "clip_id")
 
     def _caption_vectors(self, r: DataFrame, f: SearchFilters) -> DataFrame:
         if not f.caption_embed_text:
@@ -199,6 +213,24 @@ def active_scores(r: DataFrame, f: SearchFilters) -> list[Column]:
     return out
 
 
+def numbered(r: DataFrame, by: str, out: str, key: str = "clip_id") -> DataFrame:
+    """r plus each row's place by descending ``by`` (nulls last) and key, from 1.
+
+    Rows are sorted in ranges; a range's places begin after the rows of the ranges before it, whose counts are all that
+    the driver gets. The sorted rows are written, so that counts and places are of the same ranges.
+    """
+    spark, path = r.sparkSession, workdir(r.sparkSession, "numbered")
+    r.repartitionByRange(F.desc_nulls_last(by), key).sortWithinPartitions(F.desc_nulls_last(by), key).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    r = spark.read.parquet(path)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, total = [], 0
+    for x in r.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per range
+        before += [F.lit(x.part), F.lit(total)]
+        total += x.n
+    begin = F.element_at(F.create_map(*before), part) if before else F.lit(0)
+    return r.withColumn(out, begin + place + 1).drop("_at")
+
+
 def rank(r: DataFrame, f: SearchFilters) -> DataFrame:
     """rank_score, and rows in its order: by priority the first score there is, or by reciprocal ranks over all.
 
@@ -207,11 +239,10 @@ def rank(r: DataFrame, f: SearchFilters) -> DataFrame:
     scores = active_scores(r, f)
     if f.rank_mode == "rrf" and scores:
         for k, s in enumerate(scores):
-            w = Window.orderBy(F.desc_nulls_last(f"_s{k}"), "clip_id")
-            r = r.withColumn(f"_s{k}", s)
-            r = r.withColumn(f"_r{k}", F.when(F.col(f"_s{k}").isNotNull(), 1 / (60 + F.row_number().over(w))).otherwise(0.0))
+            r = numbered(r.withColumn(f"_s{k}", s), f"_s{k}", f"_n{k}")
+            r = r.withColumn(f"_r{k}", F.when(F.col(f"_s{k}").isNotNull(), 1 / (60 + F.col(f"_n{k}"))).otherwise(0.0))
         total = sum((F.col(f"_r{k}") for k in range(len(scores))), F.lit(0.0))
-        r = r.withColumn("rank_score", total).drop(*[f"_{x}{k}" for x in "sr" for k in range(len(scores))])
+        r = r.withColumn("rank_score", total).drop(*[f"_{x}{k}" for x in "nsr" for k in range(len(scores))])
     elif scores:
         r = r.withColumn("rank_score", F.coalesce(*scores, F.lit(0.0)).cast("double"))
     else:

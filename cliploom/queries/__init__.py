@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-for _name in ("search", "retrieval", "sequences", "analytics", "arena", "changes"):
+for _name in ("search", "retrieval", "sequences", "analytics", "arena", "changes", "io"):
     importlib.import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -88,15 +88,8 @@ def v19(spark, sf_dir, v):
 
 
 @query("v21_similarity_matrix", "vectors", """SELECT q.row_id::STRING AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 6) AS score
-  FROM vectors v, vectors q WHERE q.row_id < 5 GROUP BY ALL""")
-def v21(spark, sf_dir, v):
-    q = v.filter("row_id < 5").select(F.col("row_id").cast("string").alias("query_id"), "vec")
-    return vector_search.similarity_rows(v, q).select("query_id", "clip_id", F.round("score", 6).alias("score"))
-
-
-@query("v21_similarity_matrix_all", "vectors", """SELECT q.row_id::STRING AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 6) AS score
   FROM vectors v, vectors q WHERE q.row_id % 100 = 0 GROUP BY ALL""")
-def v21_all(spark, sf_dir, v):
+def v21(spark, sf_dir, v):
     return vector_search.similarity_rows(v, _queries(v)).select("query_id", "clip_id", F.round("score", 6).alias("score"))
 
 
@@ -169,12 +162,12 @@ def m04(spark, sf_dir, c):
 @query("m04_term_weights", "captions", r"""SELECT * FROM (WITH d AS (SELECT clip_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(string_agg(caption, ' ' ORDER BY caption)), '[#*\-0-9]+', ' ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: length(w) > 1) AS t FROM captions GROUP BY clip_id),
   e AS (SELECT clip_id, unnest(t) AS term FROM d UNION ALL SELECT clip_id, unnest(list_transform(range(1, length(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM d),
   tf AS (SELECT clip_id, term, count(*) AS tf FROM e GROUP BY ALL), n AS (SELECT count(*) AS n FROM d),
-  df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 500),
+  df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.6 * (SELECT n FROM n) ORDER BY total DESC, term LIMIT 20000),
   w AS (SELECT clip_id, term, (1 + ln(tf)) * (ln((1 + (SELECT n FROM n)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN df USING (term))
   SELECT clip_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY clip_id)), 6) AS w FROM w)""")
 def m04b(spark, sf_dir, c):
     d = c.groupBy("clip_id").agg(F.array_join(F.array_sort(F.collect_list("caption")), " ").alias("caption"))
-    return clusters.term_weights(d, features=500).withColumn("w", F.round("w", 6))
+    return clusters.term_weights(d).withColumn("w", F.round("w", 6))
 
 
 @query("m05_train_and_score", "vectors")
@@ -211,16 +204,16 @@ def a34(spark, sf_dir, a):
 
 
 def _sims(v):
-    q = v.filter("row_id < 20").select(F.concat(F.lit("c"), F.col("row_id") % 100).alias("query_id"), "vec")
-    return vector_search.similarity_rows(v.filter("row_id >= 100"), q).withColumn("score", F.round("score", 3))
+    """The stated query set against all vectors but a query's own."""
+    return vector_search.similarity_rows(v, _queries(v), "row_id").withColumn("score", F.round("score", 3))
 
 
-_SIMS = """s AS (SELECT concat('c', q.row_id % 100) AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 3) AS score FROM vectors v, vectors q WHERE q.row_id < 20 AND v.row_id >= 100 GROUP BY ALL),
-  r AS (SELECT query_id, count(*) FILTER (score > t) + 1 + (count(*) FILTER (score = t) - 1) / 2.0::DOUBLE AS rank FROM s JOIN (SELECT query_id, score AS t FROM s WHERE query_id = clip_id) USING (query_id) GROUP BY query_id)"""
+_SIMS = """s AS (SELECT q.row_id::STRING AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 3) AS score FROM vectors v, vectors q WHERE q.row_id % 100 = 0 AND v.row_id <> q.row_id GROUP BY ALL),
+  r AS (SELECT query_id, count(*) FILTER (score > t) + 1 + (count(*) FILTER (score = t) - 1) / 2.0::DOUBLE AS rank FROM s JOIN (SELECT s.query_id, score AS t FROM s JOIN vectors q ON q.row_id::STRING = s.query_id AND q.clip_id = s.clip_id) USING (query_id) GROUP BY query_id)"""
 
 
 def _truth(v):
-    return v.filter("row_id < 20").select(F.concat(F.lit("c"), "row_id").alias("query_id"), F.concat(F.lit("c"), "row_id").alias("clip_id"))
+    return v.filter("row_id % 100 = 0").select(F.col("row_id").cast("string").alias("query_id"), "clip_id")
 
 
 @query("w05_truth_ranks", "vectors", f"SELECT * FROM (WITH {_SIMS} SELECT query_id, rank FROM r)")
@@ -233,47 +226,7 @@ def x01(spark, sf_dir, v):
     return evaluation.recall_report(evaluation.truth_ranks(_sims(v), _truth(v)))
 
 
-def _sims_all(v):
-    """The stated query set against all vectors but a query's own."""
-    return vector_search.similarity_rows(v, _queries(v), "row_id").withColumn("score", F.round("score", 3))
-
-
-_SIMS_ALL = """s AS (SELECT q.row_id::STRING AS query_id, v.clip_id, round(max(list_sum(list_transform(list_zip(v.vec::DOUBLE[], q.vec::DOUBLE[]), lambda x: x[1] * x[2]))), 3) AS score FROM vectors v, vectors q WHERE q.row_id % 100 = 0 AND v.row_id <> q.row_id GROUP BY ALL),
-  r AS (SELECT query_id, count(*) FILTER (score > t) + 1 + (count(*) FILTER (score = t) - 1) / 2.0::DOUBLE AS rank FROM s JOIN (SELECT s.query_id, score AS t FROM s JOIN vectors q ON q.row_id::STRING = s.query_id AND q.clip_id = s.clip_id) USING (query_id) GROUP BY query_id)"""
-
-
-def _truth_all(v):
-    return v.filter("row_id % 100 = 0").select(F.col("row_id").cast("string").alias("query_id"), "clip_id")
-
-
-@query("w05_truth_ranks_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT query_id, rank FROM r)")
-def w05_all(spark, sf_dir, v):
-    return evaluation.truth_ranks(_sims_all(v), _truth_all(v))
-
-
-@query("x01_recall_report_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT avg((rank <= 1)::INT) AS recall_1, avg((rank <= 5)::INT) AS recall_5, avg((rank <= 10)::INT) AS recall_10, median(rank) AS median_rank, count(*) AS n FROM r)")
-def x01_all(spark, sf_dir, v):
-    return evaluation.recall_report(evaluation.truth_ranks(_sims_all(v), _truth_all(v)))
-
-
-@query("x03_failures_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT query_id, rank, wrong FROM r JOIN (SELECT query_id, min_by(clip_id, (-score, clip_id)) AS wrong FROM s GROUP BY query_id) USING (query_id) JOIN (SELECT row_id::STRING AS query_id, clip_id FROM vectors) USING (query_id) WHERE rank > 10 AND wrong <> clip_id)")
-def x03_all(spark, sf_dir, v):
-    return evaluation.failures(_sims_all(v), _truth_all(v), 10)
-
-
-@query("w04_zscore_fusion_all", "vectors", f"SELECT * FROM (WITH {_SIMS_ALL} SELECT query_id, clip_id, round(2 * (score - avg(score) OVER (PARTITION BY query_id)) / (stddev_pop(score) OVER (PARTITION BY query_id) + 1e-8::DOUBLE), 5) AS score FROM s)")
-def w04_all(spark, sf_dir, v):
-    s = _sims_all(v)
-    return evaluation.fuse({"a": s, "b": s}, "zscore").withColumn("score", F.round("score", 5))
-
-
-@query("x02_fusion_grid", "vectors")
-def x02(spark, sf_dir, v):
-    s = _sims_all(v)
-    return evaluation.fusion_grid({"a": s, "b": s.withColumn("score", -F.col("score")), "c": s}, {"a": "x", "b": "y", "c": "x"}, _truth_all(v))
-
-
-@query("x03_failures", "vectors", f"SELECT * FROM (WITH {_SIMS} SELECT query_id, rank, wrong FROM r JOIN (SELECT query_id, min_by(clip_id, (-score, clip_id)) AS wrong FROM s GROUP BY query_id) USING (query_id) WHERE rank > 10 AND wrong <> query_id)")
+@query("x03_failures", "vectors", f"SELECT * FROM (WITH {_SIMS} SELECT query_id, rank, wrong FROM r JOIN (SELECT query_id, min_by(clip_id, (-score, clip_id)) AS wrong FROM s GROUP BY query_id) USING (query_id) JOIN (SELECT row_id::STRING AS query_id, clip_id FROM vectors) USING (query_id) WHERE rank > 10 AND wrong <> clip_id)")
 def x03(spark, sf_dir, v):
     return evaluation.failures(_sims(v), _truth(v), 10)
 
@@ -284,6 +237,12 @@ def w04(spark, sf_dir, v):
     return evaluation.fuse({"a": s, "b": s}, "zscore").withColumn("score", F.round("score", 5))
 
 
+@query("x02_fusion_grid", "vectors")
+def x02(spark, sf_dir, v):
+    s = _sims(v)
+    return evaluation.fusion_grid({"a": s, "b": s.withColumn("score", -F.col("score")), "c": s}, {"a": "x", "b": "y", "c": "x"}, _truth(v))
+
+
 @query("x04_label_scores", "vectors", f"""SELECT label, round(sum(CASE WHEN hit THEN hits / rank ELSE 0 END) / 30, 6) AS ap, round(count(*) FILTER (hit AND rank <= 30) / 30.0::DOUBLE, 6) AS r_precision, count(*) FILTER (hit AND rank <= 5) / 5.0::DOUBLE AS p_5, round(count(*) FILTER (hit AND rank <= 5) / 30.0::DOUBLE, 6) AS r_5 FROM (
   SELECT *, sum(hit::INT) OVER (PARTITION BY label ORDER BY rank)::DOUBLE AS hits FROM (SELECT 'near' AS label, row_id % 3 = 0 AND row_id < 90 AS hit, row_number() OVER (ORDER BY {_DOT.format(_Q.format(3))} DESC, row_id)::DOUBLE AS rank FROM vectors)) GROUP BY label""")
 def x04(spark, sf_dir, v):
@@ -307,14 +266,8 @@ def a27(spark, sf_dir, a, c):
     return evaluation.select_scenarios(a, c.filter("cast(clip_id as bigint) % 2 = 0"), 2, 5, 10)
 
 
-@query("v05_pooled_views", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(6))}), 6) AS score FROM vectors WHERE clip_id IN ('c1', 'c2', 'c3', 'c4') GROUP BY clip_id")
+@query("v05_pooled_views", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(6))}), 6) AS score FROM vectors GROUP BY clip_id")
 def v05(spark, sf_dir, v):
-    s = vector_search.scored(v, _vec(v, 6), v.filter("clip_id in ('c1', 'c2', 'c3', 'c4')").select("clip_id").distinct())
-    return vector_search.pooled(s).withColumn("score", F.round("score", 6))
-
-
-@query("v05_pooled_views_all", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(6))}), 6) AS score FROM vectors GROUP BY clip_id")
-def v05_all(spark, sf_dir, v):
     return vector_search.pooled(vector_search.scored(v, _vec(v, 6))).withColumn("score", F.round("score", 6))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hms_seconds, squeeze
 from ..model import schema
+from . import tensors
 
 
 def table(spark: SparkSession, path: str, entity: str | None = None) -> DataFrame:
@@ -22,12 +23,13 @@ def jdbc_table(spark: SparkSession, url: str, name: str, partition_column: str,
     return spark.read.jdbc(url, name, column=partition_column, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def embedding_shards(spark: SparkSession, path: str, column: str = "embeddings", one_per_clip: bool = True, keep: DataFrame | None = None) -> DataFrame:
-    """clip_id, vec, row_id from a folder of Parquet shards; broken files are skipped.
+def embedding_shards(spark: SparkSession, path: str, column: str = "embeddings", one_per_clip: bool = True, keep: DataFrame | None = None, element: str = "float") -> DataFrame:
+    """clip_id, vec, row_id from a folder of Parquet shards, whose vectors have this element type; broken files are skipped.
 
     one_per_clip keeps each clip's first row by file name and place.
     """
-    r = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).parquet(path)
+    # with the schema stated, no file is opened to guess it, and only the two columns are read
+    r = spark.read.schema(f"clip_id string, `{column}` array<{element}>").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).parquet(path)
     v = r.select("clip_id", F.col(column).cast("array<float>").alias("vec"), F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).alias("at"))
     if keep is not None:
         v = v.join(keep.select("clip_id"), "clip_id", "left_semi")
@@ -37,42 +39,25 @@ def embedding_shards(spark: SparkSession, path: str, column: str = "embeddings",
 
 
 def view_shards(spark: SparkSession, path: str) -> DataFrame:
-    """clip_id, vec, row_id of array shards (.npz with arrays embeddings and clip_ids), several views a clip, a file a task."""
-    import io
+    """clip_id, vec, row_id of array shards (.npz with arrays embeddings and clip_ids), several views a clip."""
+    v = tensors.view_rows(tensors.files(spark, path, "*.npz"))
+    return v.select("clip_id", "vec", F.xxhash64("path", "position").alias("row_id"))
 
-    import numpy as np
-    import pyarrow as pa
 
-    def run(batches):
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                z = np.load(io.BytesIO(data), allow_pickle=False)
-                vec = z["embeddings"].astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([str(c) for c in z["clip_ids"]]), pa.array(list(vec), pa.list_(pa.float32()))], ["clip_id", "vec"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path)
-    return files.select("content").mapInArrow(run, "clip_id string, vec array<float>").withColumn("row_id", F.monotonically_increasing_id())
-
-
-def score_maps(spark: SparkSession, path: str) -> DataFrame:
-    """run_id, clip_id, p from <run>/predicted_scores.json, each a JSON map."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "predicted_scores.json").text(path)
+def score_maps(spark: SparkSession, path: str, name: str = "predicted_scores.json") -> DataFrame:
+    """run_id, clip_id, p from <run>/<name>, each a JSON map."""
+    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return t.select(run.alias("run_id"), F.explode(F.from_json("value", "map<string, double>")).alias("clip_id", "p"))
 
 
-def runs(spark: SparkSession, path: str, metadata: str = "run_id string, status string, embed_type string, started_at string") -> DataFrame:
-    """A row per run folder with a readable metadata.json, others skipped."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.json").text(path)
+def runs(spark: SparkSession, path: str, metadata: str = "run_id string, status string, embed_type string, started_at string", name: str = "metadata.json") -> DataFrame:
+    """A row per run folder with a readable file of metadata, others skipped."""
+    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path)
     parsed = t.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder"), F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", metadata)).alias("m"))
     return parsed.filter("m is not null").select("folder", "m.*").withColumn("run_id", F.coalesce("run_id", "folder"))
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """clip_id, model, windows x samples x waypoints x 4 arrays, as written by writers.predictions."""
-    return spark.read.parquet(path)
-
-
 def shard(df: DataFrame, key: str, process: int, processes: int) -> DataFrame:
     """Every n-th row of the sorted distinct keys: an exact copy of a static split between processes."""
     w = Window.orderBy(key)  # a list of file names

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import check_columns
@@ -29,10 +29,10 @@ TIERS = (10_000, 500_000, 10_000_000)
 
 
 def search_export(result: DataFrame, clips: DataFrame, annotations: DataFrame, tiers: tuple[int, int, int] = TIERS) -> DataFrame:
-    """By size: a row per annotation (one without, for a clip that has none), clip and source, ids only, nothing."""
+    """By size: a row per annotation (one without, for a clip that has none), clip and source, ids only; ValueError beyond the last size."""
     n = result.count()
     if n > tiers[2]:
-        return result.select("clip_id").limit(0)
+        raise ValueError(f"{n} clips are too many for an export; the limit is {tiers[2]}")
     if n > tiers[1]:
         return result.select("clip_id")
     r = result.select("clip_id").join(clips, "clip_id", "left")
@@ -72,10 +72,56 @@ def write_run(df: DataFrame, path: str, entity: str, sort: Sequence[str] = (), o
             old = spark.read.parquet(path).filter(F.col("run_id").isin(ids)).limit(1).count()
             if old:
                 raise FileExistsError(f"run {ids} is there already")
-    out = df.repartition("run_id").sortWithinPartitions("run_id", *sort)
+    # ranges rather than hashes of the run, so that a large run has several tasks
+    out = df.repartitionByRange("run_id", *sort).sortWithinPartitions("run_id", *sort) if sort else df
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+def weights_json(weights: DataFrame) -> DataFrame:
+    """run_id, value: a classifier's weights as one JSON text a run, with the names that its reader expects."""
+    return weights.select("run_id", F.to_json(F.struct("coef", "intercept")).alias("value"))
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """Classifier weights as JSON text, a folder per run."""
+    check_columns(weights, "classifier_weights")
+    weights_json(weights).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").text(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, coef, intercept as written by write_weights."""
+    w = F.from_json("value", "coef array<double>, intercept double")
+    return spark.read.text(path).select(F.col("run_id").cast("string").alias("run_id"), w.alias("w")).select("run_id", "w.*")
+
+
+def stats_json(stats: DataFrame, key: str) -> DataFrame:
+    """key, value: a row of statistics as one JSON text."""
+    return stats.select(key, F.to_json(F.struct(*[c for c in stats.columns if c != key])).alias("value"))
+
+
+def write_stats(stats: DataFrame, path: str, key: str) -> None:
+    """Statistics as JSON text, a folder per key."""
+    stats_json(stats, key).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def install_run(spark: SparkSession, uploaded: str, path: str, run_id: str, entity: str, overwrite: bool = False) -> None:
+    """Check an uploaded run's rows and move its folder to its place in one rename.
+
+    Without overwrite, a run that is there already is an error; with it, the old folder goes first.
+    """
+    check_columns(spark.read.parquet(uploaded).withColumn("run_id", F.lit(run_id)), entity)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    src, dst = place(uploaded), place(f"{path}/run_id={run_id}")
+    fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(dst):
+        if not overwrite:
+            raise FileExistsError(f"run {run_id} is there already")
+        fs.delete(dst, True)
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst):
+        raise OSError(f"{uploaded} can't be moved to {dst}")
+
+
 def write_assignments(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Cluster assignments, by distance within each cluster."""
     write_run(df, path, "cluster_assignments", ("cluster_id", "distance", "clip_id"), overwrite)

@@ -65,7 +65,8 @@ def test_export_tiers(spark):
     a = spark.createDataFrame([("u", "p", "a", "k", None, -1.0, -1.0, "manual")], schema("annotations"))
     cols = lambda tiers: writers.search_export(c.select("clip_id"), c, a, tiers).columns
     assert (len(cols((5, 6, 7))), cols((1, 6, 7)), cols((0, 1, 7))) == (6, ["clip_id", "data_source"], ["clip_id"])
-    assert writers.search_export(c.select("clip_id"), c, a, (0, 0, 1)).count() == 0
+    with pytest.raises(ValueError, match="too many"):
+        writers.search_export(c.select("clip_id"), c, a, (0, 0, 1))
     assert "| a |" in writers.markdown(c.select("clip_id").orderBy("clip_id"), "t")
 
 

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def test_index_update_reaches_all_clips(spark):
-    got = {r.clip_id for r in QUERIES["t07_update_index_all"](spark, DATA).select("clip_id").distinct().collect()}
+    got = {r.clip_id for r in QUERIES["t07_update_index"](spark, DATA).select("clip_id").distinct().collect()}
     c = standin(spark, DATA, "captions").filter("caption rlike '[\\\\p{L}\\\\p{N}]'")
     assert got == {r.clip_id for r in c.select("clip_id").distinct().collect()} and len(got) > 1
 
@@ -27,5 +27,5 @@ def test_evaluation_meets_all_vectors(spark):
         s = pd.Series(m @ m[q], index=v.clip_id)[v.row_id.to_numpy() != v.row_id.iloc[q]].groupby(level=0).max().round(3)
         t = s[v.clip_id.iloc[q]]
         want[str(v.row_id.iloc[q])] = (s > t).sum() + 1 + ((s == t).sum() - 1) / 2
-    assert {r.query_id: r["rank"] for r in QUERIES["w05_truth_ranks_all"](spark, DATA).collect()} == want
+    assert {r.query_id: r["rank"] for r in QUERIES["w05_truth_ranks"](spark, DATA).collect()} == want
     assert {r.n for r in QUERIES["x02_fusion_grid"](spark, DATA).collect()} == {queries.sum()}
