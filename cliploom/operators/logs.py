@@ -29,19 +29,22 @@ FIELDS = ("method", "path", "code", "key", "error", "count", "sec", "label", "pr
 
 def parse(lines: DataFrame, col: str = "value") -> DataFrame:
     """ts, user, kind and the FIELDS of each line that starts with a time; blank and other lines go."""
+    # a line's time and user (fixed patterns of the log format)
     head = r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2}),\d{3}\s+(.*)$"
     x = lambda k: F.regexp_extract(col, head, k)
     d = lines.filter(F.col(col).rlike(head)).select(F.to_timestamp(F.concat_ws(" ", x(1), x(2))).alias("ts"), x(3).alias("rest"))
     user = r"^\[user=([^\]]+)\]\s+(.*)$"
     d = d.select("ts", F.nullif(F.regexp_extract("rest", user, 1), F.lit("")).alias("user"), F.when(F.col("rest").rlike(user), F.regexp_extract("rest", user, 2)).otherwise(F.col("rest")).alias("msg"))
-    kind = F.coalesce(*[F.when(F.col("msg").rlike(p), F.lit(k)) for k, (p, _) in FORMATS.items()], F.lit("other"))
+    # within transforms the many patterns stay out of the stage's generated code, which would grow too large to be compiled
+    kind = F.transform(F.array("msg"), lambda m: F.coalesce(*[F.when(m.rlike(p), F.lit(k)) for k, (p, _) in FORMATS.items()], F.lit("other")))[0]
     d = d.withColumn("kind", kind)
 
-    def field(name: str) -> Column:
-        got = [F.when(F.col("kind") == k, F.regexp_extract("msg", p, names.index(name) + 1)) for k, (p, names) in FORMATS.items() if name in names]
+    def field(m: Column, name: str) -> Column:
+        got = [F.when(m["kind"] == k, F.regexp_extract(m["msg"], p, names.index(name) + 1)) for k, (p, names) in FORMATS.items() if name in names]
         return F.coalesce(*got).alias(name)
 
-    d = d.select("ts", "user", "kind", *[field(f) for f in FIELDS])
+    found = F.transform(F.array(F.struct("msg", "kind")), lambda m: F.struct(*[field(m, f) for f in FIELDS]))[0]
+    d = d.select("ts", "user", "kind", found.alias("f")).select("ts", "user", "kind", "f.*")
     return d.withColumns({"code": F.col("code").try_cast("int"), "count": F.col("count").try_cast("long"), "sec": F.col("sec").try_cast("double")})
 
 
