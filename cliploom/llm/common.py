@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workdir import workdir as scratch
+
 #: A word is a run of characters outside this set; ``bytes.split()`` splits at exactly these.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -21,28 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in this application's part of the folder that the cluster shares (spark.checkpoint.dir).
-
-    What is left there when the driver's JVM ends is deleted by it. Where the setting is missing, a local master gets a
-    temporary folder; with other masters no folder of the driver's own is seen by the executors, so this raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="cliploom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    home = f"{base.rstrip('/')}/cliploom-{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(home)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-    return f"{home}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, tag)
