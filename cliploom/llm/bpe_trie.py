@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import kept, map_rows
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: Bytes of keys and encodings that a worker keeps, about, in each of two generations.
@@ -73,6 +73,15 @@ def drops_spaces(spec: dict) -> bool:
     return plain and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLITTER
 
 
+def fitting_spec(path: str) -> dict:
+    """A tokenizer file's content; ValueError if it is of another kind."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not drops_spaces(spec) or spec["model"]["type"] != "BPE" or not spec["model"]["end_of_word_suffix"] or spec["decoder"]:
+        raise ValueError(f"{path}: only BPE with word ends, white space dropped and no decoder")
+    return spec
+
+
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -131,10 +140,7 @@ class TrieBPE:
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if not drops_spaces(spec) or spec["model"]["type"] != "BPE" or not spec["model"]["end_of_word_suffix"] or spec["decoder"]:
-            raise ValueError(f"{path}: only BPE with word ends, white space dropped and no decoder")
+        spec = fitting_spec(path)
         model, self.alphabet = spec["model"], _byte_chars()
         self.suffix = model["end_of_word_suffix"] or ""
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -297,6 +303,7 @@ class TrieBPE:
         return b" ".join(map(self.text_of.__getitem__, ids))
 
 
+@kept
 @functools.lru_cache(2)
 def encoder(path: str) -> TrieBPE:
     return TrieBPE(path)
@@ -334,6 +341,7 @@ class TextEncoder:
             yield b"".join(map(get, words))
 
 
+@kept
 @functools.lru_cache(2)
 def trie_encoder(path: str) -> TextEncoder:
     """One for each worker process: tasks that follow one another in it share the words."""
@@ -344,7 +352,7 @@ def trie_encoder(path: str) -> TextEncoder:
 def checked(path: str) -> str:
     """The tokenizer's path; raises on the driver if the file is of another kind."""
     path = tokenizer_path(path)
-    encoder(path)
+    fitting_spec(path)
     return path
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_trie import tokenizer_path
-from .common import map_rows
+from .common import kept, map_rows
 
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT_CHARS = 1 << 20
@@ -72,6 +72,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+@kept
 @functools.lru_cache(2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

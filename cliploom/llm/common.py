@@ -34,6 +34,27 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_KEPT: dict[str, list] = {}
+
+
+def kept(function):
+    """Register a cached function (functools.lru_cache) whose values a worker may keep from task to task of one module.
+
+    A worker that goes on to another module's tasks drops them first, so that operators that follow one another in
+    the same workers don't add up their memory.
+    """
+    _KEPT.setdefault(function.__module__, []).append(function)
+    return function
+
+
+def _drop_others(module: str) -> None:
+    old = [f for m, fs in _KEPT.items() if m != module for f in fs if f.cache_info().currsize]
+    for f in old:
+        f.cache_clear()
+    if old:
+        gc.collect()
+
+
 def map_rows(
     df: DataFrame, columns: list[str], schema: str, each: Callable[[Iterator[tuple]], Iterable[tuple]]
 ) -> DataFrame:
@@ -43,9 +64,10 @@ def map_rows(
     output rows; output leaves in batches as they fill, so memory stays bounded.
     """
     spark = df.sparkSession
-    arrow = _arrow_schema(spark, schema)
+    arrow, module = _arrow_schema(spark, schema), each.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others(module)
         for rows in each(tuple(b.column(i).to_pylist() for i in range(b.num_columns)) for b in _small(batches)):
             if rows:
                 cols = list(zip(*rows, strict=True))
@@ -58,9 +80,10 @@ def map_rows(
 
 def map_arrays(df: DataFrame, columns: list[str], schema: str, each: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """As map_rows, but ``each`` yields tuples of equally long numpy arrays."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow, module = _arrow_schema(df.sparkSession, schema), each.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others(module)
         for cols in each(tuple(b.column(i).to_pylist() for i in range(b.num_columns)) for b in _small(batches)):
             for at in range(0, len(cols[0]), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)], f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)

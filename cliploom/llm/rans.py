@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import normalizers
 
 from .bpe_trie import DEFAULT_FILE, Splitter, TextEncoder, drops_spaces, library, tokenizer_path
-from .common import drop_scratch, map_rows, materialize, scratch
+from .common import drop_scratch, kept, map_rows, materialize, scratch
 
 MAGIC = b"RNSB"
 SCALE_BITS = 20
@@ -135,6 +135,7 @@ def decode_block(data: bytes, table: Table, from_mark: int = 0, to_mark: int | N
     return out
 
 
+@kept
 @functools.lru_cache(2)
 def library_encoder(path: str, code: str) -> Callable[[list[str | None]], Iterable[bytes]]:
     """Texts -> ids packed by ``code`` ("H" or "I"), as the tokenizers library encodes them.
