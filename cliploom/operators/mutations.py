@@ -72,10 +72,10 @@ def autolabel(annotations: DataFrame, found: DataFrame, key: str, project: str,
 
 
 def upsert_clips(clips: DataFrame, new: DataFrame) -> DataFrame:
-    """New clips, and known ones with the new data source appended once to their list."""
+    """New clips, and known ones with the new data sources appended once to their list; a clip that is new twice is one row."""
     from .labels import source_tokens
 
-    n = new.select("clip_id", F.col("data_source").alias("_d"), F.col("country").alias("_c"))
+    n = new.groupBy("clip_id").agg(F.array_join(F.array_sort(F.collect_set("data_source")), ",").alias("_d"), F.min("country").alias("_c"))
     j = clips.join(n, "clip_id", "full")
     tokens = F.array_distinct(F.concat(source_tokens(), source_tokens("_d")))
     return j.select("clip_id", F.array_join(tokens, ",").alias("data_source"), F.coalesce("country", "_c").alias("country"))
