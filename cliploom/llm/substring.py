@@ -72,11 +72,26 @@ def run_hash(words: np.ndarray, starts: np.ndarray, length: int, seed: int = 0)
     return h
 
 
+_COVERED = np.isin(np.arange(PERIOD), COVER)
+
+
 def cover_positions(n_words: int, length: int = ANCHOR) -> np.ndarray:
     if n_words < WINDOW:
         return np.zeros(0, np.int64)
-    at = np.arange(n_words - length + 1)
-    return at[np.isin(at % PERIOD, COVER)]
+    n = n_words - length + 1
+    return np.flatnonzero(np.tile(_COVERED, -(-n // PERIOD))[:n])
+
+
+def found_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Mask of the values that an ascending array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def merged(ordered: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Two ascending arrays as one: the stable sort merges runs."""
+    return np.sort(np.concatenate([ordered, more]), kind="stable") if len(more) else ordered
 
 
 def candidate_starts(n_words: int, anchors: np.ndarray) -> np.ndarray:
@@ -97,7 +112,8 @@ def anchors_of(docs: DataFrame) -> DataFrame:
     """(_k, text) -> h, _k, pos. Within a task a hash goes out at most twice with its own value; that shows that it is repeated.
 
     Further occurrences are known to be repeated and go out under hashes of their own, with ``-1 - pos``.
-    So the rows of one hash are bounded by twice the number of tasks, however often it occurs.
+    So the rows of one hash are bounded by twice the number of tasks, however often it occurs. What a task has seen
+    grows with its input, by 16 bytes at most for each of its anchors.
     """
 
     def each(batches):
@@ -120,19 +136,18 @@ def anchors_of(docs: DataFrame) -> DataFrame:
             size = np.diff(np.concatenate([first, [len(s)]]))
             rank = np.arange(len(s)) - np.repeat(first, size)
             distinct = s[first]
-            seen = np.isin(distinct, once, assume_unique=True).astype(np.int64) + np.isin(distinct, twice, assume_unique=True)
-            rank += np.repeat(seen, size)
+            in_once, in_twice = found_in(distinct, once), found_in(distinct, twice)
+            rank += np.repeat(in_once.astype(np.int64) + in_twice, size)
             more = rank >= 2
             h_out = np.where(more, mix(s + rank.astype(np.uint64) * _M2 + k[order].view(np.uint64)), s)
             yield h_out.view(np.int64), k[order], np.where(more, -1 - p[order], p[order]).astype(np.int32)
             most = np.maximum.reduceat(rank, first)
-            once = np.union1d(once, distinct)
-            twice = np.union1d(twice, distinct[most >= 1])
+            once, twice = merged(once, distinct[~in_once]), merged(twice, distinct[(most >= 1) & ~in_twice])
 
     return map_arrays(docs, ["_k", "text"], "h long, _k long, pos int", each)
 
 
-#: Windows that a task remembers to decide later ones by.
+#: Windows that a task remembers to decide later ones by; beyond them it begins anew, and more rows of a hash may meet.
 SEEN_WINDOWS = 1_000_000
 
 
