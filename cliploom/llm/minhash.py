@@ -77,7 +77,8 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     h = hashes.of(words)
     if len(words) < SHINGLE:
         return run_hash(h, np.zeros(1, np.int64), len(words), 100 + len(words))
-    return np.unique(run_hash(h, np.arange(len(words) - SHINGLE + 1), SHINGLE, 7))
+    s = np.sort(run_hash(h, np.arange(len(words) - SHINGLE + 1), SHINGLE, 7))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
