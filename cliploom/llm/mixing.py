@@ -1,13 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents fall into cells of source, language and topic. The cells' token weights are raked: scaled
-to the source, language and topic targets in turn, again and again. A cell's factor is its raked
-weight over its own; a document stays with probability ``min(1, rate * factor)``, the rate found so
-that the expected tokens are the wanted share of all. The draw is a hash of the document, so a rerun
-draws the same.
+Documents fall into cells of source, language and topic. What is wanted of each cell starts at the same
+share of its tokens and is raked: scaled to the source, language and topic targets in turn, again and
+again. As no document can be taken twice, a cell counts in the sums with its own tokens at most; those
+that are beyond that are full, and the others make up for them. A document stays with the wanted part
+of its cell as probability. The draw is a hash of the document, so a rerun draws the same.
 
 Targets are shares: by default each margin's own shares raised to a power below one and normalised,
-which lifts small groups towards equal weight. Only the cells, sums by group, are shuffled.
+which lifts small groups towards equal weight. A group that holds less than its target is wanted
+whole, and what it lacks goes to the margin's other groups by their shares, so every margin can be met by
+itself; ``margins`` tells what was wanted, what can be had, and what is expected of each group. Documents are
+summed up to cells in a shuffle; the cells, as many as there are combinations of keys, are raked in one task.
 
 Defined results: null languages and sources are groups of their own; null, empty and word-free
 texts have no tokens, probability 0, and are not drawn; rows that share a doc_id and a token count
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, materialize, null_key
@@ -27,14 +30,17 @@ from .common import drop_scratch, materialize, null_key
 DIMENSIONS = ("source_key", "lang_key", "topic")
 
 
+#: A cell this near to its tokens is full; so rounding doesn't decide it.
+FULL = 1 - 1e-9
+
+
 @dataclass(frozen=True)
 class Mix:
-    """Power of each margin's shares, share of all tokens to keep, rounds of raking and of finding the rate."""
+    """Power of each margin's shares, share of all tokens to keep (0 to 1), rounds of raking."""
 
     powers: tuple[float, float, float] = (0.5, 0.7, 0.7)
     share: float = 0.6
-    rounds: int = 10
-    rate_rounds: int = 5
+    rounds: int = 12
     seed: str = "mix-1"
 
 
@@ -60,38 +66,71 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"source_key": null_key("source"), "lang_key": null_key("lang"), "topic": F.coalesce(topic_of(text), F.lit("prose")), "tokens": n_tokens(text)})
 
 
+def targets(cells: DataFrame, dimension: str, power: float, mix: Mix) -> DataFrame:
+    """dimension, t_dimension: tokens to keep of each group, no more than it holds, the kept share in all.
+
+    Shares are given out at one level to all, save for groups that hold less. With groups by the level at which they
+    are used up, the level is the largest that any of them finds when those before it are used up.
+    """
+    groups = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("a"))
+    groups = groups.withColumns({"s": F.pow("a", F.lit(power)), "one": F.lit(1)})
+    order = Window.partitionBy("one").orderBy(F.col("a") / F.col("s"), dimension)
+    before = F.coalesce(F.sum("a").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum("s").over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = (F.lit(mix.share) * F.sum("a").over(Window.partitionBy("one")) - before) / rest
+    level = F.max("found").over(Window.partitionBy("one"))
+    return groups.withColumn("found", found).select(dimension, F.least(F.col("a"), level * F.col("s")).alias(f"t_{dimension}"))
+
+
+def raked(dimension: str) -> Column:
+    """w scaled so that the cells' expected tokens, none above its own, come nearer to the target of their group."""
+    by = Window.partitionBy(dimension)
+    is_full, target = F.col("w") >= FULL * F.col("tokens"), F.col(f"t_{dimension}")
+    full = F.sum(F.when(is_full, F.col("tokens")).otherwise(0.0)).over(by)
+    rest = F.sum(F.when(is_full, 0.0).otherwise(F.col("w"))).over(by)
+    more = F.when(rest > 0, (target - full) / rest).otherwise(1.0)
+    return F.col("w") * F.when(target > full + rest, more).otherwise(target / (full + rest))
+
+
 def rake(cells: DataFrame, mix: Mix) -> DataFrame:
-    """(keys, tokens) -> keys, tokens, w: the raked weights, a share of 1 in all."""
+    """(keys, tokens) -> keys, tokens, targets, w: the tokens wanted of each cell, at most its own."""
+    cells = materialize(cells.withColumn("tokens", F.col("tokens").cast("double")), "cells").coalesce(1)
+    out = cells.withColumn("w", F.lit(mix.share) * F.col("tokens"))
     for d, p in zip(DIMENSIONS, mix.powers, strict=True):
-        margin = cells.groupBy(d).agg(F.sum("tokens").alias("m"))
-        total = margin.agg(F.sum(F.pow(F.col("m").cast("double"), F.lit(p)))).head()[0] or 1.0
-        cells = cells.join(margin.select(d, (F.pow(F.col("m").cast("double"), F.lit(p)) / F.lit(total)).alias(f"t_{d}")), d)
-    cells = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells").coalesce(1)
-    for _ in range(mix.rounds):
-        step = cells
-        for d in DIMENSIONS:
-            margin = step.groupBy(d).agg(F.sum("w").alias("s"))
-            step = step.join(margin, d).withColumn("w", F.col("w") * F.col(f"t_{d}") / F.col("s")).drop("s")
-        new = materialize(step, "cells").coalesce(1)
-        drop_scratch(cells)
-        cells = new
-    return cells
+        out = out.join(targets(cells, d, p, mix), d)
+    out = materialize(out, "cells").coalesce(1)
+    drop_scratch(cells)
+    for done in range(0, mix.rounds, 4):  # a plan of four rounds at a time
+        step = out
+        for _ in range(min(4, mix.rounds - done)):
+            for d in DIMENSIONS:
+                step = step.withColumn("w", raked(d))
+        step = materialize(step, "cells").coalesce(1)
+        drop_scratch(out)
+        out = step
+    return out.withColumn("w", F.least("w", "tokens"))
+
+
+def cells_of(docs_keyed: DataFrame) -> DataFrame:
+    return docs_keyed.filter("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+
+
+def margins(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
+    """dimension, key, held, wanted, target, expected: tokens of each group, by its share alone, as it can be had, and as raked."""
+    mix = mix or Mix()
+    cells, out = rake(cells_of(keyed(docs)), mix), None
+    for d, p in zip(DIMENSIONS, mix.powers, strict=True):
+        m = cells.groupBy(d).agg(F.sum("tokens").alias("held"), F.first(f"t_{d}").alias("target"), F.sum("w").alias("expected"))
+        m, every = m.withColumn("s", F.pow("held", F.lit(p))), Window.partitionBy(F.lit(d))
+        wanted = F.lit(mix.share) * F.sum("held").over(every) * F.col("s") / F.sum("s").over(every)
+        m = m.select(F.lit(d).alias("dimension"), F.col(d).alias("key"), "held", wanted.alias("wanted"), "target", "expected")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 def probabilities(docs_keyed: DataFrame, mix: Mix) -> DataFrame:
     """keys, probability of each cell."""
-    cells = docs_keyed.filter("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = rake(materialize(cells, "cells").coalesce(1), mix)
-    cells = cells.withColumn("factor", F.col("w") / F.col("tokens"))
-    total = cells.agg(F.sum("tokens")).head()[0] or 0
-    rate = mix.share * total
-    for _ in range(mix.rate_rounds):
-        full = F.lit(rate) * F.col("factor") >= 1
-        r = cells.agg(F.sum(F.when(full, F.col("tokens"))).alias("capped"), F.sum(F.when(~full, F.col("w"))).alias("open")).head()
-        if not r["open"]:
-            break
-        rate = max(rate, (mix.share * total - (r["capped"] or 0)) / r["open"])
-    return cells.select(*DIMENSIONS, F.least(F.lit(1.0), F.lit(rate) * F.col("factor")).alias("probability"))
+    return rake(cells_of(docs_keyed), mix).select(*DIMENSIONS, (F.col("w") / F.col("tokens")).alias("probability"))
 
 
 def draw(mix: Mix) -> Column:
@@ -139,22 +178,25 @@ def oracle(mix: Mix | None = None) -> str:
     ]
     cols = []
     for d, p in zip(DIMENSIONS, mix.powers, strict=True):
-        parts.append(f"m_{d} AS (SELECT {d}, pow(sum(tokens), {p}::DOUBLE) AS m FROM cells GROUP BY {d})")
-        cols.append(f"(SELECT m FROM m_{d} x WHERE x.{d} = cells.{d}) / (SELECT sum(m) FROM m_{d}) AS t_{d}")
-    parts.append(f"w0 AS MATERIALIZED (SELECT *, tokens AS w, {', '.join(cols)} FROM cells)")
+        parts.append(f"g_{d} AS (SELECT {d}, sum(tokens) AS a, pow(sum(tokens), {p}::DOUBLE) AS s FROM cells GROUP BY {d})")
+        parts.append(
+            f"l_{d} AS (SELECT max(({mix.share}::DOUBLE * (SELECT sum(tokens) FROM cells) - coalesce(held, 0)) / rest) AS level FROM (SELECT "
+            f"sum(a) OVER (ORDER BY a / s, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held, "
+            f"sum(s) OVER (ORDER BY a / s, {d} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM g_{d}))"
+        )
+        cols.append(f"(SELECT least(a, level * s) FROM g_{d} x, l_{d} WHERE x.{d} = cells.{d}) AS t_{d}")
+    parts.append(f"w0 AS MATERIALIZED (SELECT *, {mix.share}::DOUBLE * tokens AS w, {', '.join(cols)} FROM cells)")
     last = "w0"
     for r in range(mix.rounds):
         for k, d in enumerate(DIMENSIONS):
             name = f"w{r}_{k}"
-            parts.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM {last})")
+            parts.append(
+                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (f, r) REPLACE (w * CASE WHEN t_{d} > f + r THEN CASE WHEN r > 0 THEN (t_{d} - f) / r ELSE 1 END "
+                f"ELSE t_{d} / (f + r) END AS w) FROM (SELECT *, sum(CASE WHEN w >= {FULL}::DOUBLE * tokens THEN tokens ELSE 0 END) OVER (PARTITION BY {d}) AS f, "
+                f"sum(CASE WHEN w >= {FULL}::DOUBLE * tokens THEN 0 ELSE w END) OVER (PARTITION BY {d}) AS r FROM {last}))"
+            )
             last = name
-    parts.append(f"r0 AS (SELECT {mix.share}::DOUBLE * sum(tokens) AS want, {mix.share}::DOUBLE * sum(tokens) AS rate FROM {last})")
-    for k in range(mix.rate_rounds):
-        parts.append(
-            f"r{k + 1} AS MATERIALIZED (SELECT any_value(want) AS want, coalesce(greatest(any_value(rate), (any_value(want) - coalesce(sum(tokens) FILTER (rate * w / tokens >= 1), 0)) "
-            f"/ sum(w) FILTER (rate * w / tokens < 1)), any_value(rate)) AS rate FROM r{k}, {last})"
-        )
-    parts.append(f"p AS (SELECT source_key, lang_key, topic, least(1.0::DOUBLE, rate * (w / tokens)) AS p FROM {last}, r{mix.rate_rounds})")
+    parts.append(f"p AS (SELECT source_key, lang_key, topic, least(w, tokens) / tokens AS p FROM {last})")
     draw = f"('0x' || substr(md5('{mix.seed}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || tokens), 1, 12))::BIGINT / {1 << 48}::DOUBLE"
     return (
         "WITH " + ",\n".join(parts) + "\nSELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 0), 6) AS probability, "

@@ -307,9 +307,33 @@ def test_mixing(docs, none):
 def test_raking_meets_targets(spark):
     cells = spark.createDataFrame([(s, lg, "x", float(w)) for s, lg, w in (("a", "e", 90), ("a", "d", 10), ("b", "e", 20), ("b", "d", 30))], "source_key string, lang_key string, topic string, tokens double")
     c = mixing.rake(cells, mixing.Mix(rounds=30)).toPandas()
+    assert (c.w <= c.tokens).all() and abs(c.w.sum() - 90) < 1e-6
     for d in ("source_key", "lang_key"):
         share, target = c.groupby(d).w.sum(), c.groupby(d)[f"t_{d}"].first()
-        assert np.allclose(share, target, atol=1e-6)
+        assert np.allclose(share, target, rtol=1e-6)
+
+
+def test_targets_of_small_groups(spark):
+    """A group that holds less than its share is wanted whole; the others share what it lacks."""
+    rows = [(k, "e", "x", float(w)) for k, w in (("a", 1000), ("b", 100), ("c", 4), ("d", 1))]
+    cells = spark.createDataFrame(rows, "source_key string, lang_key string, topic string, tokens double")
+    t = {r.source_key: r.t_source_key for r in mixing.targets(cells, "source_key", 0.5, mixing.Mix(share=0.6)).collect()}
+    held, left = dict((r[0], r[3]) for r in rows), 0.6 * 1105
+    full: set[str] = set()
+    while True:  # give out shares, take back what a group can't use, and again
+        level = (left - sum(held[k] for k in full)) / sum(held[k] ** 0.5 for k in held if k not in full)
+        over = {k for k in held if k not in full and level * held[k] ** 0.5 > held[k]}
+        if not over:
+            break
+        full |= over
+    want = {k: held[k] if k in full else level * held[k] ** 0.5 for k in held}
+    assert full and t.keys() == want.keys() and all(abs(t[k] - want[k]) < 1e-6 for k in t)
+
+
+def test_margins_meet_targets_of_documents(spark):
+    m = mixing.margins(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    assert ((m.expected - m.target).abs() <= 1e-3 * m.target).all() and (m.target <= m.held * (1 + 1e-9)).all()
+    assert np.allclose(m.groupby("dimension").target.sum(), 0.6 * m.groupby("dimension").held.sum())
 
 
 def test_url_model_on_other_hosts(spark):
