@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import classifiers, clusters, evaluation, vector_search
+from ..operators import classifiers, clusters, compressed, evaluation, vector_search
 from .base import query
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
@@ -36,6 +36,14 @@ def v02(spark, sf_dir, v):
     return r.select("clip_id", F.round("score", 6).alias("score"))
 
 
+@query("v02_compressed_knn", "vectors", None)
+def v02_compressed(spark, sf_dir, v):
+    """Product codes of all rows, searched for one of them; tests hold the recall against exact search."""
+    v = v.withColumn("clip_id", F.col("row_id").cast("string"))
+    parts = compressed.fit_parts(v, 16)
+    return compressed.search_codes(compressed.encode(v, parts), v, parts, _vec(v, 3), 20).select("clip_id", F.round("score", 6).alias("score"))
+
+
 @query("v03_cutoff", "vectors", f"SELECT clip_id, round(max({_DOT.format(_Q.format(9))}), 6) AS score FROM vectors GROUP BY clip_id HAVING max({_DOT.format(_Q.format(9))}) > 0.001::DOUBLE")
 def v03(spark, sf_dir, v):
     return vector_search.knn(v, _vec(v, 9), None, cutoff=vector_search.CUTOFF).select("clip_id", F.round("score", 6).alias("score"))
