@@ -122,6 +122,15 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+#: Bytes that no term holds become spaces, A-Z become a-z; bytes of characters beyond ASCII stay.
+_TERM_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and characters beyond ASCII as UTF-8 bytes, with A-Z lower-cased; none for null."""
+    return text.encode().translate(_TERM_BYTES).split() if text else []
+
+
 def null_key(col: str):
     """A string key in which null has a value of its own."""
     return F.concat(F.when(F.col(col).isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(F.col(col).cast("string"), F.lit("")))
