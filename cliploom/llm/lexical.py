@@ -118,6 +118,8 @@ def _shard_rows(shard: int, ids: list, docs: list[np.ndarray], vocabulary: dict)
 def shards(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> rows of ROWS: ``part`` is terms (a list) or docs (a shard's ids and lengths)."""
 
+    most = SHARD_CHARS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         ids, found, vocabulary, size = [], [], _Numbers(), 0
@@ -128,7 +130,7 @@ def shards(docs: DataFrame) -> DataFrame:
                     ids.append(i.as_py())
                     found.append(np.fromiter(map(vocabulary.__getitem__, terms), np.int32, len(terms)))
                     size += len(text)
-                    if size >= SHARD_CHARS:
+                    if size >= most:
                         yield from _shard_rows(shard, ids, found, vocabulary)
                         shard, ids, found, vocabulary, size = shard + 1, [], [], _Numbers(), 0
         if ids:

@@ -11,9 +11,9 @@ its results must reach; after it, other shards send only rows that may be among
 a bracket is widened by more than its rounding errors.
 
 Defined results: rows whose label or vector is null, or with a null or non-finite element, take no part, nor do
-those without a vec_id; rows that share a vec_id are not partners of one another, and their order at equal scores is
-not defined; a shorter vector counts as filled up with zeros; elements and scores end at 64 bits; an anchor without a
-positive, or a positive whose score is below 0, has no negatives; an empty table gives no rows; other columns aren't read.
+those without a vec_id; of rows that share a vec_id, the one of the smallest label and vector takes part; a shorter
+vector counts as filled up with zeros; elements and scores end at 63 bits; an anchor without a positive, or a positive
+whose score is below 0, has no negatives; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -86,7 +86,8 @@ def pick_pivots(sample: np.ndarray) -> np.ndarray:
 
 
 def pivot_table(rows: DataFrame) -> PivotTable:
-    """(vec_id, label, v of equal lengths) -> the written table."""
+    """(vec_id, label, v of equal lengths) -> the written table, a row for each vec_id."""
+    rows = rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("x")).select("vec_id", "x.*")
     size2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, norm2, width = rows.agg(F.count("*"), F.max(size2), F.max(F.size("v"))).first()
     norm2, width, shards = norm2 or 0.0, width or 0, max(1, -(-n // SHARD_ROWS))
@@ -99,8 +100,8 @@ def pivot_table(rows: DataFrame) -> PivotTable:
             yield list(zip(ids, labels, vs, d.tolist(), strict=True))
 
     table = map_rows(rows, ["vec_id", "label", "v"], "vec_id long, label long, v array<long>, d array<double>", each)
-    table = materialize(table.withColumn("row", F.monotonically_increasing_id()), "pivots")
-    return PivotTable(table.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row"), pivots, norm2, shards)
+    table = materialize(table.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))), "pivots")
+    return PivotTable(table, pivots, norm2, shards)
 
 
 def scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def scores(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     if most < 2**62:
         return v @ q
     exact = v.astype(object) @ q.astype(object)
-    return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
+    return np.array([min(max(x, 1 - (1 << 63)), (1 << 63) - 1) for x in exact], np.int64)
 
 
 def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
@@ -140,7 +141,7 @@ class _Shard:
         mine = distances(np.append(q, 0.0)[None], self.pivots)[0]
         near = np.maximum(np.abs(d - mine).max(1) - self.slack, 0)
         far = (d + mine).min(1) + self.slack
-        return (own + self.norm2 - np.square(far)) / 2, (own + self.norm2 - np.square(near)) / 2
+        return tuple(np.clip((own + self.norm2 - np.square(x)) / 2, -(2.0**63), 2.0**63) for x in (far, near))
 
     def label(self, x: int) -> slice:
         return slice(*np.searchsorted(self.labels, [x, x + 1]))
@@ -184,7 +185,7 @@ def between(shard: _Shard, label: int, q: np.ndarray, wanted: list[tuple[int, in
     order = _first(s, ids)
     s, ids, out = s[order], ids[order], []
     for i, p, reach in wanted:
-        a, b = np.searchsorted(-s, [-p, -lowest(p, reach)], side="left")
+        a = int(np.searchsorted(-s, -p, side="left"))
         b = int(np.searchsorted(-s, -lowest(p, reach), side="right"))
         out += [(i, p, x, y) for x, y in zip(ids[a : min(b, a + k)].tolist(), s[a : min(b, a + k)].tolist(), strict=True)]
     return out
@@ -259,7 +260,7 @@ def mine(rows: DataFrame, is_anchor: Column, n_positives: int = POSITIVES, n_neg
     table = pivot_table(rows)
     anchors = materialize(table.rows.filter(is_anchor).drop("shard", "d"), "anchors")
     groups = max(1, -(-anchors.count() // GROUP_ANCHORS))
-    anchors = anchors.withColumn("team", F.pmod(F.xxhash64("vec_id", "label"), F.lit(groups)))
+    anchors = anchors.withColumn("team", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
     pairs = materialize(positives(table, anchors, n_positives, groups), "positives")
     return negatives(table, anchors, pairs, n_negatives, least_percent, groups)
 

@@ -80,9 +80,9 @@ def contexts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return padded[at[:, None] + np.arange(K + 2 * (W - 1))[None]]
 
 
-def slots(h: np.ndarray) -> np.ndarray:
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
     """Two bits of the table for each hash."""
-    return np.stack([h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)])
+    return np.stack([h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)])
 
 
 def item_prints(items: DataFrame) -> DataFrame:
@@ -107,14 +107,15 @@ def item_prints(items: DataFrame) -> DataFrame:
 
 def hash_filter(prints: DataFrame) -> np.ndarray:
     """The bits that the items' hashes set, packed; at most eight tables of a fixed size come to the driver."""
+    size = FILTER_BITS
 
     def each(batches):
-        table = np.zeros(FILTER_BITS, bool)
+        table = np.zeros(size, bool)
         for (h,) in batches:
-            table[slots(np.array(h, np.int64).view(np.uint64))] = True
+            table[slots(np.array(h, np.int64).view(np.uint64), size)] = True
         yield [(np.packbits(table).tobytes(),)]
 
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    table = np.zeros(size // 8, np.uint8)
     for row in map_rows(prints.select("h").distinct().coalesce(8), ["h"], "bits binary", each).collect():
         table |= np.frombuffer(row.bits, np.uint8)
     return table
@@ -131,7 +132,7 @@ def candidates(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFram
         hashes, bits = WordHashes(), np.unpackbits(shared.value).view(bool)
 
         def may(h):
-            a, b = slots(h)
+            a, b = slots(h, len(bits))
             return np.flatnonzero(bits[a] & bits[b])
 
         for ids, texts in batches:
