@@ -19,9 +19,14 @@ Kept pairs are confirmed on the full sets. A list of N classes isn't turned into
   compared that lie in different components;
 * in longer ones a member is written as its differences from the hub, the shingles that only one of
   both has. Two members are as far apart as their differences are, so a link needs many differences
-  in common; ``differences_in_common`` is the exact bound. Where everybody differs from the hub in
-  ways of their own, as copies with random edits do, no pairs are left, and where differences are
-  shared, only members that meet in a rare one are compared.
+  in common; ``within_bounds`` has the exact bound. Where everybody differs from the hub in
+  ways of their own, as copies with random edits do, no pairs are left;
+* where differences are shared, ``MORE_HUBS`` of the members left outside the hub's component become hubs in
+  their turn, components are joined, and so on as long as a round halves the members left. Only then are
+  pairs made, of members that meet in a rare difference (``differences_in_common``).
+
+``exact=True`` finds every link: candidates come from a prefix join on the shingles themselves, rarest first, and
+signatures aren't asked. It posts a seventh of all shingles instead of a few dozen pairs a class.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts of fewer
 than five words have their whole word sequence as one shingle; a null doc_id is linked with
@@ -35,7 +40,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, map_rows, materialize
@@ -47,6 +52,8 @@ COORDINATES = 64
 PERCENT = 85
 #: The chance that a link right at the threshold agrees in too few coordinates.
 MISS = 2.5e-6
+#: Hubs a round, of a list whose members share differences.
+MORE_HUBS = 12
 #: Lists of up to so many members have their pairs compared; both ways are exact.
 SHORT = 16
 
@@ -89,10 +96,9 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
-def set_key(s: np.ndarray) -> tuple[int, str]:
-    """A 64-bit class id, and a 128-bit digest of the set."""
-    d = xxhash.xxh3_128_hexdigest(s.tobytes())
-    return int(np.array([int(d[:16], 16)], np.uint64).view(np.int64)[0]), d
+def set_key(s: np.ndarray) -> bytes:
+    """A class id: a 128-bit digest of the set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -105,12 +111,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             for i, t in zip(ids, texts, strict=True):
                 s = shingles(t, hashes)
                 if len(s) and i is not None:
-                    rows.append((i, len(s), set_key(s)[0], signature(s).view("<i4")))
+                    rows.append((i, len(s), set_key(s), signature(s).view("<i4")))
                 else:
                     rows.append((i, len(s), None, None))
             yield rows
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n int, c long, sig array<int>", each)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n int, c binary, sig array<int>", each)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -123,10 +129,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for t in texts:
                 s = shingles(t, hashes)
                 if len(s):
-                    rows.append((set_key(s)[0], s.view(np.int64)))
+                    rows.append((set_key(s), s.view(np.int64)))
             yield rows
 
-    return map_rows(docs, ["text"], "c long, s array<long>", each)
+    return map_rows(docs, ["text"], "c binary, s array<long>", each)
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -135,9 +141,9 @@ def classes_of(docs: DataFrame) -> DataFrame:
     def each(batches):
         hashes = WordHashes()
         for ids, texts in batches:
-            yield [(i, t, set_key(s)[0]) for i, t in zip(ids, texts, strict=True) if len(s := shingles(t, hashes))]
+            yield [(i, t, set_key(s)) for i, t in zip(ids, texts, strict=True) if len(s := shingles(t, hashes))]
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, text string, c long", each)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, text string, c binary", each)
 
 
 def prefix_posts(classes: DataFrame, percent: int) -> DataFrame:
@@ -173,11 +179,23 @@ def matches() -> Column:
     return F.expr("aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (acc, x) -> acc + x)")
 
 
-def confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) candidates -> those that agree in enough coordinates and whose sets are similar enough."""
+def exact_posts(sets: DataFrame, percent: int) -> DataFrame:
+    """(c, n, s) -> token, c: the rarest shingles of each set, so many that two sets that can be linked share one of them."""
+    each = sets.select("c", "n", F.explode("s").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    mine = each.join(common, "token").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    # shingles of no other set come first and fill the prefix
+    need = F.ceil(F.col("n") * percent / 100)
+    room = (F.size("t") - need + 1).cast("int")
+    posted = mine.filter(room > 0).select("c", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("c", "t.token")
+    return posted.join(posted.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1").select("token"), "token")
+
+
+def confirm(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """(a, b) candidates -> those that agree in ``least`` coordinates and whose sets are similar enough."""
     side = lambda x: sigs.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    p = p.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (matches() >= least_matches(percent))).select("a", "b", "n_a", "n_b")
+    p = p.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (matches() >= least)).select("a", "b", "n_a", "n_b")
     s = lambda x: sets.select(F.col("c").alias(x), F.col("s").alias(f"s_{x}"))
     p = p.join(s("a"), "a").join(s("b"), "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
     return p.filter(100 * F.col("i") >= percent * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
@@ -243,14 +261,13 @@ def differences(member: DataFrame, sets: DataFrame, label: DataFrame) -> DataFra
     return m.select("hub", "c", "label", "n", (F.col("label") == F.coalesce("home", "hub")).alias("near"), d.alias("d"))
 
 
-def differences_in_common(diffs: DataFrame, percent: int) -> DataFrame:
-    """(hub, c, label, n, near, d) -> (a, b): pairs of one hub and of different components that may be linked.
+def shared_differences(diffs: DataFrame, percent: int) -> DataFrame:
+    """(hub, c, label, n, near, d) -> hub, c, label, near, low, top, es: the differences that others of the list have as well, rarest first.
 
     With D the differences, a link of a and b needs ``2 * (100 + percent) * |Da & Db| >= low(a) + low(b)``, where
     ``low = (100 + percent) * |D| - (100 - percent) * n``. As |Da & Db| is at most the number of differences of
     either one that others have as well, ``top(a) = 2 * (100 + percent) * shared(a) - low(a)`` is the most that
-    ``low(b)`` may be. One of a pair is outside the hub's component (far), and low(a) + low(b) is above zero then, so the
-    pair meets in a difference of both, and in one of the rarest, as in any prefix join.
+    ``low(b)`` may be.
     """
     unit = 100 + percent
     each = diffs.select("hub", "c", F.explode("d").alias("e"))
@@ -258,62 +275,110 @@ def differences_in_common(diffs: DataFrame, percent: int) -> DataFrame:
     shared = each.join(common, ["hub", "e"]).groupBy("hub", "c").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
     low = (unit * F.size("d") - (100 - percent) * F.col("n")).cast("long")
     x = diffs.select("hub", "c", "label", "near", low.alias("low")).join(shared, ["hub", "c"])
-    x = materialize(x.withColumn("top", 2 * unit * F.size("es") - F.col("low")), "differ")
-    # members that a far one may be linked with, and the far ones that may be linked with these
+    return x.withColumn("top", 2 * unit * F.size("es") - F.col("low"))
+
+
+def within_bounds(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members outside the hub's component (far, with near_low of their list) that may be linked with some of their list, and
+    those that may be linked with far ones (with far_low)."""
     far = x.filter("not near").groupBy("hub").agg(F.min("low").alias("far_low"))
     partner = x.join(far, "hub").filter("top >= far_low")
     reach = partner.groupBy("hub").agg(F.min("low").alias("near_low"), F.max("top").alias("near_top"))
-    far = x.filter("not near").join(reach, "hub").filter("low <= near_top and top >= near_low")
+    return x.filter("not near").join(reach, "hub").filter("low <= near_top and top >= near_low"), partner
+
+
+def _may_link(near: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """(a, b) of members of different components within reach of one another."""
+    other = other.select(*on, *[F.col(k).alias(f"{k}_b") for k in ("c", "label", "low", "top")])
+    fits = (F.col("label") != F.col("label_b")) & (F.col("top_b") >= F.col("low")) & (F.col("top") >= F.col("low_b"))
+    return near.join(other, on).filter(fits).select(F.least("c", "c_b").alias("a"), F.greatest("c", "c_b").alias("b")).distinct()
+
+
+def hub_rounds(x: DataFrame, label: DataFrame, confirmed, percent: int) -> tuple[DataFrame, DataFrame]:
+    """More hubs for the members that are left (see the top) -> shared differences with new labels, and all labels."""
+    before = None
+    while True:
+        far, partner = within_bounds(x)
+        far = materialize(far, "far")
+        n = far.count()
+        if n <= SHORT or before is not None and 2 * n > before:
+            drop_scratch(far)
+            return x, label
+        before, order = n, Window.partitionBy("hub").orderBy(F.xxhash64("c"), "c")
+        hubs = far.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MORE_HUBS)
+        links = confirmed(_may_link(partner, hubs, ["hub"]))
+        drop_scratch(far)
+        if not links.limit(1).count():
+            return x, label
+        label, old = materialize(_joined(label, links), "label"), (x, label)
+        home = label.select(F.col("c").alias("hub"), F.col("label").alias("home"))
+        x = x.drop("label", "near").join(label, "c", "left").withColumn("label", F.coalesce("label", "c")).join(home, "hub", "left")
+        x = materialize(x.withColumn("near", F.col("label") == F.coalesce("home", "hub")).drop("home"), "differ")
+        for done in (links, *old):
+            drop_scratch(done)
+
+
+def differences_in_common(x: DataFrame, percent: int) -> DataFrame:
+    """Shared differences -> (a, b): pairs of one list and of different components that may be linked.
+
+    One of a pair is outside the hub's component (far), and low(a) + low(b) is above zero then, so the
+    pair meets in a difference of both, and in one of the rarest, as in any prefix join.
+    """
+    far, partner = within_bounds(x)
 
     def posted(d: DataFrame, least: str) -> DataFrame:
-        need = F.greatest(F.lit(1), F.ceil((F.col("low") + F.col(least)) / (2 * unit)))
+        need = F.greatest(F.lit(1), F.ceil((F.col("low") + F.col(least)) / (2 * (100 + percent))))
         room = (F.size("es") - need + 1).cast("int")
         return d.filter(room > 0).select("hub", "c", "label", "low", "top", F.explode(F.slice("es", F.lit(1), room)).alias("e")).withColumn("e", F.col("e.e"))
 
-    other = posted(partner, "far_low").select("hub", "e", *[F.col(k).alias(f"{k}_b") for k in ("c", "label", "low", "top")])
-    fits = (F.col("label") != F.col("label_b")) & (F.col("top_b") >= F.col("low")) & (F.col("top") >= F.col("low_b"))
-    pairs = posted(far, "near_low").join(other, ["hub", "e"]).filter(fits)
-    return pairs.select(F.least("c", "c_b").alias("a"), F.greatest("c", "c_b").alias("b")).distinct()
+    return _may_link(posted(far, "near_low"), posted(partner, "far_low"), ["hub", "e"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and c: the class of equal sets (null where nothing can be linked).
 
-    Links are pairs of a similarity of ``percent`` or more.
+    Links are pairs of a similarity of ``percent`` or more: all but a few in a million right at the threshold, or all if ``exact``.
     """
     rows = materialize(signatures(docs), "signatures")
     classes = materialize(
         rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
     )
-    found = materialize(prefix_posts(classes, percent), "posts")
+    found = None if exact else materialize(prefix_posts(classes, percent), "posts")
     # one row of each posted class brings its set
-    reps = classes.join(found.select("c").distinct(), "c", "left_semi").select("c", "n", F.col("rep").alias("doc_id"))
+    reps = (classes if exact else classes.join(found.select("c").distinct(), "c", "left_semi")).select("c", "n", F.col("rep").alias("doc_id"))
     brought = docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi")
     sets = shingle_sets(brought).groupBy("c").agg(F.first("s").alias("s"))
     sets = materialize(sets.join(reps.select("c", "n"), "c"), "sets")
+    if exact:
+        found = materialize(exact_posts(sets, percent), "posts")
     near = materialize(within_reach(sets, percent), "reach")
     posts = materialize(found.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
     sigs = classes.join(near, "c", "left_semi").select("c", "n", "sig")
+    least = 0 if exact else least_matches(percent)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return materialize(confirm(pairs, sigs, sets, percent, least), "links")
 
     hubs = posts.groupBy("token").agg(F.min_by("c", F.struct("own", "rep")).alias("hub"))
     star = posts.join(hubs, "token").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
-    links = materialize(confirm(star, sigs, sets, percent), "links")
+    links = confirmed(star)
     first = components(links)
 
     apart = materialize(still_apart(posts, hubs, first, percent), "apart")
     rest = pairs_of_short_lists(apart.filter(F.col("m") <= SHORT), posts, percent)
-    longer = apart.filter(F.col("m") > SHORT)
+    longer, label = apart.filter(F.col("m") > SHORT), first
     if longer.limit(1).count():
         diffs = materialize(differences(longer, sets, first), "diffs")
-        rest = rest.unionByName(differences_in_common(diffs, percent)).distinct()
+        x, label = hub_rounds(materialize(shared_differences(diffs, percent), "differ"), first, confirmed, percent)
+        rest = rest.unionByName(differences_in_common(x, percent)).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = materialize(confirm(rest, sigs, sets, percent), "links")
-    label = first if not more.limit(1).count() else _joined(first, more)
+    more = confirmed(rest)
+    label = label if not more.limit(1).count() else _joined(label, more)
 
     home = classes.select("c", "rep").join(label, "c", "left")
     linked = home.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
     home = materialize(home.join(linked, "label", "left").select("c", F.coalesce("component_id", "rep").alias("component_id")), "home")
-    for done in (classes, found, sets, near, posts, links, first, more):
+    for done in (classes, found, sets, near, posts, links, more, label):
         drop_scratch(done)
     out = rows.select("doc_id", "n", "c").join(home, "c", "left")
     # an empty set is a component of its own

@@ -89,10 +89,10 @@ def test_few_pairs_are_left(spark):
     n, size = 200, 100
     far = [(0, c, c, size, False, [c * 1000 + k for k in range(12)] + [-k for k in range(c % 50, c % 50 + 12)]) for c in range(1, n)]
     d = spark.createDataFrame([*far, (0, n, 0, size, True, [n * 1000])], "hub long, c long, label long, n int, near boolean, d array<long>")
-    assert minhash.differences_in_common(d, 85).count() == 0
+    assert minhash.differences_in_common(minhash.shared_differences(d, 85), 85).count() == 0
     twins = [(0, n + 1 + k, n + 1 + k, size, False, [n * 9999 + j for j in range(22)] + [k]) for k in range(2)]
     more = d.unionByName(spark.createDataFrame(twins, d.schema))
-    assert [tuple(r) for r in minhash.differences_in_common(more, 85).collect()] == [(n + 1, n + 2)]
+    assert [tuple(r) for r in minhash.differences_in_common(minhash.shared_differences(more, 85), 85).collect()] == [(n + 1, n + 2)]
 
 
 def test_recall_of_all_documents(spark):
@@ -100,3 +100,43 @@ def test_recall_of_all_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, PAIR)).collect()}
     assert got == brute.components(rows)
+
+
+def shared_edits(n, rng):
+    """n copies of one text, each with seven of the same fourteen words exchanged."""
+    base = [f"w{rng.randrange(10_000)}" for _ in range(260)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(14), 7):
+            w[10 + 17 * k] = f"other{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_pairs_of_shared_edits(spark, monkeypatch):
+    """Pairs to compare grow with the number of copies, and all copies end in one component."""
+    counts, confirm = [], minhash.confirm
+
+    def counted(pairs, *more):
+        counts.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    totals = []
+    for n in (150, 600):
+        counts.clear()
+        rows = list(enumerate(shared_edits(n, random.Random(5))))
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, PAIR)).collect()}
+        assert got == {d: c for d, (_, c, _) in brute.components(rows).items()} and len(set(got.values())) == 1
+        totals.append(sum(counts))
+    assert totals[1] < 6 * totals[0] and totals[1] < 30 * 600
+
+
+def test_exact_links(spark):
+    """The prefix join on shingles finds what comparing all pairs finds, whatever the signatures say."""
+    rng = random.Random(9)
+    texts = [t for kind in ("own", "shared", "drop") for t in copies(kind, 30, rng)] + [t for _, t in near_copies()] + ["a b c", "A b C", "", "x"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, PAIR), exact=True).collect()}
+    assert got == brute.components(rows)
