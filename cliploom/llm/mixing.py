@@ -15,7 +15,7 @@ summed up to cells in a shuffle; the cells, as many as there are combinations of
 Defined results: null languages and sources are groups of their own; null, empty and word-free
 texts have no tokens, probability 0, and are not drawn; rows that share a doc_id and a token count
 are drawn together; a null doc_id is drawn like any other; an empty table gives no rows; ``keep``
-leaves other columns as they are.
+leaves other columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,10 +156,10 @@ def report(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 def keep(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The drawn rows of docs, with its columns."""
-    inner = {c: f"_m_{c}" for c in docs.columns}
-    need = docs.withColumns({i: F.col(f"`{c}`") for c, i in inner.items()})
-    need = need.select(*inner.values(), "doc_id", "text", "lang", "source")
-    return drawn(keyed(need), mix or Mix()).filter("sampled").select(*inner.values()).toDF(*docs.columns)
+    inner = [f"_m{i}" for i in range(len(docs.columns))]
+    own = [F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True) if c in ("doc_id", "text", "lang", "source")]
+    need = docs.toDF(*inner).select(*inner, *own)
+    return drawn(keyed(need), mix or Mix()).filter("sampled").select(*inner).toDF(*docs.columns)
 
 
 def oracle(mix: Mix | None = None) -> str:

@@ -13,9 +13,10 @@ hash that meet in a shuffle are bounded by the number of tasks, however often a
 A word is removed if a window over it also starts earlier: in a smaller doc_id, or earlier in the
 same document. Exact copies of earlier documents are removed whole without hashing windows.
 
-Defined results: null and empty texts, and those of fewer words than a window, lose nothing; a null
-doc_id comes before all others; rows that share a doc_id aren't compared with one
-another; texts are read whole; an empty table gives no rows; ``dedup`` keeps other
+Defined results: null and empty texts, and those of fewer words than a window, lose nothing; null
+doc_ids come before all others, in the order of a hash of their texts (ids within ``NULL_KEYS`` of the
+least 64-bit number are not told from them); rows that share a doc_id, and equal texts without one, aren't compared
+with one another; texts are read whole; an empty table gives no rows; ``dedup`` keeps other
 columns as they are, whatever their names.
 """
 
@@ -38,6 +39,7 @@ ANCHOR = 8
 #: Word hashes a worker keeps.
 CACHE_WORDS = 400_000
 FIRST_KEY = -(1 << 63)
+NULL_KEYS = 1 << 40
 
 assert ANCHOR + PERIOD - 1 <= WINDOW
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
@@ -174,7 +176,8 @@ def windows_of(docs: DataFrame) -> DataFrame:
                 one, two = run_hash(wh, starts, WINDOW, 1), run_hash(wh, starts, WINDOW, 2)
                 at = (zlib.crc32(text.encode()) << 31) | starts
                 late, own = np.zeros(len(starts), bool), set()
-                for i, h in enumerate(one.tolist()):
+                for i, (h, low) in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                    h = h << 64 | low
                     if h in own or seen.get(h, k) < k:
                         late[i] = True
                     else:
@@ -200,7 +203,7 @@ def repeated_anchors(base: DataFrame) -> DataFrame:
 
 def exact_copies(base: DataFrame) -> DataFrame:
     """_k, _copies: digests of the doc_id's texts that a smaller doc_id has."""
-    rows = base.select("_k", "_m")
+    rows = base.select("_k", "_m").filter("_m is not null")
     groups = rows.groupBy("_m").agg(F.min("_k").alias("first"), F.max("_k").alias("last")).filter("first <> last").select("_m", "first")
     return materialize(rows.join(groups, "_m").filter("_k > first").groupBy("_k").agg(F.collect_set("_m").alias("_copies")), "copies")
 
@@ -214,24 +217,27 @@ def late_windows(base: DataFrame, hits: DataFrame, copies: DataFrame) -> DataFra
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """docs (columns renamed to _s_<name>) plus _m, _copies (digests of the doc_id's texts that are copies) and _gone (its windows to remove).
+    """docs (columns named _s0, _s1 and so on) plus _m (a digest of texts that may hold a window), _copies (digests of the doc_id's texts
+    that are copies) and _gone (its windows to remove).
 
     Each phase is written, and its shuffle files are let go before the next one begins.
     """
-    spark = docs.sparkSession
-    base = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_KEY)), "_m": F.md5(F.coalesce("text", F.lit("")))})
+    spark, names = docs.sparkSession, docs.columns
+    own = docs.toDF(*[f"_s{i}" for i in range(len(names))])
+    text, doc_id = (F.col(f"_s{names.index(c)}") for c in ("text", "doc_id"))
+    no_id = F.lit(FIRST_KEY) + F.pmod(F.xxhash64(text), F.lit(NULL_KEYS))
+    own = own.withColumns({"_k": F.coalesce(doc_id.cast("long"), no_id), "_m": F.when(F.length(text) >= 2 * WINDOW - 1, F.md5(text))})
+    base = own.select("_k", "_m", text.alias("text"))
     hits = repeated_anchors(base)
     release(spark)
     copies = exact_copies(base)
     gone = late_windows(base, hits, copies)
     drop_scratch(hits)
     release(spark)
-    names = {c: f"_s_{c}" for c in docs.columns}
-    own = base.select(*[F.col(f"`{c}`").alias(i) for c, i in names.items()], "_k", "_m")
     return own.join(gone.join(copies, "_k", "full"), "_k", "left").drop("_k")
 
 
-def kept_words(text: str | None, digest: str, copies: list[str] | None, gone: list[int] | None) -> tuple[list[bytes], np.ndarray]:
+def kept_words(text: str | None, digest: str | None, copies: list[str] | None, gone: list[int] | None) -> tuple[list[bytes], np.ndarray]:
     """The text's words, and the mask of those that go."""
     words = text.encode().split() if text else []
     if copies and digest in copies and len(words) >= WINDOW:
@@ -259,7 +265,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
             yield rows
 
     m = marked(docs.select("doc_id", "text"))
-    return map_rows(m, ["_s_doc_id", "_s_text", "_m", "_copies", "_gone"], "doc_id long, n_words long, n_removed long, kept_sha256 string", each)
+    return map_rows(m, ["_s0", "_s1", "_m", "_copies", "_gone"], "doc_id long, n_words long, n_removed long, kept_sha256 string", each)
 
 
 def cut(text: str, gone: np.ndarray) -> str:
@@ -300,6 +306,6 @@ def dedup(docs: DataFrame) -> DataFrame:
                 rows.append(tuple(row))
             yield rows
 
-    inner = [f"_s_{c}" for c in names]
-    schema = ", ".join(f"`{i}` {marks.schema[i].dataType.simpleString()}" for i in inner)
-    return map_rows(marks, [*[f"`{i}`" for i in inner], "_m", "_copies", "_gone"], schema, each).toDF(*names)
+    inner = [f"_s{i}" for i in range(len(names))]
+    schema = ", ".join(f"{i} {marks.schema[i].dataType.simpleString()}" for i in inner)
+    return map_rows(marks, [*inner, "_m", "_copies", "_gone"], schema, each).toDF(*names)

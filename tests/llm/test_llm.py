@@ -433,8 +433,28 @@ def test_chat(spark, none):
     assert chat.read_back(chat.format_segments(d.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("keep", [quality.keep, minhash.dedup, substring.dedup, mixing.keep])
+def test_columns_of_any_name(spark, corpus, keep):
+    """Stages of the pipeline leave other columns as they are, whatever their names."""
+    odd = ["_k", "_m", "a.b", "tokens", "c", "_s0", "_m0", "_gone", "lang_key"]
+    d = spark.createDataFrame([(*r, *[f"{r[0]}{c}" for c in odd]) for r in corpus], f"{DOCS}, " + ", ".join(f"`{c}` string" for c in odd))
+    plain = {r.doc_id for r in keep(spark.createDataFrame(corpus, DOCS)).collect()}
+    got = keep(d)
+    assert got.columns == d.columns
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == plain and all(tuple(r)[5:] == tuple(f"{r.doc_id}{c}" for c in odd) for r in rows)
+
+
+def test_substring_without_ids(spark):
+    """Rows without an id come first, in the order of a hash; equal ones aren't compared, short texts are never copies."""
+    text, other = (" ".join(f"{x}{i}" for i in range(30)) for x in "wv")
+    d = spark.createDataFrame([(None, text), (None, text), (None, f"{text} {other}"), (3, text), (3, ""), (4, ""), (5, None)], "doc_id long, text string")
+    got = sorted(((r.n_words, r.n_removed) for r in substring.removal_digests(d).collect()))
+    assert got in ([(0, 0)] * 3 + [(30, 0), (30, 0), (30, 30), (60, 30)], [(0, 0)] * 3 + [(30, 30)] * 3 + [(60, 0)])
+
+
 def test_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline(spark, docs, corpus, tmp_path):
