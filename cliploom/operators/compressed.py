@@ -24,7 +24,11 @@ SAMPLE = 65_536
 def centroids_of(x: np.ndarray, n: int, rounds: int, seed: int) -> np.ndarray:
     """n centroids of the rows of x (all distinct rows if there are fewer); one without members stays where it is."""
     distinct = np.unique(x, axis=0)
-    c = distinct[np.random.default_rng(seed).permutation(len(distinct))[:n]]
+    return lloyd(x, distinct[np.random.default_rng(seed).permutation(len(distinct))[:n]], rounds)
+
+
+def lloyd(x: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
+    """Centroids after so many rounds that start with c."""
     for _ in range(rounds):
         at = nearest(x, c)
         size = np.bincount(at, minlength=len(c))
@@ -37,15 +41,20 @@ def centroids_of(x: np.ndarray, n: int, rounds: int, seed: int) -> np.ndarray:
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid of each row of x, in slices so that no large matrix is made."""
     half = (centroids**2).sum(1) / 2
-    return np.concatenate([np.zeros(0, np.int64), *[(half - x[at : at + 4096] @ centroids.T).argmin(1) for at in range(0, len(x), 4096)]])
+    return np.concatenate([np.zeros(0, np.int64), *[(half - x[at : at + 1024] @ centroids.T).argmin(1) for at in range(0, len(x), 1024)]])
+
+
+def sample_matrix(vectors: DataFrame, n: int, seed: int = 0) -> np.ndarray:
+    """At most n vectors as the rows of a matrix; they come to the driver as columns, not as Python objects."""
+    t = sample_rows(vectors.filter("vec is not null"), n, seed).select(F.col("vec").cast("array<double>")).toArrow()
+    if not t.num_rows:
+        raise ValueError("no vectors to fit on")
+    return t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
 
 def fit_parts(vectors: DataFrame, parts: int = 8, codes: int = 256, sample: int = SAMPLE, rounds: int = 12, seed: int = 0) -> list[np.ndarray]:
     """Centroids of each part of the vectors, from a sample of so many rows."""
-    rows = sample_rows(vectors.filter("vec is not null"), sample, seed).select("vec").collect()
-    if not rows:
-        raise ValueError("no vectors to fit on")
-    x = np.array([r.vec for r in rows], np.float64)
+    x = sample_matrix(vectors, sample, seed)
     return [centroids_of(p, codes, rounds, seed + j) for j, p in enumerate(np.array_split(x, min(parts, x.shape[1]), axis=1))]
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import alphanumeric
@@ -143,11 +143,58 @@ def build_index(captions: DataFrame) -> DataFrame:
 def write_index(captions: DataFrame, path: str) -> None:
     """The index in ranges of terms, sorted by term, so that a query's files and row groups are found by their statistics;
     and its statistics beside it. Captions are tokenized once."""
-    build_index(captions).repartitionByRange("term", "clip_id").sortWithinPartitions("term", "clip_id").write.parquet(f"{path}/terms")
-    d = captions.sparkSession.read.parquet(f"{path}/terms").select("clip_id", "doc_len").distinct()
-    empty = captions.select("clip_id").distinct()  # clips without a word count as well
-    stats = d.agg(F.sum("doc_len").cast("double").alias("words")).crossJoin(empty.agg(F.count("*").alias("n_docs")))
-    stats.select("n_docs", (F.coalesce("words", F.lit(0.0)) / F.col("n_docs")).alias("avg_len")).write.parquet(f"{path}/stats")
+    _write(build_index(captions), captions, path)
+
+
+def _write(index: DataFrame, captions: DataFrame, path: str) -> None:
+    spark = captions.sparkSession
+    index.repartitionByRange("term", "clip_id").sortWithinPartitions("term", "clip_id").write.parquet(f"{path}/terms")
+    # one term of each document is its first word
+    first = spark.read.parquet(f"{path}/terms").filter(F.col("positions")[0] == 0)
+    words = first.agg(F.sum("doc_len").cast("double")).first()[0] or 0.0
+    n_docs = captions.select("clip_id").distinct().count()  # clips without a word count as well
+    spark.createDataFrame([(n_docs, words / n_docs if n_docs else None)], "n_docs bigint, avg_len double").write.parquet(f"{path}/stats")
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a lasting index, in order; statistics are written last."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place(path)):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(place(path))]
+    return sorted(int(n[2:]) for n in names if re.fullmatch(r"v=\d+", n) and fs.exists(place(f"{path}/{n}/stats/_SUCCESS")))
+
+
+def _next_version(spark: SparkSession, path: str) -> str:
+    """The folder of a new version. Another writer that takes the same one makes the slower of both fail; readers keep theirs."""
+    return f"{path}/v={max(versions(spark, path), default=0) + 1}"
+
+
+def save_index(captions: DataFrame, path: str) -> None:
+    """Write the index of all captions as the next version in ``path``."""
+    write_index(captions, _next_version(captions.sparkSession, path))
+
+
+def refresh_index(captions: DataFrame, path: str, changed: DataFrame) -> None:
+    """Write the next version: the last one, with the documents of the changed clips built again. Only their captions are tokenized."""
+    spark = captions.sparkSession
+    _write(update_index(open_index(spark, path)[0], captions, changed), captions, _next_version(spark, path))
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, int, float]:
+    """The last finished version."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no index in {path}")
+    return read_index(spark, f"{path}/v={found[-1]}")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the last versions, which readers may still use."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    for v in versions(spark, path)[:-keep]:
+        place(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(place(f"{path}/v={v}"), True)
 
 
 def read_index(spark, path: str) -> tuple[DataFrame, int, float]:

@@ -58,6 +58,12 @@ def window_tag(start: float | None, end: float | None) -> str:
     return "5s" if d <= 6 else "10s" if d <= 15 else "full"
 
 
+def window_tags(start: Column, end: Column) -> Column:
+    """window_tag of columns."""
+    d = F.coalesce(end, F.lit(20.0)) - F.coalesce(start, F.lit(0.0))
+    return F.when(d <= 6, "5s").when(d <= 15, "10s").otherwise("full")
+
+
 def window_of(tag: str, start: float | None) -> int:
     """The window that begins nearest to the span's start."""
     return 0 if tag == "full" else min(range(len(WINDOWS[tag])), key=lambda k: (abs(WINDOWS[tag][k][0] - (start or 0.0)), k))

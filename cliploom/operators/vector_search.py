@@ -1,7 +1,7 @@
 """Vector retrieval: exact and cell-probing nearest neighbours, pooling, fusion, expansion.
 
-Stored vectors have unit length, so the inner product is the cosine. Query vectors are parameters
-and become literals; queries taken from the table are looked up first, by a stated set of clips.
+Stored vectors have unit length, so the inner product is the cosine. A query vector that a caller gives is a
+parameter and becomes a literal; queries that are rows of a table meet the others in blocks (``block_join``).
 Filters on the pool come before any top-k.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .block_join import similarities
 
 #: Video embeddings at or below this score are no hits.
 CUTOFF = 0.001
@@ -73,41 +74,22 @@ def search_two_stage(vectors: DataFrame, first: Sequence[float], second: Sequenc
 
 
 def similarity_rows(vectors: DataFrame, queries: DataFrame, own: str | None = None) -> DataFrame:
-    """(query_id, vec) x vectors -> query_id, clip_id, score pooled per clip.
+    """(query_id, vec) x vectors -> query_id, clip_id, score pooled per clip, for all pairs. A row whose column ``own`` is the query's id is left out."""
+    return similarities(vectors, queries, None, own)
 
-    Every row meets the stated query set: queries travel as one array of literals, in blocks of
-    QUERY_BLOCK, and are exploded beside each row. A row whose column ``own`` is the query's id is left out.
-    """
-    rows = queries.select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).collect()  # the stated query set
-    out = None
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), V.vector(r.vec).alias("q")) for r in rows[at : at + QUERY_BLOCK]])
-        s = vectors.select("*", F.explode(block).alias("b"))
-        if own is not None:
-            s = s.filter(~F.col(own).cast("string").eqNullSafe(F.col("b.query_id")))
-        s = s.select("b.query_id", "clip_id", V.dot("vec", "b.q").alias("score"))
-        out = s if out is None else out.unionByName(s)
-    if out is None:
-        return vectors.select(F.lit("").alias("query_id"), "clip_id", F.lit(0.0).alias("score")).filter(F.lit(False))
-    return out.groupBy("query_id", "clip_id").agg(F.max("score").alias("score"))
-
-
-QUERY_BLOCK = 64
-
-
-def neighbours(vectors: DataFrame, seeds: Sequence[str], n: int) -> DataFrame:
-    """seed, clip_id, score, rank: the n nearest of each seed clip, the seed itself left out."""
-    q = vectors.filter(F.col("clip_id").isin(list(seeds))).groupBy("clip_id").agg(F.min_by("vec", "row_id").alias("vec")).withColumnRenamed("clip_id", "query_id")
-    s = similarity_rows(vectors, q).filter("query_id <> clip_id")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")
-    return s.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n).withColumnRenamed("query_id", "seed")
-
-
-def expand(vectors: DataFrame, seeds: Sequence[str], n: int, most: int) -> DataFrame:
-    """Seeds at 1.0 and their neighbours with the best score and its seed, up to ``most`` clips."""
-    near = neighbours(vectors, seeds, n).filter(~F.col("clip_id").isin(list(seeds)))
+
+def neighbours(vectors: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """(clip_id) -> seed, clip_id, score, rank: the n nearest of each seed clip (by its first row), the seed itself left out."""
+    q = vectors.join(seeds.select("clip_id").distinct(), "clip_id", "left_semi").groupBy("clip_id").agg(F.min_by("vec", "row_id").alias("vec"))
+    return similarities(vectors, q.withColumnRenamed("clip_id", "query_id"), n, "clip_id").withColumnRenamed("query_id", "seed")
+
+
+def expand(vectors: DataFrame, seeds: DataFrame, n: int, most: int) -> DataFrame:
+    """(clip_id) -> seeds at 1.0 and their neighbours with the best score and its seed, up to ``most`` clips."""
+    seeds = seeds.select("clip_id").distinct()
+    near = neighbours(vectors, seeds, n).join(seeds, "clip_id", "left_anti")
     near = near.groupBy("clip_id").agg(F.max("score").alias("score"), F.max_by("seed", F.struct("score", "seed")).alias("seed"))
-    own = vectors.filter(F.col("clip_id").isin(list(seeds))).select("clip_id").distinct().select("clip_id", F.lit(1.0).alias("score"), F.col("clip_id").alias("seed"))
+    own = vectors.join(seeds, "clip_id", "left_semi").select("clip_id").distinct().select("clip_id", F.lit(1.0).alias("score"), F.col("clip_id").alias("seed"))
     return own.unionByName(near).orderBy(F.desc("score"), "clip_id").limit(most)
 
 

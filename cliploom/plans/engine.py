@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workdir import workdir
-from ..operators import classifiers, clusters, labels, perception, text, trajectory, vector_search
+from ..operators import classifiers, clusters, labels, perception, text, trajectory, vector_index, vector_search
 from .filters import SearchFilters
 
 #: Score columns by rank priority; negative ones count from the small end.
@@ -44,6 +44,10 @@ class Catalog:
     classifier_scores: DataFrame | None = None
     #: text -> vector, by space (caption, video, visual); uploads: image id -> vector.
     encoders: dict[str, Callable[[str], Sequence[float]]] = field(default_factory=dict)
+    #: Stored vector indexes by space; a space without one is searched exactly.
+    indexes: dict[str, vector_index.Index] = field(default_factory=dict)
+    #: Folder of a text index that outlives the session; without one, an index goes with the session.
+    text_index: str | None = None
     uploads: dict[str, Sequence[float]] = field(default_factory=dict)
 
 
@@ -51,10 +55,12 @@ class Engine:
     """Runs searches over a catalog; a text index is written once and kept.
 
     ``k`` limits the hits of vector and shape stages, which come before labels, lists and clusters: a clip that these
-    would keep is lost if k others are nearer. None sets no limit, which is exact.
+    would keep is lost if k others are nearer. None sets no limit, which is exact, and asks no vector index. ``n_probe`` and
+    ``refine`` are those of vector indexes.
     """
 
-    def __init__(self, catalog: Catalog, k: int | None = 8192, most_plans: int = 1000):
+    def __init__(self, catalog: Catalog, k: int | None = 8192, most_plans: int = 1000, n_probe: int = 16, refine: int = 8):
+        self.n_probe, self.refine = n_probe, refine
         self.catalog, self.k, self._index, self.most_plans = catalog, k, None, most_plans
         self._plans: dict[str, DataFrame] = {}
 
@@ -80,8 +86,16 @@ class Engine:
         for key in [k for k in self._plans if any(t in k for t in terms)]:
             del self._plans[key]
 
-    def captions_changed(self) -> None:
-        """Forget the text index and all plans; the next caption search writes the index anew."""
+    def captions_changed(self, changed: DataFrame | None = None) -> None:
+        """Forget the text index and all plans; the next caption search opens it again.
+
+        A lasting index gets a new version first: of all captions, or with the documents of the changed clips built again.
+        """
+        if self.catalog.text_index is not None:
+            if changed is None:
+                text.save_index(self.catalog.captions, self.catalog.text_index)
+            else:
+                text.refresh_index(self.catalog.captions, self.catalog.text_index, changed)
         self._index = None
         self._plans.clear()
 
@@ -108,8 +122,15 @@ class Engine:
             r = labels.in_list(r, t, f.with_ego_data)
         return r
 
-    def _vectors(self, r: DataFrame, vectors: DataFrame, queries: list[Sequence[float]], out: str, cutoff: float | None = None) -> DataFrame:
-        s = vector_search.search_many(vectors, queries, self.k, r)
+    def _near(self, r: DataFrame, space: str, vectors: DataFrame, queries: list[Sequence[float]]) -> DataFrame:
+        index = self.catalog.indexes.get(space)
+        if index is None or self.k is None:
+            return vector_search.search_many(vectors, queries, self.k, r)
+        asked = r.sparkSession.createDataFrame([(str(i), [float(x) for x in q]) for i, q in enumerate(queries)], "query_id string, vec array<double>")
+        return vector_search.top(vector_search.pooled(index.search(asked, self.k, self.n_probe, self.refine, r)), self.k)
+
+    def _vectors(self, r: DataFrame, space: str, vectors: DataFrame, queries: list[Sequence[float]], out: str, cutoff: float | None = None) -> DataFrame:
+        s = self._near(r, space, vectors, queries)
         if cutoff is not None:
             s = s.filter(F.col("score") > cutoff)
         return r.join(s.withColumnRenamed("score", out), "clip_id")
@@ -119,21 +140,23 @@ class Engine:
 
     def _visual(self, r: DataFrame, f: SearchFilters) -> DataFrame:
         if f.visual_text:
-            r = self._vectors(r, self.catalog.visual_vectors, self._encode("visual", f.visual_text, f.visual_extra), "visual_text_score")
+            r = self._vectors(r, "visual", self.catalog.visual_vectors, self._encode("visual", f.visual_text, f.visual_extra), "visual_text_score")
         if f.visual_image:
             q = self.catalog.uploads.get(f.visual_image)
             if q is None:
                 return r.filter(F.lit(False)).withColumn("visual_image_score", F.lit(None).cast("double"))
-            r = self._vectors(r, self.catalog.visual_vectors, [q], "visual_image_score")
+            r = self._vectors(r, "visual", self.catalog.visual_vectors, [q], "visual_image_score")
         return r
 
     def _captions(self, r: DataFrame, f: SearchFilters) -> DataFrame:
         if not f.search and not f.caption_extra_queries:
             return r
         if self._index is None:
-            path = workdir(self.catalog.captions.sparkSession, "text-index")
-            text.write_index(self.catalog.captions, path)
-            self._index = text.read_index(self.catalog.captions.sparkSession, path)
+            spark = self.catalog.captions.sparkSession
+            path = self.catalog.text_index or workdir(spark, "text-index")
+            if not text.versions(spark, path):
+                text.save_index(self.catalog.captions, path)
+            self._index = text.open_index(spark, path)
         index, n_docs, avg_len = self._index
         q = text.parse_any([x for x in [f.search, *f.caption_extra_queries] if x])
         return r.join(text.search(index, n_docs, avg_len, q, f.data_source or None, r, None), "clip_id")
@@ -141,15 +164,18 @@ class Engine:
     def _caption_vectors(self, r: DataFrame, f: SearchFilters) -> DataFrame:
         if not f.caption_embed_text:
             return r
-        return self._vectors(r, self.catalog.caption_vectors, self._encode("caption", f.caption_embed_text, f.caption_embed_extra), "caption_embed_score")
+        return self._vectors(r, "caption", self.catalog.caption_vectors, self._encode("caption", f.caption_embed_text, f.caption_embed_extra), "caption_embed_score")
 
     def _video_vectors(self, r: DataFrame, f: SearchFilters) -> DataFrame:
         v = self.catalog.video_vectors
         if f.semantic_text:
-            r = self._vectors(r, v, self._encode("video", f.semantic_text, f.semantic_extra), "semantic_text_score", vector_search.CUTOFF)
+            r = self._vectors(r, "video", v, self._encode("video", f.semantic_text, f.semantic_extra), "semantic_text_score", vector_search.CUTOFF)
         if f.semantic_clip:
-            s = vector_search.search_clip(v, f.semantic_clip, self.k, r)
-            r = r.join(s.withColumnRenamed("score", "semantic_clip_score"), "clip_id")
+            if "video" in self.catalog.indexes and (q := vector_search.vector_of(v, f.semantic_clip)):
+                r = self._vectors(r, "video", v, [q], "semantic_clip_score", vector_search.CUTOFF)
+            else:
+                s = vector_search.search_clip(v, f.semantic_clip, self.k, r)
+                r = r.join(s.withColumnRenamed("score", "semantic_clip_score"), "clip_id")
         return r
 
     def _labels(self, r: DataFrame, f: SearchFilters) -> DataFrame:

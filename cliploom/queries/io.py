@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -288,10 +289,22 @@ def _values(spark, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 
 
-@query("t01_sanitizer", "", """SELECT * FROM (VALUES ('red car', '"red car"'), ('"red car" NOT truck', '"red car"|NOT|"truck"'), ('stop-sign and night', '"stop sign"|AND|"night"'), ('a OR "b c" d', '"a"|OR|"b c"|"d"'), ('', '')) v(query, parts)""")
-def t01(spark, sf_dir):
-    qs = ["red car", '"red car" NOT truck', "stop-sign and night", 'a OR "b c" d', ""]
-    return _values(spark, [(q, "|".join(text.sanitize(q))) for q in qs], "query string, parts string")
+def _each(f, returns):
+    """A column function of a text function, batch by batch."""
+    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), returns)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(text.STOP_WORDS))
+_CONNECTORS = ", ".join(f"'{w}'" for w in sorted(text.CONNECTORS))
+_BARE = "replace(caption, chr(34), ' ')"
+_SPLIT = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+
+
+@query("t01_sanitizer", "captions", f"""SELECT uid, array_to_string(list_transform(list_filter(string_split(regexp_replace(' ' || array_to_string({_SPLIT.format(f"replace({_BARE}, '-', ' ')")}, '  ') || ' ', ' (and|or|not) ', '|\\1|', 'gi'), '|'), lambda p: trim(p) <> ''),
+  lambda p: CASE WHEN p ILIKE 'and' OR p ILIKE 'or' OR p ILIKE 'not' THEN upper(p) ELSE '"' || replace(trim(p), '  ', ' ') || '"' END), '|') AS parts FROM captions""")
+def t01(spark, sf_dir, c):
+    """Every caption as a query text of bare words and operators."""
+    return c.select("uid", _each(lambda q: "|".join(text.sanitize(q)), "string")(F.translate("caption", '"', " ")).alias("parts"))
 
 
 @query("t05_limits", "clips", "SELECT count(*) AS n, greatest(100000, least(3 * count(*), 200000)) AS before, 100000::BIGINT AS alone FROM clips")
@@ -300,27 +313,40 @@ def t05(spark, sf_dir, c):
     return _values(spark, [(n, text.scaled_limit(n, True), text.scaled_limit(n, False))], "n bigint, before bigint, alone bigint")
 
 
-@query("t09_rewrites", "", "SELECT * FROM (VALUES ('Lane change of the', 'lane change'), ('a', 'a'), ('cars that are', 'cars that'), ('STOP  SIGN ahead now', 'stop sign ahead')) v(query, rewrite)")
-def t09(spark, sf_dir):
-    return _values(spark, [(q, text.normalize_rewrite(q)) for q in ("Lane change of the", "a", "cars that are", "STOP  SIGN ahead now")], "query string, rewrite string")
+_THREE = f"list_slice({_SPLIT.format('lower(caption)')}, 1, 3)"
+_LESS = f"CASE WHEN len(w) > 1 AND w[len(w)] IN ({_STOPS}) THEN list_slice(w, 1, len(w) - 1) ELSE w END AS w"
+
+
+@query("t09_rewrites", "captions", f"SELECT uid, array_to_string(w, ' ') AS rewrite FROM (SELECT uid, {_LESS} FROM (SELECT uid, {_LESS} FROM (SELECT uid, {_THREE} AS w FROM captions)))")
+def t09(spark, sf_dir, c):
+    """Every caption as a rewrite that a model may have given."""
+    return c.select("uid", _each(text.normalize_rewrite, "string")("caption").alias("rewrite"))
+
+
+@query("t10_decomposition", "captions", rf"""SELECT uid, CASE WHEN len(p) >= 2 THEN array_to_string(p, '|') END AS parts FROM (SELECT uid, list_filter(list_transform(string_split(array_to_string(list_transform(
+  regexp_extract_all(lower(caption), '[\p{{L}}\p{{N}}]+|[,;.]'), lambda w: CASE WHEN w IN ({_CONNECTORS}, ',', ';', '.') THEN '|' ELSE w END), ' '), '|'),
+  lambda s: array_to_string(list_filter(string_split(s, ' '), lambda w: w <> '' AND w NOT IN ({_STOPS})), ' ')), lambda s: s <> '') AS p FROM captions)""")
+def t10(spark, sf_dir, c):
+    """The parts of every caption."""
+    return c.select("uid", _each(lambda x: None if (d := text.decompose(x)) is None else "|".join(d), "string")("caption").alias("parts"))
 
 
-@query("t10_decomposition", "", "SELECT * FROM (VALUES ('a car turning while a truck waits', 'car turning|truck waits'), ('one thing', NULL), ('rain at night, wet road', 'rain|night|wet road')) v(query, parts)")
-def t10(spark, sf_dir):
-    qs = ("a car turning while a truck waits", "one thing", "rain at night, wet road")
-    return _values(spark, [(q, None if (d := text.decompose(q)) is None else "|".join(d)) for q in qs], "query string, parts string")
+def _prior(key, value, clip_id) -> bool:
+    """Of a text search beside what an annotation says: its value as a numeric filter, or its clip's neighbours, or its label."""
+    more = {"numeric_filter": [NumericFilter(key, value, value)]} if value == value and value is not None else {"semantic_clip": clip_id} if key == "toxic" else {"filter": [key]}
+    return bool(SearchFilters(semantic_text="x", **more).has_prior_filters("semantic_text"))
 
 
-@query("f35_prior_filters", "", "SELECT * FROM (VALUES ('none', false), ('clip', true), ('numeric', true), ('country', false)) v(name, prior)")
-def f35(spark, sf_dir):
-    cases = {"none": SearchFilters(semantic_text="x"), "clip": SearchFilters(semantic_clip="7", semantic_text="x"), "numeric": SearchFilters(numeric_filter=[NumericFilter("k", 1, 2)], semantic_text="x"), "country": SearchFilters(search_country="DE", semantic_text="x")}
-    return _values(spark, [(k, bool(f.has_prior_filters("semantic_text"))) for k, f in cases.items()], "name string, prior boolean")
+@query("f35_prior_filters", "annotations", "SELECT uid, value IS NOT NULL OR key = 'toxic' AS prior FROM annotations")
+def f35(spark, sf_dir, a):
+    """Whether another ranked filter is active, of a search made from each annotation."""
+    prior = F.pandas_udf(lambda key, value, clip: pd.Series([_prior(*x) for x in zip(key, value, clip, strict=True)], dtype=bool), "boolean")
+    return a.select("uid", prior("key", "value", "clip_id").alias("prior"))
 
 
 @query("v13_window_choice", "intervals", "SELECT uid, CASE WHEN end_time - start_time <= 6 THEN '5s' WHEN end_time - start_time <= 15 THEN '10s' ELSE 'full' END AS tag FROM intervals")
 def v13(spark, sf_dir, i):
-    tag = F.udf(trajectory.window_tag, "string")  # one span a search; here all spans are asked for
-    return i.select("uid", tag("start_time", "end_time").alias("tag"))
+    return i.select("uid", trajectory.window_tags(F.col("start_time"), F.col("end_time")).alias("tag"))
 
 
 @query("v14_query_clip_kept", "ticks", "SELECT user_id::STRING AS clip_id FROM ticks WHERE user_id = 3 GROUP BY user_id")

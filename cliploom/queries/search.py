@@ -302,8 +302,8 @@ def _index(spark, captions):
     key = (spark.sparkContext.applicationId, tuple(captions.inputFiles()))
     if key not in _INDEXES:
         _INDEXES[key] = path = workdir(spark, "text-index")
-        text.write_index(captions, path)
-    return text.read_index(spark, _INDEXES[key])
+        text.save_index(captions, path)
+    return text.open_index(spark, _INDEXES[key])
 
 
 @query("t02_phrase_match", "captions", rf"SELECT clip_id FROM (SELECT clip_id, ' ' || array_to_string({_TOK}, ' ') || ' ' AS d FROM captions GROUP BY clip_id) WHERE (contains(d, ' of the ') OR contains(d, ' und ')) AND NOT contains(d, ' with ')")

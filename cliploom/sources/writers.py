@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from ..model import check_columns
 from ..operators.labels import label_state, labels_only
 
+#: Names that may be a folder beside other runs.
+RUN_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
+
 
 def annotation_export(annotations: DataFrame) -> DataFrame:
     return labels_only(annotations).select("clip_id", "key", "start_time", "end_time", "label_type").orderBy("clip_id", "key", "start_time")
@@ -105,21 +110,36 @@ def write_stats(stats: DataFrame, path: str, key: str) -> None:
 
 
 def install_run(spark: SparkSession, uploaded: str, path: str, run_id: str, entity: str, overwrite: bool = False) -> None:
-    """Check an uploaded run's rows and move its folder to its place in one rename.
+    """Check an uploaded run's name and rows and move its folder to its place in one rename.
 
-    Without overwrite, a run that is there already is an error; with it, the old folder goes first.
+    Without overwrite, a run that is there already is an error. With it, the old folder is renamed aside, where readers
+    don't look, and deleted when the new one is in its place; if that fails, it comes back.
     """
+    if not RUN_NAME.fullmatch(run_id):
+        raise ValueError(f"not a name of a run: {run_id!r}")
     check_columns(spark.read.parquet(uploaded).withColumn("run_id", F.lit(run_id)), entity)
     place = spark._jvm.org.apache.hadoop.fs.Path
     src, dst = place(uploaded), place(f"{path}/run_id={run_id}")
     fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(dst):
-        if not overwrite:
-            raise FileExistsError(f"run {run_id} is there already")
-        fs.delete(dst, True)
+    aside = place(f"{path}/_old-{run_id}-{uuid.uuid4().hex}")
+    there = fs.exists(dst)
+    if there and not overwrite:
+        raise FileExistsError(f"run {run_id} is there already")
     fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst):
+    if there and not fs.rename(dst, aside):
+        raise OSError(f"{dst} can't be moved")
+    try:
+        done = fs.rename(src, dst)
+    except BaseException:
+        if there:
+            fs.rename(aside, dst)
+        raise
+    if not done:
+        if there:
+            fs.rename(aside, dst)
         raise OSError(f"{uploaded} can't be moved to {dst}")
+    if there:
+        fs.delete(aside, True)
 
 
 def write_assignments(df: DataFrame, path: str, overwrite: bool = False) -> None:
