@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from ..operators import sets as sets_
 from ..plans.client import Client
 from ..plans.engine import Catalog, Engine, page
 from ..plans.filters import NumericFilter, SearchFilters
-from ..sources import readers, tensors, writers
+from ..sources import ranges, readers, tensors, writers
 from ..sources.workdir import workdir
 from ..streaming import incremental
 from .analytics import _log
@@ -68,6 +69,38 @@ def s05(spark, sf_dir, v):
     return t.select("key", F.col("position").cast("long").alias("position"), F.col("shape")[0].cast("int").alias("size"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("s"))
 
 
+@query("s05_tensor_ranges", "vectors", "SELECT row_id::STRING AS key, 64 AS size, round(list_sum(list_transform(vec::DOUBLE[], lambda x: x)), 5) AS s FROM vectors WHERE row_id % 3 = 1")
+def s05_ranges(spark, sf_dir, v):
+    """Some keys of stored files: headers first, then the wanted keys' bytes."""
+    f = _packed(v, "label", lambda k: f"{k}.safetensors", lambda g: tensors.pack_tensors({str(r.row_id): np.asarray(r.vec, "f4") for r in g.itertuples()}))
+    folder = workdir(spark, "tensors")
+    ranges.store(f, folder)
+    t = ranges.tensor_values(ranges.tensor_entries(ranges.listed(spark, folder, "*.safetensors")).filter("cast(key as bigint) % 3 = 1"), task_bytes=1 << 16)
+    return t.select("key", F.col("shape")[0].cast("int").alias("size"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("s"))
+
+
+def _tar(g) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for r in g.itertuples():
+            info = tarfile.TarInfo(f"clips/{r.clip_id}.txt")
+            info.size = len(data := r.text.encode())
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+@query("s11_archive_ranges", "captions", "SELECT 'src' || (clip_id::BIGINT % 20) AS archive, clip_id, string_agg(caption, ' ' ORDER BY uid) AS text FROM captions GROUP BY clip_id")
+def s11(spark, sf_dir, c):
+    """The members of stored archives, by an index of their headers and ranges that several tasks read."""
+    texts = c.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uid", "caption"))), lambda x: x["caption"]), " ").alias("text"))
+    f = _packed(texts.withColumn("src", F.concat(F.lit("src"), F.col("clip_id").cast("long") % 20)), "src", lambda k: f"{k}.tar", _tar)
+    folder = workdir(spark, "archives")
+    ranges.store(f, folder)
+    m = ranges.contents(ranges.members(ranges.listed(spark, folder, "*.tar")), task_bytes=1 << 16)
+    part = lambda col, pattern: F.regexp_extract(col, pattern, 1)
+    return m.select(part("archive", r"([^/]+)\.tar$").alias("archive"), part("member", r"([^/]+)\.txt$").alias("clip_id"), F.decode("content", "UTF-8").alias("text"))
+
+
 @query("s07_score_maps", "scores", "SELECT * FROM scores")
 def s07(spark, sf_dir, s):
     path = workdir(spark, "scores")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import classifiers, clusters, compressed, evaluation, vector_index, vector_search
+from ..operators import classifiers, clusters, compressed, evaluation, graph_index, projection, vector_index, vector_search
 from ..operators.block_join import similarities
 from ..sources.workdir import workdir
 from .base import query
@@ -375,3 +375,16 @@ def v02_index(spark, sf_dir, v):
 def j14(spark, sf_dir, v):
     r = similarities(v, _queries(v), 10).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")))
     return r.select("query_id", "clip_id", F.round("score", 6).alias("score"), F.col("r").cast("long").alias("rank"))
+
+
+@query("v02_graph_recall", "vectors")
+def v02_graph(spark, sf_dir, v):
+    """Recall of the best 20 by stored graphs, for each of the stated queries."""
+    v, q = v.withColumn("clip_id", F.col("row_id").cast("string")), _queries(v)
+    return vector_index.recalls(similarities(v, q, 20), graph_index.build(v, workdir(spark, "graphs")).search(q, 20))
+
+
+@query("m03_neighbour_map", "vectors")
+def m03_map(spark, sf_dir, v):
+    """A layout of a bounded sample, and the places of all rows on it."""
+    return projection.project(v, epochs=100).select("row_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
