@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from ..plans.client import Client
 from ..plans.engine import Catalog, Engine, page
 from ..plans.filters import NumericFilter, SearchFilters
 from ..sources import ranges, readers, tensors, writers
+from ..sources.commits import CommittedTable
 from ..sources.workdir import workdir
 from ..streaming import incremental
 from .analytics import _log
@@ -269,6 +271,30 @@ def k10(spark, sf_dir, v):
     return spark.read.parquet(path)
 
 
+@query("k10_commits_at_once", "vectors", "SELECT clip_id, count(*) AS n_rows, sum(row_id)::BIGINT AS s FROM vectors GROUP BY clip_id UNION ALL SELECT 'keys', count(DISTINCT clip_id), NULL FROM vectors")
+def k10b(spark, sf_dir, v):
+    """Four writers append a quarter of all rows each at once; four more append the keys they see, of which each stays once."""
+    rows = v.select("clip_id", "row_id")
+    all_, keys = (CommittedTable(spark, workdir(spark, t)) for t in ("commits", "keys"))
+    quarter = lambda i: rows.filter(F.pmod(F.xxhash64("row_id"), F.lit(4)) == i)
+    with ThreadPoolExecutor(4) as pool:
+        for f in [pool.submit(t, i) for i in range(4) for t in (lambda i: all_.append(quarter(i)), lambda i: keys.append_new(quarter(i).select("clip_id"), "clip_id"))]:
+            f.result()
+    n = keys.read().agg(F.lit("keys").alias("clip_id"), F.count("*").alias("n_rows"), F.lit(None).cast("long").alias("s"))
+    return all_.read().groupBy("clip_id").agg(F.count("*").alias("n_rows"), F.sum("row_id").alias("s")).unionByName(n)
+
+
+@query("k11_pinned_runs", "assignments", "SELECT 'pinned' AS seen, clip_id, cluster_id, distance FROM assignments UNION ALL SELECT 'newest', clip_id, cluster_id + 1, distance FROM assignments UNION ALL SELECT 'newest', clip_id, cluster_id, distance FROM assignments")
+def k11b(spark, sf_dir, a):
+    """A run is replaced while a reader holds the version before; the other run stays."""
+    t, rows = CommittedTable(spark, workdir(spark, "runs")), a.select("clip_id", "cluster_id", "distance")
+    t.install_run(rows, "up1")
+    pinned = t.read()
+    t.install_run(rows, "up2")
+    t.install_run(rows.withColumn("cluster_id", (F.col("cluster_id") + 1).cast(rows.schema["cluster_id"].dataType)), "up1", overwrite=True)
+    return pinned.select(F.lit("pinned").alias("seen"), "*").unionByName(t.read().select(F.lit("newest").alias("seen"), "*"))
+
+
 @query("k12_sampling_manifest", "intervals", "SELECT k::STRING AS video_id, start_time AS a, end_time AS b, uid FROM intervals")
 def k12(spark, sf_dir, i):
     path = workdir(spark, "manifest")
