@@ -38,6 +38,37 @@ class HashingEncoder:
         return self([text])[0].tolist()
 
 
+TokenEncoder = Callable[[Sequence[Sequence[str]]], Sequence[np.ndarray]]
+
+
+class GramTokens:
+    """A token encoder: words as hashed letter groups of three with their edges marked, so related forms are alike."""
+
+    def __init__(self, dims: int = 256):
+        self.dims = dims
+
+    def __call__(self, texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
+        out = []
+        for words in texts:
+            m = np.zeros((len(words), self.dims))
+            for i, w in enumerate(words):
+                w = f"<{w}>"
+                for j in range(max(len(w) - 2, 1)):
+                    h = zlib.crc32(w[j : j + 3].encode())
+                    m[i, h % self.dims] += 1.0 if h >> 31 else -1.0
+            out.append(m)
+        return out
+
+
+def same_tokens(texts: Sequence[Sequence[str]]) -> list[np.ndarray]:
+    """A token encoder under which a word is like itself only: an axis for each word of the call."""
+    axis = {w: i for i, w in enumerate(dict.fromkeys(w for words in texts for w in words))}
+    out = [np.zeros((len(words), max(len(axis), 1))) for words in texts]
+    for m, words in zip(out, texts, strict=True):
+        m[np.arange(len(words)), [axis[w] for w in words]] = 1.0
+    return out
+
+
 def encode(col: Column | str, encoder: Encoder) -> Column:
     """A column of vectors; the encoder gets a batch of values at once."""
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.encoders import TokenEncoder
+
 
 def truth_ranks(sims: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, clip_id, score), (query_id, clip_id) -> query_id, rank of the true clip; ties share their mean rank."""
@@ -221,3 +224,79 @@ def cider(pairs: DataFrame, n: int = 4) -> DataFrame:
     )
     s = j.groupBy("clip_id").agg((10 * F.sum(F.coalesce(F.try_divide(F.col("ab"), F.col("na") * F.col("nb")), F.lit(0.0))) / n).alias("cider"))
     return pairs.join(s, "clip_id", "left").fillna(0.0, ["cider"])
+
+
+# Token matching: each token with its most similar one on the other side, by the vectors of a supplied encoder.
+
+
+def _tokens(col: str):
+    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+
+def token_weights(references: DataFrame, salts: int = 1) -> DataFrame:
+    """(reference) -> token, idf, salt: log((n + 1) / (df + 1)) over all n rows, a row per salt."""
+    n = references.agg(F.count("*").alias("n"))
+    df = references.select(F.explode(F.array_distinct(_tokens("reference"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
+    return df.crossJoin(F.broadcast(n)).select("token", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+
+def _best(a: np.ndarray, b: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """The highest cosine of each row of a in b, and of each row of b in a; ``rows`` of a at a time."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    a, b = unit(np.asarray(a, float)), unit(np.asarray(b, float))
+    down, across = np.empty(len(a)), np.full(len(b), -1.0)
+    for at in range(0, len(a), rows):
+        s = a[at : at + rows] @ b.T
+        down[at : at + rows] = s.max(1)
+        np.maximum(across, s.max(0), out=across)
+    return down, across
+
+
+def token_match(pairs: DataFrame, encoder: TokenEncoder, key: str = "clip_id", weighted: bool = True, baseline: float = 0.0, batch: int = 16, salts: int = 16) -> DataFrame:
+    """pairs (key, reference, prediction, ...) plus match_precision, match_recall and match_f1.
+
+    Precision is the mean over the prediction's tokens of the highest cosine with any token of the reference, recall the
+    same the other way, both weighted by inverse document frequencies over all references (Zhang et al. 2020). A token that no
+    reference has weighs most; where all weights of a text are zero, its tokens weigh the same. ``baseline`` rescales
+    to (x - baseline) / (1 - baseline). A side without tokens scores 0. Nulls are empty texts; equal keys may repeat.
+    The encoder gets the token lists of ``batch`` pairs, references first, and returns a matrix for each.
+    """
+    weight = "map<string, double>"
+    own = pairs.withColumns({"_key": F.xxhash64(F.coalesce("reference", F.lit("")), F.coalesce("prediction", F.lit("")), F.col(f"`{key}`")), "_r": _tokens("reference"), "_p": _tokens("prediction")})
+    n = pairs.agg(F.log(F.count("*") + 1.0).alias("_unseen"))
+    if weighted:
+        # words that a third of all texts have meet salted copies of their weight; a text's weights come back as one map
+        t = own.select("_key", F.explode(F.array_distinct(F.concat("_r", "_p"))).alias("token")).distinct().withColumn("salt", F.pmod("_key", F.lit(salts)).cast("int"))
+        w = t.join(token_weights(pairs, salts), ["token", "salt"]).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("_w"))
+        own = own.join(w, "_key", "left")
+    else:
+        own = own.withColumn("_w", F.lit(None).cast(weight))
+    own = own.crossJoin(F.broadcast(n)).drop("_key")
+    out = ("match_precision", "match_recall", "match_f1")
+    keep = [c for c in pairs.columns]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema), *(f"{c} double" for c in out)])
+
+    def mean(best: np.ndarray, words: Sequence[str], weights: dict[str, float], unseen: float) -> float:
+        u = np.array([weights.get(x, unseen) for x in words]) if weighted else np.ones(len(words))
+        u = u if u.sum() > 0 else np.ones(len(words))
+        return (float(best @ u / u.sum()) - baseline) / (1 - baseline)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            scores = []
+            for at in range(0, len(f), batch):
+                part = f.iloc[at : at + batch]
+                refs, preds = ([list(x) for x in part[c]] for c in ("_r", "_p"))
+                vectors = encoder(refs + preds)
+                for r, p, a, b, w, unseen in zip(refs, preds, vectors[: len(refs)], vectors[len(refs) :], part["_w"], part["_unseen"], strict=True):
+                    if not r or not p:
+                        scores.append((0.0, 0.0, 0.0))
+                        continue
+                    weights = dict(w) if w is not None else {}
+                    down, across = _best(a, b)
+                    precision, recall = mean(across, p, weights, unseen), mean(down, r, weights, unseen)
+                    scores.append((precision, recall, 2 * precision * recall / (precision + recall) if precision + recall else 0.0))
+            yield f[keep].assign(**dict(zip(out, np.array(scores).reshape(-1, 3).T, strict=True)))
+
+    return own.mapInPandas(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import encoders
 from ..functions import vectors as V
 from ..operators import classifiers, clusters, compressed, evaluation, graph_index, projection, vector_index, vector_search
 from ..operators.block_join import similarities
@@ -269,6 +270,30 @@ def u06(spark, sf_dir, c):
     return evaluation.cider(evaluation.score_captions(p, ["bleu", "rouge_1", "rouge_2", "rouge_l", "meteor"])).drop("reference", "prediction")
 
 
+_PAIRS = "(SELECT clip_id, min_by(caption, uid) AS reference, max_by(caption, uid) AS prediction FROM captions GROUP BY clip_id)"
+_TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[^\x20\x09-\x0D]+')"
+_MATCHED = "SELECT clip_id, sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w) AS v FROM (SELECT clip_id, CASE WHEN sum(idf) OVER (PARTITION BY clip_id) > 0 THEN idf ELSE 1 END AS w, hit FROM (SELECT s.clip_id, s.hit, coalesce(i.idf, (SELECT ln(n + 1) FROM total)) AS idf FROM ({}) s LEFT JOIN idf i USING (token))) GROUP BY clip_id"
+_SIDE = "SELECT clip_id, unnest({0}) AS token, list_contains({1}, unnest({0})) AS hit FROM toks WHERE len(r) > 0 AND len(p) > 0"
+
+
+@query("x08_shared_tokens", "captions", f"""SELECT clip_id, round(coalesce(a.v, 0), 6) AS match_precision, round(coalesce(b.v, 0), 6) AS match_recall, round(CASE WHEN a.v + b.v > 0 THEN 2 * a.v * b.v / (a.v + b.v) ELSE 0 END, 6) AS match_f1 FROM
+  (WITH toks AS (SELECT clip_id, {_TOKENS.format("reference")} AS r, {_TOKENS.format("prediction")} AS p FROM {_PAIRS}), total AS (SELECT count(*)::DOUBLE AS n FROM toks),
+  idf AS (SELECT token, ln((n + 1) / (count(*) + 1)) AS idf FROM (SELECT DISTINCT clip_id, unnest(r) AS token FROM toks), total GROUP BY token, n)
+  SELECT t.clip_id, a, b FROM toks t LEFT JOIN ({_MATCHED.format(_SIDE.format("p", "r"))}) a USING (clip_id) LEFT JOIN ({_MATCHED.format(_SIDE.format("r", "p"))}) b USING (clip_id))""")
+def x08(spark, sf_dir, c):
+    """Captions against one another with words that are like themselves only: weighted shares of common words."""
+    p = c.groupBy("clip_id").agg(F.min_by("caption", "uid").alias("reference"), F.max_by("caption", "uid").alias("prediction"))
+    m = evaluation.token_match(p, encoders.same_tokens)
+    return m.select("clip_id", *[F.round(x, 6).alias(x) for x in ("match_precision", "match_recall", "match_f1")])
+
+
+@query("x08_token_match", "captions")
+def x08b(spark, sf_dir, c):
+    """The same with words as vectors of their letter groups."""
+    p = c.groupBy("clip_id").agg(F.min_by("caption", "uid").alias("reference"), F.max_by("caption", "uid").alias("prediction"))
+    return evaluation.token_match(p, encoders.GramTokens()).drop("reference", "prediction")
+
+
 @query("a27_select_scenarios", "annotations clips", """SELECT key, n_clips, n_pred FROM (SELECT *, row_number() OVER (ORDER BY n_clips DESC, key) - 1 AS r, count(*) OVER () AS m FROM (
   SELECT key, count(DISTINCT clip_id) AS n_clips, count(DISTINCT clip_id) FILTER (clip_id::BIGINT % 2 = 0) AS n_pred FROM annotations WHERE value IS NULL GROUP BY key HAVING count(DISTINCT clip_id) >= 5)
   WHERE n_pred > 0) WHERE r % greatest(1, floor(m / 2)::BIGINT) = 0 AND r / greatest(1, floor(m / 2)::BIGINT) < 2""")
