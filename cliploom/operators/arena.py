@@ -180,18 +180,137 @@ def filtered(votes: DataFrame, item_labels: DataFrame | None = None, labels: lis
     return v.filter(~F.col("username").isin(without_users)) if without_users else v
 
 
-def influence(votes: DataFrame, entity: str) -> DataFrame:
-    """entity, shift, rank_changes: what leaving out each annotator or item does to the leaderboard.
+def _score(a: State, b: State, winner: str) -> tuple[State, State]:
+    """Both states after a vote that counts."""
+    sa, sb = (0.0, 0.0) if winner == "both_bad" else (SCORES.get(winner, 0.5), 1 - SCORES.get(winner, 0.5))
+    return glicko2(a, b, sa), glicko2(b, a, sb)
 
-    Each entity's replay is one group of its own (all votes but its own).
+
+def _start(state: State | None) -> State:
+    return state if state is not None else (INITIAL, INITIAL_RD, INITIAL_VOL)
+
+
+def _ordered(votes: DataFrame, blocks: int) -> tuple[DataFrame, list[int]]:
+    """Counted votes with the number of their range of ids, of about equal size: block 0 to ``blocks`` - 1 at most."""
+    v = votes.filter("coalesce(winner, '') <> 'skip' and model_a <> model_b")
+    cuts = v.agg(F.percentile_approx("id", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] if blocks > 1 else None
+    cuts = sorted(set(cuts or []))
+    return v.withColumn("block", sum((F.lit(c) < F.col("id")).cast("int") for c in cuts) if cuts else F.lit(0)), cuts
+
+
+def snapshots(ordered: DataFrame) -> DataFrame:
+    """block, model, rating, rd, vol: the states that a block of votes changed, as they are at its end.
+
+    The one replay of all votes streams through one task in id order, as each vote needs the ones before; it holds
+    the models' states and nothing else. A block starts from the last state of each model in the blocks before.
+    """
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        states: dict[str, State] = {}
+        touched: set[str] = set()
+        now = None
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame([(now, m, *states[m]) for m in sorted(touched)], columns=["block", "model", "rating", "rd", "vol"])
+
+        for f in frames:
+            for block, a, b, winner in zip(f["block"], f["model_a"], f["model_b"], f["winner"], strict=True):
+                if now is not None and block != now:
+                    yield closed()
+                    touched.clear()
+                now = block
+                states[a], states[b] = _score(_start(states.get(a)), _start(states.get(b)), winner)
+                touched |= {a, b}
+        if touched:
+            yield closed()
+
+    one = ordered.select("id", "block", "model_a", "model_b", "winner").repartition(1).sortWithinPartitions("id")
+    return one.mapInPandas(run, "block int, model string, rating double, rd double, vol double")
+
+
+def influence(votes: DataFrame, entity: str, blocks: int = 64, together: int = 256) -> DataFrame:
+    """left_out, shift, rank_changes, n_updates: what leaving out each annotator or item does to the leaderboard.
+
+    shift adds up what the ratings differ by, rank_changes counts models with another place among those still rated,
+    and n_updates the votes that had to be rated anew. Votes without an annotator or item stay in every replay.
+
+    All votes are replayed once, with states kept at the ends of ``blocks``. Entities whose first vote is in the same block
+    share a task, ``together`` at a time; it starts from that block's state and reads on from there. An entity's
+    own states are kept only for models that its missing votes reached, directly or through others; all else is the
+    common replay, so a vote is rated again only for entities to whom it makes a difference. A task holds at most
+    ``together`` states for each model.
     """
-    ids = votes.select(F.col(entity).alias("left_out")).distinct()
-    rest = votes.join(ids, F.col(entity) != F.col("left_out"))
-    part = ratings(rest, ("left_out",)).select("left_out", "model", "rating")
-    full = ratings(votes.withColumn("left_out", F.lit("")), ("left_out",)).select("model", F.col("rating").alias("full"))
-    place = Window.partitionBy("left_out")
-    j = part.join(full, "model").withColumns({"r": F.row_number().over(place.orderBy(F.desc("rating"), "model")), "f": F.row_number().over(place.orderBy(F.desc("full"), "model"))})
-    return j.groupBy("left_out").agg(F.sum(F.abs(F.col("rating") - F.col("full"))).alias("shift"), F.count_if(F.col("r") != F.col("f")).alias("rank_changes"))
+    v, _ = _ordered(votes, blocks)
+    v = v.select("id", "block", "model_a", "model_b", "winner", F.col(entity).alias("own"))
+    skipped = votes.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("own")).distinct()
+    kept = snapshots(v)
+    first = v.filter("own is not null").groupBy("own").agg(F.min("block").alias("start"))
+    sizes = first.groupBy("start").agg(F.ceil(F.count("*") / together).cast("int").alias("n"))
+    first = first.join(F.broadcast(sizes), "start").withColumn("part", F.pmod(F.xxhash64("own"), F.col("n")).cast("int"))  # sizes: a row a block
+    buckets = first.select("start", "part").distinct()
+    head = ["start", "part"]
+    empty = lambda t, c: F.lit(None).cast(t).alias(c)
+    rows = (
+        kept.join(F.broadcast(sizes.select("start")), F.col("block") < F.col("start"))
+        .groupBy("start", "model").agg(F.max_by(F.struct("rating", "rd", "vol"), "block").alias("s")).join(buckets, "start")
+        .select(*head, F.lit(0).alias("tag"), empty("long", "id"), F.col("model").alias("model_a"), empty("string", "model_b"), empty("string", "winner"), empty("string", "own"), "s.*")
+    )
+    none = [empty("double", c) for c in ("rating", "rd", "vol")]
+    names = first.select(*head, F.lit(1).alias("tag"), empty("long", "id"), empty("string", "model_a"), empty("string", "model_b"), empty("string", "winner"), F.col("own").cast("string").alias("own"), *none)
+    later = v.join(F.broadcast(sizes), F.col("block") >= F.col("start"))
+    later = later.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    later = later.select(*head, F.lit(2).alias("tag"), F.col("id").cast("long").alias("id"), "model_a", "model_b", "winner", F.col("own").cast("string").alias("own"), *none)
+    out = rows.unionByName(names).unionByName(later).repartition(*head).sortWithinPartitions(*head, "tag", "id").mapInPandas(_leave_out, "left_out string, shift double, rank_changes long, n_updates long")
+    # entities all of whose votes were skipped change nothing
+    idle = skipped.join(first.select("own"), "own", "left_anti").select(F.col("own").cast("string").alias("left_out"), F.lit(0.0).alias("shift"), F.lit(0).cast("long").alias("rank_changes"), F.lit(0).cast("long").alias("n_updates"))
+    return out.unionByName(idle)
+
+
+def _leave_out(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """Sorted rows of groups of entities: states (tag 0), the entities (1), the votes from there on (2)."""
+    group, full, dirty, members, updates = None, {}, {}, {}, []
+
+    def report() -> pd.DataFrame:
+        place = {m: i for i, m in enumerate(sorted(full, key=lambda m: (-full[m][0], m)))}
+        out = []
+        changed: list[dict[str, State | None]] = [{} for _ in members]
+        for m, by in dirty.items():
+            for e, s in by.items():
+                changed[e][m] = s
+        for name, e in members.items():
+            mine = {m: changed[e].get(m, s) for m, s in full.items()}
+            rated = [m for m in place if mine[m] is not None]  # in the order of the full leaderboard
+            order = sorted(rated, key=lambda m: (-mine[m][0], m))
+            shift = sum(abs(s[0] - full[m][0]) for m, s in changed[e].items() if s is not None)
+            out.append((name, shift, sum(x != y for x, y in zip(rated, order, strict=True)), updates[e]))
+        return pd.DataFrame(out, columns=["left_out", "shift", "rank_changes", "n_updates"])
+
+    for f in frames:
+        columns = ("start", "part", "tag", "model_a", "model_b", "winner", "own", "rating", "rd", "vol")
+        for start, part, tag, a, b, winner, own, *state in zip(*[f[c] for c in columns], strict=True):
+            if group != (start, part):
+                if members:
+                    yield report()
+                group, full, dirty, members, updates = (start, part), {}, {}, {}, []
+            if tag == 0:
+                full[a] = tuple(state)
+                continue
+            if tag == 1:
+                members[own] = len(members)
+                updates.append(0)
+                continue
+            x, y = full.get(a), full.get(b)
+            mine_a, mine_b = dirty.setdefault(a, {}), dirty.setdefault(b, {})
+            left = members.get(own)
+            for e in mine_a.keys() | mine_b.keys() | ({left} if left is not None else set()):
+                xe, ye = mine_a.get(e, x), mine_b.get(e, y)
+                if e != left:
+                    xe, ye = _score(_start(xe), _start(ye), winner)
+                    updates[e] += 1
+                mine_a[e], mine_b[e] = xe, ye
+            full[a], full[b] = _score(_start(x), _start(y), winner)
+    if members:
+        yield report()
 
 
 def gamma(a: DataFrame, b: DataFrame) -> DataFrame:

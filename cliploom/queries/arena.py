@@ -23,6 +23,11 @@ def w18(spark, sf_dir, v):
     return arena.influence(v, "username")
 
 
+@query("w18_item_influence", "votes")
+def w18b(spark, sf_dir, v):
+    return arena.influence(v, "input_id")
+
+
 @query("w19_agreement", "votes")
 def w19(spark, sf_dir, v):
     return arena.agreement(v)
