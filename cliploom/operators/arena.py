@@ -180,7 +180,7 @@ def filtered(votes: DataFrame, item_labels: DataFrame | None = None, labels: lis
     return v.filter(~F.col("username").isin(without_users)) if without_users else v
 
 
-def _score(a: State, b: State, winner: str) -> tuple[State, State]:
+def rate(a: State, b: State, winner: str) -> tuple[State, State]:
     """Both states after a vote that counts."""
     sa, sb = (0.0, 0.0) if winner == "both_bad" else (SCORES.get(winner, 0.5), 1 - SCORES.get(winner, 0.5))
     return glicko2(a, b, sa), glicko2(b, a, sb)
@@ -219,7 +219,7 @@ def snapshots(ordered: DataFrame) -> DataFrame:
                     yield closed()
                     touched.clear()
                 now = block
-                states[a], states[b] = _score(_start(states.get(a)), _start(states.get(b)), winner)
+                states[a], states[b] = rate(_start(states.get(a)), _start(states.get(b)), winner)
                 touched |= {a, b}
         if touched:
             yield closed()
@@ -305,10 +305,10 @@ def _leave_out(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             for e in mine_a.keys() | mine_b.keys() | ({left} if left is not None else set()):
                 xe, ye = mine_a.get(e, x), mine_b.get(e, y)
                 if e != left:
-                    xe, ye = _score(_start(xe), _start(ye), winner)
+                    xe, ye = rate(_start(xe), _start(ye), winner)
                     updates[e] += 1
                 mine_a[e], mine_b[e] = xe, ye
-            full[a], full[b] = _score(_start(x), _start(y), winner)
+            full[a], full[b] = rate(_start(x), _start(y), winner)
     if members:
         yield report()
 

@@ -295,6 +295,15 @@ def k11b(spark, sf_dir, a):
     return pinned.select(F.lit("pinned").alias("seen"), "*").unionByName(t.read().select(F.lit("newest").alias("seen"), "*"))
 
 
+@query("i05_live_ratings", "votes")
+def i05(spark, sf_dir, v):
+    """All votes as a stream; the last state of each model."""
+    src, out = _stored(v, "votes"), workdir(spark, "rated")
+    write = lambda d, n: d.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    incremental.start_ratings(spark.readStream.schema(v.schema).parquet(src), write, workdir(spark, "ratings")).awaitTermination()
+    return spark.read.parquet(out).groupBy("arena", "criterion", "model").agg(F.max_by(F.struct("rating", "rd", "vol", "n"), "n").alias("s")).select("arena", "criterion", "model", "s.*")
+
+
 @query("k12_sampling_manifest", "intervals", "SELECT k::STRING AS video_id, start_time AS a, end_time AS b, uid FROM intervals")
 def k12(spark, sf_dir, i):
     path = workdir(spark, "manifest")

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import logs
-from ..operators.arena import INITIAL, INITIAL_RD, INITIAL_VOL, SCORES, glicko2
+from ..operators.arena import INITIAL, INITIAL_RD, INITIAL_VOL, rate
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -59,37 +59,71 @@ def label_counters(events: DataFrame) -> DataFrame:
 
 
 _RATING = "arena string, criterion string, model string, rating double, rd double, vol double, n int"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def live_ratings(votes: DataFrame) -> DataFrame:
-    """Votes stream -> the states of both models after each vote, per (arena, criterion).
+class _Ratings(StatefulProcessor):
+    """A map of model states, of which a batch reads and writes the ones it meets, and a map of match ids that time out."""
 
-    A (match, criterion) counts once. Votes of one micro-batch go by id.
-    """
-    state = "models array<struct<model: string, rating: double, rd: double, vol: double, n: int>>, seen array<string>"
-
-    def update(key: tuple, pdfs: Iterator[pd.DataFrame], st) -> Iterator[pd.DataFrame]:
-        models, seen = ({}, set())
-        if st.exists:
-            stored = st.get
-            models = {m["model"]: (m["rating"], m["rd"], m["vol"], m["n"]) for m in (dict(x.asDict()) if hasattr(x, "asDict") else dict(x) for x in stored[0])}
-            seen = set(stored[1])
-        batch = pd.concat(list(pdfs)).sort_values("id", kind="stable")
-        touched = {}
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.models = handle.getMapState("models", "model string", "rating double, rd double, vol double, n int")
+        self.seen = handle.getMapState("seen", "match string", "one boolean", self.keep_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("id", kind="stable")
+        states: dict[str, tuple] = {}
+        touched = set()
         for match, a, b, winner in zip(batch["match_id"], batch["model_a"], batch["model_b"], batch["winner"], strict=True):
-            if match in seen:
+            if self.seen.containsKey((match,)):
                 continue
-            seen.add(match)
+            self.seen.updateValue((match,), (True,))
             if winner == "skip" or a == b:
                 continue
-            x, y = (models.get(m, (INITIAL, INITIAL_RD, INITIAL_VOL, 0)) for m in (a, b))
-            sa, sb = (0.0, 0.0) if winner == "both_bad" else (SCORES.get(winner, 0.5), 1 - SCORES.get(winner, 0.5))
-            models[a], models[b] = (*glicko2(x[:3], y[:3], sa), x[3] + 1), (*glicko2(y[:3], x[:3], sb), y[3] + 1)
-            touched |= {a: models[a], b: models[b]}
-        st.update(([{"model": m, "rating": s[0], "rd": s[1], "vol": s[2], "n": s[3]} for m, s in models.items()], sorted(seen)))
-        yield pd.DataFrame([(*key, m, *s) for m, s in sorted(touched.items())], columns=["arena", "criterion", "model", "rating", "rd", "vol", "n"])
-
-    return votes.groupBy("arena", "criterion").applyInPandasWithState(update, _RATING, state, "update", "NoTimeout")
+            for m in (a, b):
+                if m not in states:
+                    states[m] = tuple(self.models.getValue((m,))) if self.models.containsKey((m,)) else (INITIAL, INITIAL_RD, INITIAL_VOL, 0)
+            x, y = states[a], states[b]
+            new_a, new_b = rate(x[:3], y[:3], winner)
+            states[a], states[b] = (*new_a, x[3] + 1), (*new_b, y[3] + 1)
+            touched |= {a, b}
+        for m in touched:
+            self.models.updateValue((m,), states[m])
+        yield pd.DataFrame([(*key, m, *states[m]) for m in sorted(touched)], columns=["arena", "criterion", "model", "rating", "rd", "vol", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_ratings(votes: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Votes stream -> the states of both models after each vote, per (arena, criterion), for update output.
+
+    A (match, criterion) counts once. Votes of one micro-batch go by id. With ``keep_ms`` a match id is forgotten that long after it
+    came, so the state stays as large as the models and the votes of that time, and a repetition later than that would count
+    again; ``start_ratings`` starts such a stream. Needs the RocksDB state store, which it sets for the session.
+    """
+    votes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    v = votes.select("arena", "criterion", "id", "match_id", "model_a", "model_b", "winner")
+    mode = "none" if keep_ms is None else "processingTime"
+    return v.groupBy("arena", "criterion").transformWithStateInPandas(_Ratings(keep_ms), _RATING, "update", mode)
+
+
+def start_ratings(votes: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, keep_ms: int = 7 * 86_400_000, once: bool = True) -> StreamingQuery:
+    """Start ``live_ratings`` with bounded state; ``write`` gets each batch of changed states and its number.
+
+    Batches without votes are off for this query alone: with a clock in the state, Spark would plan one after another
+    and a run until now would never end. State that has timed out goes with later batches.
+    """
+    conf, name = votes.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        w = live_ratings(votes, keep_ms).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+        return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")).start()
+    finally:
+        conf.set(name, before)
 
 
 def manifests(spark: SparkSession, folder: str, ddl: str) -> DataFrame:
