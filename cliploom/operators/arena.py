@@ -235,9 +235,9 @@ def influence(votes: DataFrame, entity: str, blocks: int = 64, together: int = 2
     and n_updates the votes that had to be rated anew. Votes without an annotator or item stay in every replay.
 
     All votes are replayed once, with states kept at the ends of ``blocks``. Entities whose first vote is in the same block
-    share a task, ``together`` at a time; it starts from that block's state and reads on from there. An entity's
+    share a task, ``together`` at a time or fewer; it starts from that block's state and reads on from there. An entity's
     own states are kept only for models that its missing votes reached, directly or through others; all else is the
-    common replay, so a vote is rated again only for entities to whom it makes a difference. A task holds at most
+    common replay, so a vote is rated again only for entities to whom it makes a difference. A task holds about
     ``together`` states for each model.
     """
     v, _ = _ordered(votes, blocks)
@@ -245,7 +245,9 @@ def influence(votes: DataFrame, entity: str, blocks: int = 64, together: int = 2
     skipped = votes.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("own")).distinct()
     kept = snapshots(v)
     first = v.filter("own is not null").groupBy("own").agg(F.min("block").alias("start"))
-    sizes = first.groupBy("start").agg(F.ceil(F.count("*") / together).cast("int").alias("n"))
+    sizes, cores = first.groupBy("start").agg(F.count("*").alias("k")), votes.sparkSession.sparkContext.defaultParallelism
+    share = F.least("k", F.ceil(cores * F.col("k") / F.col("total")))  # few entities still spread over all cores
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("k").alias("total")))).select("start", F.greatest(F.ceil(F.col("k") / together), share).cast("int").alias("n"))
     first = first.join(F.broadcast(sizes), "start").withColumn("part", F.pmod(F.xxhash64("own"), F.col("n")).cast("int"))  # sizes: a row a block
     buckets = first.select("start", "part").distinct()
     head = ["start", "part"]
