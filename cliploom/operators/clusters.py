@@ -4,64 +4,113 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalars import canonical_ngram, clean_caption
-from .windows import percentile_band, sample_per_group
+from .windows import percentile_band, random_subset, sample_per_group
 
 
-def fit(vectors: DataFrame, k: int, iterations: int = 25, seed: int = 1234, spherical: bool = False, per_cluster: int = 256):
+#: Most clusters of a run; so centroids, which each task holds, have a bound.
+MOST_CLUSTERS = 20_000
+#: Numbers of a matrix of distances that are made at once.
+CELLS = 1 << 22
+#: Centroids whose squared distance is this near to the least, as a part of the numbers summed, tie; the first one wins.
+SLACK = 1e-12
+
+
+def fit(vectors: DataFrame, k: int, iterations: int = 25, seed: int = 1234, spherical: bool = False, per_cluster: int = 256, most: int | None = None, redo: int = 1):
     """K-means on about k * per_cluster rows, then every row assigned: (assignments, centroids).
 
-    The sample is the rows whose hash is below a threshold. Distances are squared L2 to the nearest centroid.
+    The sample is the rows whose hash is below a threshold. Distances are squared L2 to the nearest centroid. Of
+    ``redo`` fits from different starts the one of the least cost stays. k is MOST_CLUSTERS at most. With ``most``, a
+    run takes that many clips only, drawn at random; without, all. Rows without a vector or a clip take no part; no
+    rows at all are a ValueError.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = vectors.withColumn("vec", V.normalize(F.col("vec"))) if spherical else vectors
+    k = min(k, MOST_CLUSTERS)
+    v = vectors.filter("vec is not null and clip_id is not null")
+    if most is not None:
+        v = random_subset(v, "clip_id", most, seed)
+    if spherical:
+        v = v.withColumn("vec", V.normalize(F.col("vec")))
     cap = k * per_cluster
     n = v.count()
-    share = F.pmod(F.xxhash64(F.lit(seed), "clip_id", "row_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, cap / max(1, n)))
-    sample = v.filter(share) if n > cap else v
-    model = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="f", distanceMeasure="cosine" if spherical else "euclidean").fit(sample.select(array_to_vector("vec").alias("f")))
-    centres = [c.tolist() for c in model.clusterCenters()]
-    centroids = vectors.sparkSession.createDataFrame(list(enumerate(centres)), "cluster_id int, vec array<double>")
-    return assign(v, centres), centroids
+    if not n:
+        raise ValueError("no vectors to cluster")
+    share = F.pmod(F.xxhash64(F.lit(seed), "clip_id", "row_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, cap / n))
+    sample = (v.filter(share) if n > cap else v).select(array_to_vector("vec").alias("f"))
+    if redo > 1:
+        sample = sample.persist()
+    fits = (KMeans(k=k, maxIter=iterations, seed=seed + i, featuresCol="f", distanceMeasure="cosine" if spherical else "euclidean").fit(sample) for i in range(redo))
+    centres = _centres(min(fits, key=lambda m: m.summary.trainingCost))
+    if redo > 1:
+        sample.unpersist()
+    return assign(v, centres), centroid_table(vectors.sparkSession, centres)
+
+
+def _centres(model):
+    import numpy as np
 
+    return np.array(model.clusterCenters(), float)
 
-def assign(vectors: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
-    """clip_id, cluster_id, distance for every row: one matrix product per Arrow batch."""
+
+def centroid_table(spark: SparkSession, centres) -> DataFrame:
+    """cluster_id, vec of the rows of a matrix."""
+    import numpy as np
+    import pyarrow as pa
+
+    k, dims = centres.shape
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * dims, pa.int32()), pa.array(centres.ravel()))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(np.arange(k), pa.int32()), lists], ["cluster_id", "vec"]))
+
+
+def assign(vectors: DataFrame, centres) -> DataFrame:
+    """clip_id, cluster_id, distance for every row with a vector: products of CELLS numbers at most, row blocks against all centroids.
+
+    Centroids go to each executor once; they are MOST_CLUSTERS at most. Of centroids that are as near as rounding can
+    tell, the first one wins.
+    """
     import numpy as np
     import pyarrow as pa
 
     c = np.asarray(centres, float)
+    if not 0 < len(c) <= MOST_CLUSTERS:
+        raise ValueError(f"{len(c)} centroids")
+    shared = vectors.sparkSession.sparkContext.broadcast(c)
 
     def run(batches):
+        c = shared.value
+        squares = (c**2).sum(1)
+        step = max(1, CELLS // len(c))
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            x = flat.reshape(b.num_rows, -1)
-            d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None]
-            at = d.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(at, pa.int32()), pa.array(np.maximum(d[np.arange(len(at)), at], 0.0))], ["clip_id", "cluster_id", "distance"]
-            )
+            for start in range(0, b.num_rows, step):
+                x = flat.reshape(b.num_rows, -1)[start : start + step]
+                own = (x**2).sum(1)
+                d = squares[None] - 2 * x @ c.T
+                near = d <= (d.min(1) + SLACK * (own + squares.max()))[:, None]
+                at = near.argmax(1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, step), pa.array(at, pa.int32()), pa.array(((x - c[at]) ** 2).sum(1))], ["clip_id", "cluster_id", "distance"])
 
-    return vectors.select("clip_id", "vec").mapInArrow(run, "clip_id string, cluster_id int, distance double")
+    return vectors.filter("vec is not null").select("clip_id", "vec").mapInArrow(run, "clip_id string, cluster_id int, distance double")
 
 
 def by_cluster(result: DataFrame, assignments: DataFrame, run_id: str, ids: Sequence[int], low: float | None = None, high: float | None = None) -> DataFrame:
     """Clips of the clusters, with their distance; a missing run, or a selection without clips, changes nothing.
 
-    For a single cluster, low and high cut a percentile band of ascending distance.
+    For a single cluster, low and high cut a percentile band of ascending distance. Whether there are clips is asked
+    within the plan: no job runs before the result is read.
     """
     a = assignments.filter((F.col("run_id") == run_id) & F.col("cluster_id").isin(list(ids)))
     if len(set(ids)) == 1 and (low is not None or high is not None):
         a = percentile_band(a, "cluster_id", "distance", low or 0.0, 100.0 if high is None else high)
-    if not a.limit(1).count():
-        return result.withColumn("cluster_distance", F.lit(None).cast("double"))
-    return result.join(a.groupBy("clip_id").agg(F.min("distance").alias("cluster_distance")), "clip_id")
+    some = a.agg((F.count("*") > 0).alias("some")).scalar()
+    found = a.groupBy("clip_id").agg(F.min("distance").alias("cluster_distance"), F.lit(True).alias("_in_cluster"))
+    return result.join(found, "clip_id", "left").filter(F.col("_in_cluster").isNotNull() | ~some).drop("_in_cluster")
 
 
 def closest(centroids: DataFrame, query: Sequence[float], k: int) -> DataFrame:

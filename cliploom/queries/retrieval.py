@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders
 from ..functions import vectors as V
-from ..operators import classifiers, clusters, compressed, evaluation, graph_index, projection, vector_index, vector_search
+from ..operators import classifiers, clusters, compressed, evaluation, graph_index, projection, vector_index, vector_search, windows
 from ..operators.block_join import similarities
 from ..sources.workdir import workdir
 from .base import query
@@ -159,6 +159,28 @@ def m01(spark, sf_dir, v):
     return a
 
 
+_NEAREST = f"(SELECT v.row_id::STRING AS clip_id, arg_min(c.cluster_id, struct_pack(d := round({_L2.format('c.centre::DOUBLE[]')}, 9), i := c.cluster_id)) AS cluster_id, round(min({_L2.format('c.centre::DOUBLE[]')}), 6) AS distance FROM vectors v, (SELECT (row_number() OVER (ORDER BY row_id) - 1)::INT AS cluster_id, vec AS centre FROM vectors WHERE row_id < 64) c GROUP BY v.row_id)"
+
+
+@query("m01_assign", "vectors", f"SELECT * FROM {_NEAREST}")
+def m01b(spark, sf_dir, v):
+    """Every row at the nearest of given centroids."""
+    return _assigned(v, v)
+
+
+@query("m02_cluster_subset", "vectors", f"SELECT * FROM {_NEAREST} ORDER BY md5('1234:' || clip_id) LIMIT (SELECT count(*) // 3 FROM vectors)")
+def m02(spark, sf_dir, v):
+    """A run over a random third of the clips."""
+    ids = v.withColumn("clip_id", F.col("row_id").cast("string"))
+    return _assigned(v, windows.random_subset(ids, "clip_id", v.count() // 3, 1234))
+
+
+def _assigned(v, rows):
+    centres = [[float(x) for x in r.vec] for r in v.filter("row_id < 64").orderBy("row_id").collect()]  # 64 given centroids
+    a = clusters.assign(rows.withColumn("clip_id", F.col("row_id").cast("string")), centres)
+    return a.withColumn("distance", F.round("distance", 6))
+
+
 @query("m03_projection", "vectors")
 def m03(spark, sf_dir, v):
     return clusters.project_2d(v.withColumn("clip_id", F.col("row_id").cast("string")))
