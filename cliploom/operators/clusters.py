@@ -36,7 +36,7 @@ def fit(vectors: DataFrame, k: int, iterations: int = 25, seed: int = 1234, sphe
     if most is not None:
         v = random_subset(v, "clip_id", most, seed)
     if spherical:
-        v = v.withColumn("vec", V.normalize(F.col("vec")))
+        v = v.withColumn("vec", V.normalize(F.col("vec"))).filter("vec is not null")  # a zero vector has no direction
     cap = k * per_cluster
     n = v.count()
     if not n:

@@ -184,20 +184,21 @@ def available_scorers() -> list[str]:
 
 
 def score_captions(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """pairs (reference, prediction) plus a column per scorer, by Arrow batches."""
+    """pairs (reference, prediction) plus a column per scorer, all by one pass over Arrow batches; a null is an empty text."""
     unknown = [n for n in names if n not in SCORERS]
     if unknown:
         raise ValueError(f"unknown scorers {unknown}")
     chosen = {n: SCORERS[n] for n in names}
-    return pairs.withColumns({n: _scorer_udf(f)("reference", "prediction") for n, f in chosen.items()})
+    if not chosen:
+        return pairs
 
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in chosen))
+    def run(r: pd.Series, p: pd.Series) -> pd.DataFrame:
+        rows = [[f(x or "", y or "") for f in chosen.values()] for x, y in zip(r, p, strict=True)]
+        return pd.DataFrame(rows, columns=list(chosen), dtype=float)
 
-def _scorer_udf(f: Callable[[str, str], float]):
-    @F.pandas_udf("double")
-    def run(r: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(r, p, strict=True)], dtype=float)
-
-    return run
+    scored = pairs.withColumn("_scores", run("reference", "prediction"))
+    return scored.withColumns({n: F.col("_scores").getField(n) for n in chosen}).drop("_scores")
 
 
 def cider(pairs: DataFrame, n: int = 4) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.encoders import Encoder, encode
 from .block_join import similarities
 
 #: Video embeddings at or below this score are no hits.
@@ -78,6 +79,47 @@ def similarity_rows(vectors: DataFrame, queries: DataFrame, own: str | None = No
     return similarities(vectors, queries, None, own)
 
 
+def rows_of(vectors: DataFrame, clips: DataFrame) -> DataFrame:
+    """clip_id, row_id of the rows of clips; unknown clips have none, a clip that is asked for twice counts once."""
+    return vectors.select("clip_id", "row_id").join(clips.select("clip_id"), "clip_id", "left_semi")
+
+
+def row_neighbours(vectors: DataFrame, queries: DataFrame, n: int = 2048, pool: DataFrame | None = None) -> DataFrame:
+    """(query_id, vec) x vectors -> query_id, rank, row_id, clip_id, score: the n nearest rows of each query, several of a clip included.
+
+    -1 takes all rows. Equal scores go by ascending row. Rows of a pool's clips only, where one is given. Row ids are unique
+    and not negative. Queries are taken as they are: scores are cosines where they have unit length.
+    """
+    v = vectors if pool is None else vectors.join(pool.select("clip_id"), "clip_id", "left_semi")
+    named = v.withColumn("clip_id", F.concat(F.lpad(F.col("row_id").cast("string"), 20, "0"), "clip_id"))  # a row as a clip of its own, in the order of rows
+    s = similarities(named, queries, None if n < 0 else n)
+    if n < 0:
+        s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")))
+    return s.select("query_id", "rank", F.substring("clip_id", 1, 20).cast("long").alias("row_id"), F.expr("substring(clip_id, 21)").alias("clip_id"), "score")
+
+
+def text_neighbours(vectors: DataFrame, texts: DataFrame, encoder: Encoder, n: int = 2048, pool: DataFrame | None = None) -> DataFrame:
+    """(query_id, text) -> row_neighbours of the encoded texts, at unit length; a text without a direction has none."""
+    q = texts.select("query_id", encode("text", encoder).alias("vec")).withColumn("vec", V.normalize("vec"))
+    return row_neighbours(vectors, q, n, pool)
+
+
+def clip_neighbours(vectors: DataFrame, clips: DataFrame, n: int = 2048, pool: DataFrame | None = None) -> DataFrame:
+    """(clip_id) -> row_neighbours of each clip's first row, at unit length, itself included; unknown clips have none."""
+    known = vectors.join(clips.select("clip_id"), "clip_id", "left_semi")
+    return row_neighbours(vectors, one_per_clip(known).withColumnRenamed("clip_id", "query_id"), n, pool)
+
+
+def search_rows(vectors: DataFrame, queries: Sequence[Sequence[float]], rows: int, pool: DataFrame | None = None) -> DataFrame:
+    """clip_id, score: the best of each clip among the nearest ``rows`` rows of each query; so clips with many rows leave fewer clips."""
+    v = vectors if pool is None else vectors.join(pool.select("clip_id"), "clip_id", "left_semi")
+    out = None
+    for q in queries:
+        s = v.select("clip_id", "row_id", V.dot("vec", V.vector(q)).alias("score")).filter("score is not null").orderBy(F.desc("score"), "row_id").limit(rows)
+        out = s if out is None else out.unionByName(s)
+    return pooled(out)
+
+
 def neighbours(vectors: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """(clip_id) -> seed, clip_id, score, rank: the n nearest of each seed clip (by its first row), the seed itself left out."""
     q = vectors.join(seeds.select("clip_id").distinct(), "clip_id", "left_semi").groupBy("clip_id").agg(F.min_by("vec", "row_id").alias("vec"))

@@ -56,11 +56,12 @@ class Engine:
 
     ``k`` limits the hits of vector and shape stages, which come before labels, lists and clusters: a clip that these
     would keep is lost if k others are nearer. None sets no limit, which is exact, and asks no vector index. ``n_probe`` and
-    ``refine`` are those of vector indexes.
+    ``refine`` are those of vector indexes. With ``visual_rows``, visual searches pool the nearest so many rows of each query
+    to clips, instead of all rows.
     """
 
-    def __init__(self, catalog: Catalog, k: int | None = 8192, most_plans: int = 1000, n_probe: int = 16, refine: int = 8):
-        self.n_probe, self.refine = n_probe, refine
+    def __init__(self, catalog: Catalog, k: int | None = 8192, most_plans: int = 1000, n_probe: int = 16, refine: int = 8, visual_rows: int | None = None):
+        self.n_probe, self.refine, self.visual_rows = n_probe, refine, visual_rows
         self.catalog, self.k, self._index, self.most_plans = catalog, k, None, most_plans
         self._plans: dict[str, DataFrame] = {}
 
@@ -123,6 +124,8 @@ class Engine:
         return r
 
     def _near(self, r: DataFrame, space: str, vectors: DataFrame, queries: list[Sequence[float]]) -> DataFrame:
+        if space == "visual" and self.visual_rows is not None:
+            return vector_search.search_rows(vectors, queries, self.visual_rows, r)
         index = self.catalog.indexes.get(space)
         if index is None or self.k is None:
             return vector_search.search_many(vectors, queries, self.k, r)

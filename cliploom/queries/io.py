@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,13 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expressions
-from ..operators import joins, labels, logs, stats, text, trajectory, windows
+from ..functions import encoders, expressions
+from ..functions.scalars import llm_json
+from ..operators import joins, labels, logs, stats, text, trajectory, vector_search, windows
 from ..operators import sets as sets_
 from ..plans.client import Client
 from ..plans.engine import Catalog, Engine, page
 from ..plans.filters import NumericFilter, SearchFilters
-from ..sources import ranges, readers, tensors, writers
+from ..sources import archives, ranges, readers, tensors, writers
 from ..sources.commits import CommittedTable
 from ..sources.workdir import workdir
 from ..streaming import incremental
@@ -81,11 +83,11 @@ def s05_ranges(spark, sf_dir, v):
     return t.select("key", F.col("shape")[0].cast("int").alias("size"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("s"))
 
 
-def _tar(g) -> bytes:
+def _tar(g, ending: str = "txt") -> bytes:
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w") as t:
         for r in g.itertuples():
-            info = tarfile.TarInfo(f"clips/{r.clip_id}.txt")
+            info = tarfile.TarInfo(f"clips/{r.clip_id}.{ending}")
             info.size = len(data := r.text.encode())
             t.addfile(info, io.BytesIO(data))
     return out.getvalue()
@@ -103,6 +105,15 @@ def s11(spark, sf_dir, c):
     return m.select(part("archive", r"([^/]+)\.tar$").alias("archive"), part("member", r"([^/]+)\.txt$").alias("clip_id"), F.decode("content", "UTF-8").alias("text"))
 
 
+@query("s23_sidecars", "captions", "SELECT uid::STRING AS clip_id, caption, model_name, 'train' AS split FROM captions")
+def s23(spark, sf_dir, c):
+    """Sidecars of all captions in stored archives, with the fields that are kept."""
+    j = c.select(F.col("uid").cast("string").alias("clip_id"), F.to_json(F.struct("caption", "model_name", "start_time")).alias("text"), F.col("data_source").alias("src"))
+    folder = workdir(spark, "sidecars")
+    ranges.store(_packed(j, "src", lambda k: f"{k}.tar", lambda g: _tar(g, "json")), folder)
+    return archives.sidecars(spark, folder, "caption string, model_name string", "train", "*.tar")
+
+
 @query("s07_score_maps", "scores", "SELECT * FROM scores")
 def s07(spark, sf_dir, s):
     path = workdir(spark, "scores")
@@ -489,6 +500,53 @@ def u02(spark, sf_dir, t):
     return _tracks(t).select("clip_id", expressions.motion("max(speed) > 9 and min(speed) < 1").alias("wide"))
 
 
+@query("w11_first_order", "ticks", """SELECT user_id::STRING AS clip_id, coalesce(max(r) FILTER (floor(v) / 10 > 9) > max(r) FILTER (floor(v)::BIGINT % 9 - 4 < -3), false) AS late_peak, coalesce(min(r) FILTER (floor(v) / 10 > 3) > max(r) FILTER (floor(v) / 10 < 0::DOUBLE), false) AS never
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS r FROM ticks) GROUP BY user_id""")
+def w11(spark, sf_dir, t):
+    """Orders of first and last places where a channel meets a condition; without such a place the clip isn't kept."""
+    from .search import _tracks
+
+    late, never = "max(where(speed > 9)[0]) > max(where(acceleration < -3)[0])", "min(where(speed > 3)[0]) > max(where(speed < 0)[0])"
+    return _tracks(t).select("clip_id", expressions.motion(late).alias("late_peak"), expressions.motion(never).alias("never"))
+
+
+def _letters(texts) -> np.ndarray:
+    return np.array([[t.count(x) for x in "ae "] for t in texts], np.float32).reshape(-1, 3)
+
+
+@query("u03_encoded_texts", "captions", "SELECT uid, " + " || ',' || ".join(f"(length(caption) - length(replace(caption, '{x}', '')))" for x in "ae ") + " AS vec FROM captions")
+def u03(spark, sf_dir, c):
+    """All captions through an encoder of counted letters."""
+    vec = F.transform(encoders.encode("caption", _letters), lambda x: x.cast("int").cast("string"))
+    return c.select("uid", F.array_join(vec, ",").alias("vec"))
+
+
+def _lines(data: bytes):
+    lines = data.decode().split("\n")
+    return [("full", [0, 0, len(lines), 1], [len(data)])] + [(f"line{i}", [i, 0, i + 1, 1], [len(x.encode())]) for i, x in enumerate(lines)]
+
+
+@query("u04_proposals", "captions", """SELECT uid::STRING AS clip_id, 'line' || i AS "view", i::DOUBLE AS top, strlen(part)::DOUBLE AS size FROM (
+  SELECT uid, unnest(string_split(caption, chr(10))) AS part, generate_subscripts(string_split(caption, chr(10)), 1) - 1 AS i FROM captions)""")
+def u04(spark, sf_dir, c):
+    """A row for each line of a caption, as a view of its medium; the whole is left out."""
+    media = c.select(F.col("uid").cast("string").alias("clip_id"), F.encode("caption", "UTF-8").alias("content"))
+    return encoders.propose(media, _lines, full=False).select("clip_id", "view", F.col("box")[0].alias("top"), F.col("vec")[0].cast("double").alias("size"))
+
+
+def _judge(row: dict) -> str:
+    if "?" in row["caption"]:
+        raise ValueError("no answer")
+    return f'<think>{{"score": -1}}</think>Well: ```json\n{{"score": {len(row["caption"])}}}\n``` done'
+
+
+@query("u05_judged_captions", "captions", "SELECT uid, CASE WHEN contains(caption, '?') THEN NULL ELSE length(caption) END AS score FROM captions")
+def u05(spark, sf_dir, c):
+    """All captions through a judge that fails at some: these have no score."""
+    j = encoders.judge(c.select("uid", "caption"), _judge)
+    return j.select("uid", F.get_json_object(llm_json(F.col("answer")), "$.score").cast("long").alias("score"))
+
+
 @query("w03_rank_gate", "clips", "SELECT clip_id, 0.0::DOUBLE AS rank_score FROM clips WHERE country = 'DE'")
 def w03(spark, sf_dir, c):
     """Without a score no rank is made up."""
@@ -640,7 +698,7 @@ def i10(spark, sf_dir, c):
 def v10(spark, sf_dir, v):
     """Rows of each wanted clip; unknown clips are dropped."""
     wanted = v.filter("clip_id <> 'c3'").select("clip_id").distinct().unionByName(spark.createDataFrame([("nobody",)], "clip_id string"))
-    return v.join(wanted, "clip_id", "left_semi").groupBy("clip_id").agg(F.array_join(F.array_sort(F.collect_list("row_id")), ",").alias("rows"))
+    return vector_search.rows_of(v, wanted).groupBy("clip_id").agg(F.array_join(F.array_sort(F.collect_list("row_id")), ",").alias("rows"))
 
 
 @query("k08_checked_runs", "assignments", "SELECT * FROM (VALUES ('good', true), ('no distance', false), ('null clip', false)) v(name, accepted) WHERE (SELECT count(*) FROM assignments) >= 0")

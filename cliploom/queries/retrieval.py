@@ -292,6 +292,21 @@ def u06(spark, sf_dir, c):
     return evaluation.cider(evaluation.score_captions(p, ["bleu", "rouge_1", "rouge_2", "rouge_l", "meteor"])).drop("reference", "prediction")
 
 
+_WORDS_OF = r"list_filter(string_split_regex(lower({}), '\s+'), lambda w: w <> '')"
+_TWOS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+_OVERLAP = "SELECT clip_id, CASE WHEN sum(least(a, b)) > 0 THEN 2 * sum(least(a, b)) / (sum(a) + sum(b)) ELSE 0 END AS f FROM (SELECT clip_id, g, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM (SELECT clip_id, unnest({0}) AS g, 1 AS a, 0 AS b FROM toks UNION ALL SELECT clip_id, unnest({1}), 0, 1 FROM toks) GROUP BY ALL) GROUP BY clip_id"
+
+
+@query("x07_word_overlap", "captions", f"""SELECT clip_id, round(coalesce(one.f, 0), 9) AS rouge_1, round(coalesce(two.f, 0), 9) AS rouge_2 FROM
+  (WITH toks AS (SELECT clip_id, {_WORDS_OF.format("min_by(caption, uid)")} AS r, {_WORDS_OF.format("max_by(caption, uid)")} AS p FROM captions GROUP BY clip_id)
+  SELECT t.clip_id, one, two FROM toks t LEFT JOIN ({_OVERLAP.format("r", "p")}) one USING (clip_id) LEFT JOIN ({_OVERLAP.format(_TWOS.format("r"), _TWOS.format("p"))}) two USING (clip_id))""")
+def x07(spark, sf_dir, c):
+    """Overlaps of words and of word pairs between each clip's first and last caption."""
+    p = c.groupBy("clip_id").agg(F.min_by("caption", "uid").alias("reference"), F.max_by("caption", "uid").alias("prediction"))
+    s = evaluation.score_captions(p, ["rouge_1", "rouge_2"])
+    return s.select("clip_id", F.round("rouge_1", 9).alias("rouge_1"), F.round("rouge_2", 9).alias("rouge_2"))
+
+
 _PAIRS = "(SELECT clip_id, min_by(caption, uid) AS reference, max_by(caption, uid) AS prediction FROM captions GROUP BY clip_id)"
 _TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[^\x20\x09-\x0D]+')"
 _MATCHED = "SELECT clip_id, sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w) AS v FROM (SELECT clip_id, CASE WHEN sum(idf) OVER (PARTITION BY clip_id) > 0 THEN idf ELSE 1 END AS w, hit FROM (SELECT s.clip_id, s.hit, coalesce(i.idf, (SELECT ln(n + 1) FROM total)) AS idf FROM ({}) s LEFT JOIN idf i USING (token))) GROUP BY clip_id"
@@ -338,6 +353,32 @@ def v08(spark, sf_dir, v):
     return client.search_visual_image("up1").rows.select("clip_id", F.round("visual_image_score", 6).alias("score"))
 
 
+@query("v09_best_rows", "vectors", f"SELECT clip_id, round(max(s), 6) AS score FROM (SELECT clip_id, {_DOT.format(_Q.format(8))} AS s, row_id FROM vectors WHERE clip_id <> 'c8' ORDER BY s DESC, row_id LIMIT 40) GROUP BY clip_id")
+def v09(spark, sf_dir, v):
+    """The clips of the 40 nearest rows of an uploaded image, within a pool."""
+    from ..plans.client import Client
+    from ..plans.engine import Catalog, Engine
+
+    c = v.filter("clip_id <> 'c8'").select("clip_id").distinct()
+    client = Client(Engine(Catalog(c, c, visual_vectors=v, uploads={"up1": _vec(v, 8)}), visual_rows=40))
+    return client.search_visual_image("up1").rows.select("clip_id", F.round("visual_image_score", 6).alias("score"))
+
+
+@query("v24_row_neighbours", "vectors", f"""SELECT * FROM (SELECT q.row_id::STRING AS query_id, row_number() OVER (PARTITION BY q.row_id ORDER BY {_DOT.format("q.vec::DOUBLE[]").replace("vec::DOUBLE[], q", "v.vec::DOUBLE[], q")} DESC, v.row_id)::INT AS rank, v.row_id, v.clip_id,
+  round({_DOT.format("q.vec::DOUBLE[]").replace("vec::DOUBLE[], q", "v.vec::DOUBLE[], q")}, 6) AS score FROM vectors v, vectors q WHERE q.row_id % 100 = 0) WHERE rank <= 10""")
+def v24(spark, sf_dir, v):
+    """The ten nearest rows of every row whose id is divisible by 100, itself and several of a clip included."""
+    return vector_search.row_neighbours(v, _queries(v), 10).withColumn("score", F.round("score", 6))
+
+
+@query("v24_clip_neighbours", "vectors", f"""SELECT * FROM (SELECT q.clip_id AS query_id, row_number() OVER (PARTITION BY q.clip_id ORDER BY round({_DOT.format("q.vec::DOUBLE[]").replace("vec::DOUBLE[], q", "v.vec::DOUBLE[], q")} / q.len, 9) DESC, v.row_id)::INT AS rank, v.row_id, v.clip_id,
+  round({_DOT.format("q.vec::DOUBLE[]").replace("vec::DOUBLE[], q", "v.vec::DOUBLE[], q")} / q.len, 6) AS score FROM vectors v, (SELECT clip_id, min_by(vec, row_id) AS vec, sqrt(list_sum(list_transform(min_by(vec, row_id)::DOUBLE[], lambda x: x * x))) AS len FROM vectors WHERE clip_id IN ('c3', 'c14') GROUP BY clip_id) q)""")
+def v24_clips(spark, sf_dir, v):
+    """All rows by their nearness to two given clips; an unknown clip has no neighbours."""
+    asked = spark.createDataFrame([("c3",), ("c14",), ("nobody",)], "clip_id string")
+    return vector_search.clip_neighbours(v, asked, -1).withColumn("score", F.round("score", 6))
+
+
 @query("v03_text_query", "captions")
 def v03b(spark, sf_dir, c):
     """Text search over encoded captions, several rows a clip, two query texts."""

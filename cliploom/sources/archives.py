@@ -11,9 +11,15 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import ranges
+
+#: The clip of a member: its name without folders and endings.
+CLIP = r"([^/]+?)(?:\.[^/]*)?$"
+
 
 class _Archive(InputPartition):
     def __init__(self, path: str):
@@ -24,7 +30,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"].removeprefix("file://")
         self.member = re.compile(options.get("member", r".*"))
-        self.clip = re.compile(options.get("clip", r"([^/]+?)(?:\.[^/]*)?$"))
+        self.clip = re.compile(options.get("clip", CLIP))
         self.process, self.processes = int(options.get("process", 0)), int(options.get("processes", 1))
 
     def partitions(self) -> list[InputPartition]:
@@ -69,10 +75,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ClipArchive)
 
 
-def sidecars(spark: SparkSession, folder: str, fields: str, split: str):
-    """JSON members of archives as flat rows with the fields of the DDL string, tagged with the split."""
-    from pyspark.sql import functions as F
+def sidecars(spark: SparkSession, folder: str, fields: str, split: str, pattern: str | None = None) -> DataFrame:
+    """JSON members of archives as flat rows with the fields of the DDL string, tagged with the split.
 
-    register(spark)
-    r = spark.read.format("clip_archive").option("member", r"\.json$").load(folder)
+    With ``pattern``, the archives below ``folder`` whose names match, plain tar or zip, are read by ranges on any file
+    system, one by several tasks. Without, all archives on a shared disk are streamed, compressed tars too, each by one task.
+    """
+    if pattern is not None:
+        m = ranges.members(ranges.listed(spark, folder, pattern)).filter(F.col("member").endswith(".json"))
+        r = ranges.contents(m).select(F.regexp_extract("member", CLIP, 1).alias("clip_id"), "content")
+    else:
+        register(spark)
+        r = spark.read.format("clip_archive").option("member", r"\.json$").load(folder)
     return r.select("clip_id", F.from_json(F.decode("content", "UTF-8"), fields).alias("j")).select("clip_id", "j.*", F.lit(split).alias("split"))
