@@ -105,23 +105,34 @@ def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 0)
     return df.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= n).drop("_r")
 
 
+#: Keys that one task may sort.
+BIN = 100_000
+
+
 def random_subset(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The rows of n keys drawn at random, of all if there are no more; the same keys for the same seed.
 
-    Keys go by a digest. Counts by its first four hexadecimal digits tell which bin the n-th key falls in: keys of the
-    bins before it stay, and of that one bin, a part in 65,536 of the keys, the smallest digests. One row gets to the driver.
-    Rows without a key take no part.
+    Keys go by a digest. Counts by three of its hexadecimal digits, 4,096 at most, tell which bin the n-th key falls in, and
+    a bin of more than BIN keys is counted by its next digits. Keys of the bins before it stay, and of that one bin the
+    smallest digests. Rows without a key take no part.
     """
-    ids = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key")).distinct()
-    ids = ids.withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string")))).withColumn("bin", F.substring("digest", 1, 4))
-    bins = ids.groupBy("bin").agg(F.count("*").alias("m"))
-    upto = bins.withColumn("upto", F.sum("m").over(Window.partitionBy(F.lit(1)).orderBy("bin")))  # a row per bin
-    edge = upto.filter(F.col("upto") >= n).orderBy("bin").head()
-    if edge is None:
-        return rows.filter(F.col(key).isNotNull())
-    last = ids.filter(F.col("bin") == edge.bin).orderBy("digest", "key").limit(n - (edge.upto - edge.m))
-    kept = ids.filter(F.col("bin") < edge.bin).unionByName(last).select(F.col("key").alias(key))
-    return rows.join(kept, key, "left_semi")
+    rows = rows.filter(F.col(key).isNotNull())
+    ids = rows.select(F.col(key).alias("key")).distinct().withColumn("digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"))))
+    prefix, within, size = "", ids, BIN + 1
+    while size > BIN and len(prefix) < 30:
+        bins = within.groupBy(F.substring("digest", len(prefix) + 1, 3).alias("bin")).agg(F.count("*").alias("m"))
+        edge = None
+        for r in sorted(bins.collect()):  # 4,096 rows at most
+            if r.m >= n:
+                edge = r
+                break
+            n -= r.m
+        if edge is None:
+            return rows
+        prefix, size = prefix + edge.bin, edge.m
+        within = ids.filter(F.col("digest").startswith(prefix))
+    kept = ids.filter(F.col("digest") < prefix).unionByName(within.orderBy("digest", "key").limit(n))
+    return rows.join(kept.select(F.col("key").alias(key)), key, "left_semi")
 
 
 def percentile_band(df: DataFrame, group: str, by: str, low: float, high: float, key: str = "clip_id") -> DataFrame:

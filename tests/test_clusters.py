@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.model import schema
-from cliploom.operators import clusters
+from cliploom.operators import clusters, windows
 from cliploom.operators.windows import random_subset
 
 
@@ -15,11 +15,14 @@ def _table(spark, x):
     return spark.createDataFrame([(i, f"c{i}", [float(z) for z in p]) for i, p in enumerate(x)], schema("vectors"))
 
 
-def test_subset_is_exact(spark):
-    keys = [f"k{i}" for i in range(500)]
+@pytest.mark.parametrize("size", [windows.BIN, 3])
+def test_subset_is_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(windows, "BIN", size)
+    keys = [f"k{i}" for i in range(500 if size > 3 else 6000)]
+    m = len(keys)
     rows = spark.createDataFrame([(k, j) for k in keys for j in range(2)] + [(None, 0)], "key string, j int")
     order = sorted(keys, key=lambda k: hashlib.md5(f"7:{k}".encode()).hexdigest())
-    for n in (0, 1, 3, 250, 499, 500, 9000):
+    for n in (0, 1, 3, 250, m - 1, m, 9000) if size > 3 else (2500,):
         got = random_subset(rows, "key", n, 7)
         assert got.columns == ["key", "j"]
         assert sorted((r.key, r.j) for r in got.collect()) == sorted((k, j) for k in order[:n] for j in range(2))
