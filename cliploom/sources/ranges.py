@@ -31,6 +31,8 @@ from .tensors import TYPES
 Opener = Callable[[str], BinaryIO]
 #: Bytes that a task reads, about.
 TASK_BYTES = 64 << 20
+#: Bytes of small members that go on together; one that is larger goes by itself.
+BATCH_BYTES = 8 << 20
 
 
 def open_path(path: str) -> BinaryIO:
@@ -140,8 +142,13 @@ def contents(entries: DataFrame, opener: Opener = open_path, task_bytes: int = T
     def run(batches):
         for b in batches:
             archive, member, offset, length = (b.column(c).to_pylist() for c in range(4))
-            for i, data in enumerate(ranges(zip(archive, offset, length, member, strict=True), opener)):
-                yield pa.RecordBatch.from_arrays([pa.array([archive[i]]), pa.array([member[i]]), pa.array([data], pa.binary())], ["archive", "member", "content"])
+            data, size, first = [], 0, 0
+            for i, content in enumerate(ranges(zip(archive, offset, length, member, strict=True), opener), 1):
+                data.append(content)
+                size += len(content)
+                if size >= BATCH_BYTES or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i - first), b.column(1).slice(first, i - first), pa.array(data, pa.binary())], ["archive", "member", "content"])
+                    data, size, first = [], 0, i
 
     return dealt(entries, "archive", task_bytes).select("archive", "member", "offset", "length").mapInArrow(run, "archive string, member string, content binary")
 

@@ -11,7 +11,7 @@ from cliploom.model import schema
 from cliploom.operators import evaluation, vector_search
 from cliploom.plans.client import Client
 from cliploom.plans.engine import Catalog, Engine
-from cliploom.sources import archives
+from cliploom.sources import archives, ranges
 
 
 def _table(spark, x, clips=7):
@@ -85,3 +85,14 @@ def test_scores_in_one_pass(spark):
         assert all(r[n] == evaluation.SCORERS[n](x[1] or "", x[2] or "") for n in names)
     assert evaluation.score_captions(p, []).columns == p.columns
     assert s.select(F.sum("rouge_1")).head()[0] > 0
+
+
+def test_members_go_on_in_batches(spark, tmp_path):
+    data = {f"m{i}.bin": bytes([i]) * n for i, n in enumerate((0, 5 << 20, 1, 5 << 20, 9 << 20, 0, 3))}
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for n, b in data.items():
+            i = tarfile.TarInfo(n)
+            i.size = len(b)
+            t.addfile(i, io.BytesIO(b))
+    m = ranges.members(ranges.listed(spark, str(tmp_path), "*.tar"))
+    assert {r.member: bytes(r.content) for r in ranges.contents(m).collect()} == data
