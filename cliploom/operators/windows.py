@@ -143,14 +143,23 @@ def percentile_band(df: DataFrame, group: str, by: str, low: float, high: float,
     return d.filter((F.col("_r") >= edge(low)) & (F.col("_r") < edge(high))).drop("_r", "_n")
 
 
-def gradients(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
-    """df plus the derivative of value by time, second order for uneven steps, one-sided at the ends."""
-    by = Window.partitionBy(*keys).orderBy(time)
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers have it: by zero, an infinity or NaN."""
+    by_zero = F.when(F.isnan(a), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def gradients(df: DataFrame, keys: list[str], time: str, value: str, out: str, then: list[str] | None = None) -> DataFrame:
+    """df plus the derivative of value by time, second order for uneven steps, one-sided at the ends.
+
+    Rows of equal times go by the columns ``then`` (by value, without any); a step of no length gives an infinity or NaN.
+    """
+    by = Window.partitionBy(*keys).orderBy(time, *(then or [value]))
     v, t = F.col(value), F.col(time)
     vp, vn, tp, tn = F.lag(value).over(by), F.lead(value).over(by), F.lag(time).over(by), F.lead(time).over(by)
     hp, hn = t - tp, tn - t
-    mid = (hp * hp * vn + (hn * hn - hp * hp) * v - hn * hn * vp) / (hp * hn * (hp + hn))
-    return df.withColumn(out, F.when(vp.isNull(), (vn - v) / hn).when(vn.isNull(), (v - vp) / hp).otherwise(mid))
+    mid = _ratio(hp * hp * vn + (hn * hn - hp * hp) * v - hn * hn * vp, hp * hn * (hp + hn))
+    return df.withColumn(out, F.when(vp.isNull(), _ratio(vn - v, hn)).when(vn.isNull(), _ratio(v - vp, hp)).otherwise(mid))
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], time: str, value: str, out: str, window: int = 11, order: int = 3) -> DataFrame:
@@ -185,7 +194,7 @@ def savitzky_golay(df: DataFrame, keys: list[str], time: str, value: str, out: s
 def path_curvature(df: DataFrame, keys: list[str], time: str, least_kph: float = 2.0) -> DataFrame:
     """(x, y by time) plus speed and curvature; below the least speed the curvature is 0."""
     for a, b in (("x", "vx"), ("y", "vy"), ("vx", "ax"), ("vy", "ay")):
-        df = gradients(df, keys, time, a, b)
+        df = gradients(df, keys, time, a, b, ["x", "y"])
     speed = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2)
     k = F.abs(F.col("vx") * F.col("ay") - F.col("vy") * F.col("ax")) / F.pow(speed, 3)
     return df.withColumns({"speed": speed, "curvature": F.when(speed * 3.6 < least_kph, 0.0).otherwise(k)}).drop("vx", "vy", "ax", "ay")
