@@ -53,18 +53,19 @@ def live_users(sessions: DataFrame, users: DataFrame, now: Column, hours: int =
     return live.join(users, "username")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, tolerance: float, values: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, tolerance: float, values: list[str], first: str | None = None) -> DataFrame:
     """left plus the values and time (_t) of the nearest right row of the keys within the tolerance; ties: the earlier.
 
+    Of right rows at one time, the one with the smallest ``first`` counts; without it, the one with the smallest values.
     One sort of both sides together by time, and two running fills: no range join.
     """
-    side = F.struct(F.col(time).alias("t"), *[F.col(v).alias(v) for v in values])
+    side = F.struct(F.col(time).alias("t"), *([F.col(first).alias("_first")] if first else []), *[F.col(v).alias(v) for v in values])
     none = F.lit(None).cast(right.select(side.alias("s")).schema["s"].dataType)
     u = left.select(*left.columns, none.alias("_s"), F.lit(1).alias("_side")).unionByName(
         right.select(*keys, time, side.alias("_s"), F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    back = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc(time), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(time, "_side", F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(time), "_side", F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumns({"_p": F.last("_s", True).over(back), "_n": F.last("_s", True).over(ahead)}).filter("_side = 1")
     dp, dn = F.col(time) - F.col("_p.t"), F.col("_n.t") - F.col(time)
     pick = F.when(dp.isNotNull() & (dn.isNull() | (dp <= dn)) & (dp <= tolerance), F.col("_p")).when(dn <= tolerance, F.col("_n"))
@@ -73,20 +74,23 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, toler
 
 
 def interpolate(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
-    """left plus each value linearly interpolated at its time; beyond the first and last sample, their values."""
+    """left plus each value linearly interpolated at its time; beyond the first and last sample, their values.
+
+    Of samples at one time, the one with the largest values ends the time before it, the one with the smallest begins the time after.
+    """
     side = F.struct(F.col(time).cast("double").alias("t"), *[F.col(v).cast("double").alias(v) for v in values])
     none = F.lit(None).cast(right.select(side.alias("s")).schema["s"].dataType)
     u = left.select(*left.columns, none.alias("_s"), F.lit(1).alias("_side")).unionByName(
         right.select(*keys, time, side.alias("_s"), F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    back = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc(time), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(time, "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(time), "_side", F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumns({"_p": F.last("_s", True).over(back), "_n": F.last("_s", True).over(ahead)}).filter("_side = 1")
 
     def at(v: str) -> Column:
         p, n = F.col("_p"), F.col("_n")
-        share = F.try_divide(F.col(time).cast("double") - p["t"], n["t"] - p["t"])
-        return F.when(p.isNull(), n[v]).when(n.isNull() | (n["t"] == p["t"]), p[v]).otherwise(p[v] + (n[v] - p[v]) * share).alias(v)
+        step = F.try_divide((n[v] - p[v]) * (F.col(time).cast("double") - p["t"]), n["t"] - p["t"])
+        return F.when(p.isNull(), n[v]).when(n.isNull() | (n["t"] == p["t"]), p[v]).otherwise(p[v] + step).alias(v)
 
     return u.select(*left.columns, *[at(v) for v in values])
 
@@ -137,12 +141,15 @@ def with_defaults(rows: DataFrame, dims: DataFrame, key: str, defaults: dict[str
     return rows.join(dims, key, "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def obstacles_in_ego_frame(obstacles: DataFrame, ego: DataFrame, tolerance_us: int = 50_000) -> DataFrame:
-    """Each track at each ego frame: the nearest observation within the tolerance, in the frame of the ego."""
+def obstacles_in_ego_frame(obstacles: DataFrame, ego: DataFrame, tolerance_us: int = 50_000, first: str | None = None) -> DataFrame:
+    """Each track at each ego frame: the nearest observation within the tolerance, in the frame of the ego.
+
+    Of a track's observations at one time, the one with the smallest ``first`` counts; without it, the one with the smallest values.
+    """
     frames = ego.select("clip_id", "timestamp_us", F.col("x").alias("ego_x"), F.col("y").alias("ego_y"), F.col("yaw").alias("ego_yaw"))
     tracks = obstacles.select("clip_id", "track_id").distinct()
     grid = frames.join(tracks, "clip_id")
     values = ["center_x", "center_y", "size_x", "size_y", "yaw"]
-    near = nearest(grid, obstacles, ["clip_id", "track_id"], "timestamp_us", tolerance_us, values).filter("_t is not null")
+    near = nearest(grid, obstacles, ["clip_id", "track_id"], "timestamp_us", tolerance_us, values, first).filter("_t is not null")
     x, y = to_frame(F.col("center_x"), F.col("center_y"), F.col("ego_x"), F.col("ego_y"), F.col("ego_yaw"))
     return near.select("clip_id", "track_id", "timestamp_us", x.alias("x"), y.alias("y"), "size_x", "size_y", (F.col("yaw") - F.col("ego_yaw")).alias("yaw"))

@@ -38,8 +38,8 @@ def j09(spark, sf_dir, a, b):
 
 @query("j10_nearest_in_time", "ticks", """SELECT event_id, near_v FROM (SELECT a.event_id, b.v AS near_v, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - b.t), b.t) AS r FROM ticks a LEFT JOIN ticks b ON a.user_id = b.user_id AND b.event_type = 'click' AND abs(a.t - b.t) <= 400 WHERE a.event_type = 'error') WHERE r = 1""")
 def j10(spark, sf_dir, t):
-    right = t.filter("event_type = 'click'").select("user_id", "t", F.col("v").alias("near_v"))
-    return joins.nearest(t.filter("event_type = 'error'").select("event_id", "user_id", "t"), right, ["user_id"], "t", 400, ["near_v"]).select("event_id", "near_v")
+    right = t.filter("event_type = 'click'").select("user_id", "t", F.col("v").alias("near_v"), "event_id")
+    return joins.nearest(t.filter("event_type = 'error'").select("event_id", "user_id", "t"), right, ["user_id"], "t", 400, ["near_v"], "event_id").select("event_id", "near_v")
 
 
 @query("j11_interpolate", "ticks", """SELECT event_id, round(CASE WHEN p.t IS NULL THEN n.v WHEN n.t IS NULL OR n.t = p.t THEN p.v ELSE p.v + (n.v - p.v) * (a.t - p.t)::DOUBLE / (n.t - p.t) END, 6) AS v FROM (
@@ -68,9 +68,9 @@ def j16(spark, sf_dir, t):
     ego = t.filter("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("clip_id"), F.col("t").alias("timestamp_us"), F.col("v").alias("x"), (F.col("v") / 2).alias("y"), (F.col("v") / 30).alias("yaw"))
     obs = t.filter("event_type in ('click', 'view')").select(
         F.col("user_id").cast("string").alias("clip_id"), F.when(F.col("event_type") == "click", 1).otherwise(2).cast("long").alias("track_id"), F.col("t").alias("timestamp_us"),
-        F.col("v").alias("center_x"), (F.col("v") * 3).alias("center_y"), F.lit(1.0).alias("size_x"), F.lit(1.0).alias("size_y"), F.lit(0.0).alias("yaw"),
+        F.col("v").alias("center_x"), (F.col("v") * 3).alias("center_y"), F.lit(1.0).alias("size_x"), F.lit(1.0).alias("size_y"), F.lit(0.0).alias("yaw"), "event_id",
     )
-    r = joins.obstacles_in_ego_frame(obs, ego, 900)
+    r = joins.obstacles_in_ego_frame(obs, ego, 900, "event_id")
     return r.select(F.col("timestamp_us").alias("frame"), F.when(F.col("track_id") == 1, "click").otherwise("view").alias("track"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

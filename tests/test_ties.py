@@ -2,7 +2,7 @@
 
 import math
 
-from cliploom.operators import windows
+from cliploom.operators import joins, windows
 
 
 def test_gradient_of_equal_times(spark):
@@ -11,3 +11,27 @@ def test_gradient_of_equal_times(spark):
     d = spark.createDataFrame(rows, "id int, k string, t double, v double")
     got = {r.id: r.dv for r in windows.gradients(d, ["k"], "t", "v", "dv", ["id"]).collect()}
     assert got[1] == got[2] == math.inf and got[3] == 1.0 and math.isnan(got[4]) and math.isnan(got[5]) and got[6] is None
+
+
+def _ticks(spark, rows):
+    return spark.createDataFrame(rows, "id int, k string, t long, v double")
+
+
+def test_nearest_of_equal_times(spark):
+    """Of right rows at one time the smallest id counts, whatever order they come in, before and after the left row."""
+    left = _ticks(spark, [(1, "a", 10, 0.0), (2, "a", 30, 0.0)]).select("id", "k", "t")
+    right = [(9, "a", 8, 1.0), (7, "a", 8, 5.0), (8, "a", 8, 3.0), (6, "a", 31, 2.0), (4, "a", 31, 9.0), (5, "a", 31, 4.0)]
+    for rows in (right, right[::-1], sorted(right)):
+        r = _ticks(spark, rows).coalesce(1)
+        got = {x.id: x.v for x in joins.nearest(left, r, ["k"], "t", 50, ["v"], "id").collect()}
+        assert got == {1: 5.0, 2: 9.0}
+        assert {x.id: x.v for x in joins.nearest(left, r, ["k"], "t", 50, ["v"]).collect()} == {1: 1.0, 2: 2.0}
+
+
+def test_interpolation_between_equal_times(spark):
+    """The largest sample of the time before and the smallest of the time after."""
+    left = _ticks(spark, [(1, "a", 10, 0.0), (2, "a", 8, 0.0), (3, "a", 12, 0.0)]).select("id", "k", "t")
+    right = [(0, "a", 8, 1.0), (0, "a", 8, 5.0), (0, "a", 8, 3.0), (0, "a", 12, 9.0), (0, "a", 12, 7.0), (0, "a", 12, 8.0)]
+    for rows in (right, right[::-1], sorted(right)):
+        got = {x.id: x.v for x in joins.interpolate(left, _ticks(spark, rows).coalesce(1), ["k"], "t", ["v"]).collect()}
+        assert got == {1: 6.0, 2: 5.0, 3: 9.0}
