@@ -29,20 +29,24 @@ def annotation_summary(annotations: DataFrame) -> DataFrame:
     return s.withColumn("total", F.col("n_manual") + F.col("n_autolabel")).orderBy("key")
 
 
-#: Sizes up to which a search export has annotations, sources, ids.
+#: Sizes up to which a search export for a browser has annotations, sources, ids.
 TIERS = (10_000, 500_000, 10_000_000)
 
 
-def search_export(result: DataFrame, clips: DataFrame, annotations: DataFrame, tiers: tuple[int, int, int] = TIERS) -> DataFrame:
-    """By size: a row per annotation (one without, for a clip that has none), clip and source, ids only; ValueError beyond the last size."""
-    n = result.count()
-    if n > tiers[2]:
-        raise ValueError(f"{n} clips are too many for an export; the limit is {tiers[2]}")
-    if n > tiers[1]:
-        return result.select("clip_id")
+def search_export(result: DataFrame, clips: DataFrame, annotations: DataFrame, tiers: tuple[int, int, int] | None = None) -> DataFrame:
+    """A row per annotation (one without, for a clip that has none), whatever the size.
+
+    With ``tiers``, such as TIERS, a larger result has clip and source, then ids only; ValueError beyond the last size.
+    """
     r = result.select("clip_id").join(clips, "clip_id", "left")
-    if n > tiers[0]:
-        return r.select("clip_id", "data_source")
+    if tiers is not None:
+        n = result.count()
+        if n > tiers[2]:
+            raise ValueError(f"{n} clips are too many for an export; the limit is {tiers[2]}")
+        if n > tiers[1]:
+            return result.select("clip_id")
+        if n > tiers[0]:
+            return r.select("clip_id", "data_source")
     a = labels_only(annotations).select("clip_id", "key", "start_time", "end_time", "label_type")
     return r.select("clip_id", "data_source").join(a, "clip_id", "left")
 

@@ -3,6 +3,7 @@
 import math
 
 from cliploom.operators import joins, windows
+from cliploom.sources import writers
 
 
 def test_gradient_of_equal_times(spark):
@@ -35,3 +36,13 @@ def test_interpolation_between_equal_times(spark):
     for rows in (right, right[::-1], sorted(right)):
         got = {x.id: x.v for x in joins.interpolate(left, _ticks(spark, rows).coalesce(1), ["k"], "t", ["v"]).collect()}
         assert got == {1: 6.0, 2: 5.0, 3: 9.0}
+
+
+def test_large_exports_are_whole(spark):
+    """Without sizes to keep to, an export of more clips than a browser takes has its annotations."""
+    from cliploom.model import schema
+
+    c = spark.range(10_001).selectExpr("cast(id as string) as clip_id", "'s' as data_source", "'ES' as country")
+    a = spark.createDataFrame([("u", "p", "7", "k", None, -1.0, -1.0, "manual")], schema("annotations"))
+    got = writers.search_export(c.select("clip_id"), c, a)
+    assert got.count() == 10_001 and [r.key for r in got.filter("key is not null").collect()] == ["k"]
