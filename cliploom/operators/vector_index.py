@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
-from .block_join import best, matrix
+from .block_join import best, matrix, pooled_rows
 from .compressed import SAMPLE, centroids_of, lloyd, nearest, sample_matrix
 
 #: Rows of a cell that are searched in one group, on average; larger cells are split.
@@ -181,48 +180,52 @@ class Index:
     def search(self, queries: DataFrame, k: int, n_probe: int = 8, refine: int = 8, pool: DataFrame | None = None) -> DataFrame:
         """(query_id, vec) -> query_id, clip_id, score, rank: the best clips among the rows of the probed cells.
 
-        Only clips of ``pool`` are searched, if it is given. Scores are inner products of the vectors themselves.
+        Only clips of ``pool`` are searched, if it is given. Codes choose ``k * refine`` rows of each slice of a cell, which are
+        judged by their vectors where they are: a row's vector is sent once, and of a slice only each query's best k clips go on.
         """
         probes = self.probes(queries, n_probe)
         cells = [r.cell for r in probes.select("cell").distinct().collect()]  # at most all cells
-        rows = self.rows.filter(F.col("cell").isin(cells))
+        rows = self.rows.filter(F.col("cell").isin(cells) & F.col("clip_id").isNotNull())
         if pool is not None:
             rows = rows.join(pool.select("clip_id"), "clip_id", "left_semi")
         slices = {c: -(-n // SLICE_ROWS) for c, n in self.sizes.items() if n > SLICE_ROWS and c in set(cells)}
         n_slices = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in slices.items() for x in p]), F.col("cell")), F.lit(1)) if slices else F.lit(1)
-        left = rows.select("row_id", "cell", "codes").withColumn("slice", F.pmod(F.xxhash64("row_id"), n_slices.cast("long")))
+        left = rows.select("row_id", "clip_id", "vec", "cell", "codes").withColumn("slice", F.pmod(F.xxhash64("row_id"), n_slices.cast("long")))
         right = probes.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), (n_slices - 1).cast("long"))))
         model, most = self.model, k * refine
-        schema = pa.schema([("query_id", pa.string()), ("cell", pa.int32()), ("row_id", pa.int64()), ("near", pa.float64())])
+        schema = pa.schema([("query_id", pa.string()), ("clip_id", pa.string()), ("score", pa.float64())])
 
         def judge(of: pa.Table, asked: pa.Table) -> pa.Table:
             if not of.num_rows or not asked.num_rows:
                 return schema.empty_table()
-            cell = of.column("cell")[0].as_py()
-            ids = of.column("row_id").to_numpy()
+            clips, clip = np.unique(np.array(of.column("clip_id").to_pylist(), object).astype(str), return_inverse=True)
+            by_clip = np.argsort(clip, kind="stable")  # a clip's rows together
+            of, clip = of.take(pa.array(by_clip)), clip[by_clip]
+            ids, x, cell = of.column("row_id").to_numpy(), matrix(of.column("vec")), of.column("cell")[0].as_py()
             codes = np.frombuffer(b"".join(of.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             q = matrix(asked.column("vec"))
             base, turned = q @ model.centroids[cell], model.parts(q @ model.rotation)
             products = [p @ b.T for p, b in zip(turned, model.books, strict=True)]
             out: list = [[], [], []]
             for i, name in enumerate(asked.column("query_id").to_pylist()):
-                s = base[i] + sum(p[i][codes[:, j]] for j, p in enumerate(products))
-                at = best(s, ids, most)
-                out[0] += [name] * len(at)
-                out[1].append(ids[at])
-                out[2].append(s[at])
-            n = len(out[0])
-            return pa.Table.from_arrays([pa.array(out[0], pa.string()), pa.array(np.full(n, cell, np.int32)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], schema=schema)
-
-        near = left.groupBy("cell", "slice").cogroup(right.groupBy("cell", "slice")).applyInArrow(judge, "query_id string, cell int, row_id long, near double")
-        by = Window.partitionBy("query_id").orderBy(F.desc("near"), "row_id")
-        near = near.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= most).select("query_id", "cell", "row_id")
-        asked = queries.select(F.col("query_id").cast("string"), F.col("vec").alias("q"))
-        again = self.spark.read.schema(self.rows.schema).option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").filter(F.col("cell").isin(cells))
-        exact = near.join(again.select("cell", "row_id", "clip_id", "vec"), ["cell", "row_id"]).join(asked, "query_id")
-        exact = exact.groupBy("query_id", "clip_id").agg(F.max(V.dot("vec", "q")).alias("score"))
+                at = np.arange(len(ids))
+                if most < len(ids):  # else codes leave nothing out
+                    at = np.sort(best(base[i] + sum(p[i][codes[:, j]] for j, p in enumerate(products)), ids, most))
+                mine = clip[at]
+                first = np.flatnonzero(np.diff(mine, prepend=-1))
+                rows_of = x if len(at) == len(x) else x[at]
+                places, scores = pooled_rows(rows_of @ q[i], first, rows_of, q[i], k)
+                kept = clips[mine[first[places]]]
+                order = best(scores, kept, k)
+                out[0] += [name] * len(order)
+                out[1] += kept[order].tolist()
+                out[2].append(scores[order])
+            return pa.Table.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(np.concatenate(out[2]))], schema=schema)
+
+        near = left.groupBy("cell", "slice").cogroup(right.groupBy("cell", "slice")).applyInArrow(judge, "query_id string, clip_id string, score double")
+        near = near.groupBy("query_id", "clip_id").agg(F.max("score").alias("score"))
         by = Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")
-        return exact.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+        return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
 def recalls(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -84,17 +84,18 @@ def rows_of(vectors: DataFrame, clips: DataFrame) -> DataFrame:
     return vectors.select("clip_id", "row_id").join(clips.select("clip_id"), "clip_id", "left_semi")
 
 
-def row_neighbours(vectors: DataFrame, queries: DataFrame, n: int = 2048, pool: DataFrame | None = None) -> DataFrame:
+def row_neighbours(vectors: DataFrame, queries: DataFrame, n: int = 2048, pool: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, vec) x vectors -> query_id, rank, row_id, clip_id, score: the n nearest rows of each query, several of a clip included.
 
     -1 takes all rows. Equal scores go by ascending row. Rows of a pool's clips only, where one is given. Row ids are unique
-    and not negative. Queries are taken as they are: scores are cosines where they have unit length.
+    and not negative. Queries are taken as they are: scores are cosines where they have unit length. With ``digits``, scores
+    that are equal to so many places are equal.
     """
     v = vectors if pool is None else vectors.join(pool.select("clip_id"), "clip_id", "left_semi")
     named = v.withColumn("clip_id", F.concat(F.lpad(F.col("row_id").cast("string"), 20, "0"), "clip_id"))  # a row as a clip of its own, in the order of rows
-    s = similarities(named, queries, None if n < 0 else n)
+    s = similarities(named, queries, None if n < 0 else n, digits=digits)
     if n < 0:
-        s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "clip_id")))
+        s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score" if digits is None else F.round("score", digits)), "clip_id")))
     return s.select("query_id", "rank", F.substring("clip_id", 1, 20).cast("long").alias("row_id"), F.expr("substring(clip_id, 21)").alias("clip_id"), "score")
 
 
@@ -105,9 +106,12 @@ def text_neighbours(vectors: DataFrame, texts: DataFrame, encoder: Encoder, n: i
 
 
 def clip_neighbours(vectors: DataFrame, clips: DataFrame, n: int = 2048, pool: DataFrame | None = None) -> DataFrame:
-    """(clip_id) -> row_neighbours of each clip's first row, at unit length, itself included; unknown clips have none."""
+    """(clip_id) -> row_neighbours of each clip's first row, at unit length, itself included; unknown clips have none.
+
+    Scores count to nine places, as making the query's length one moves the last bits.
+    """
     known = vectors.join(clips.select("clip_id"), "clip_id", "left_semi")
-    return row_neighbours(vectors, one_per_clip(known).withColumnRenamed("clip_id", "query_id"), n, pool)
+    return row_neighbours(vectors, one_per_clip(known).withColumnRenamed("clip_id", "query_id"), n, pool, 9)
 
 
 def search_rows(vectors: DataFrame, queries: Sequence[Sequence[float]], rows: int, pool: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import math
 
-from cliploom.operators import joins, windows
+from cliploom.operators import block_join, joins, vector_index, vector_search, windows
 from cliploom.sources import writers
 
 
@@ -46,3 +46,36 @@ def test_large_exports_are_whole(spark):
     a = spark.createDataFrame([("u", "p", "7", "k", None, -1.0, -1.0, "manual")], schema("annotations"))
     got = writers.search_export(c.select("clip_id"), c, a)
     assert got.count() == 10_001 and [r.key for r in got.filter("key is not null").collect()] == ["k"]
+
+
+def test_clips_by_scores_of_nine_places(spark):
+    """Rows whose scores differ beyond the ninth place go by row."""
+    v = spark.createDataFrame([(0, "q", [1.0, 0.0]), (1, "a", [0.5, 0.3]), (2, "b", [0.5 + 1e-11, 0.1]), (3, "c", [0.5 - 1e-11, 0.2])], "row_id long, clip_id string, vec array<double>")
+    for n in (-1, 3):
+        got = vector_search.clip_neighbours(v, spark.createDataFrame([("q",)], "clip_id string"), n).orderBy("rank").collect()
+        assert [r.row_id for r in got] == [0, 1, 2, 3][: n if n > 0 else 4]
+
+
+def test_all_pairs_in_small_blocks(spark, monkeypatch):
+    """Every pair once, in blocks of bounded size, without a merge by pairs; a clip of very many rows is dealt row by row."""
+    monkeypatch.setattr(block_join, "PAIR_ROWS", 8)
+    v = spark.range(60).selectExpr("id as row_id", "concat('c', id % 25) as clip_id", "array(id / 7.0D, (id * id) % 11 + 0.0D) as vec")
+    q = v.filter("row_id % 10 = 0").selectExpr("cast(row_id as string) as query_id", "vec")
+    rows = {r.row_id: r for r in v.collect()}
+    want = {(str(i), f"c{c}"): max(sum(a * b for a, b in zip(rows[i].vec, r.vec, strict=True)) for r in rows.values() if r.clip_id == f"c{c}") for i in range(0, 60, 10) for c in range(25)}
+    for most in (16_384, 2):
+        monkeypatch.setattr(block_join, "ROWS", most)
+        s = block_join.similarities(v, q)
+        got = {(r.query_id, r.clip_id): r.score for r in s.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and s.count() == len(want)
+        assert ("max(score" in s._jdf.queryExecution().toString()) == (most == 2)
+
+
+def test_index_judges_rows_where_they_are(spark, tmp_path):
+    """Whatever is judged again, a row's vector meets its slice's queries once: no join by query and row."""
+    v = spark.range(400).selectExpr("id as row_id", "concat('c', id % 150) as clip_id", "transform(sequence(0, 7), i -> cast(sin(id * (i + 1)) as float)) as vec")
+    q = v.filter("row_id % 40 = 0").selectExpr("cast(row_id as string) as query_id", "vec")
+    found = vector_index.build(v, str(tmp_path / "i"), cells=4, parts=4, rounds=3).search(q, 5, 4, 80)
+    exact = block_join.similarities(v, q, 5)
+    as_rows = lambda d: {(r.query_id, r["rank"]): (r.clip_id, round(r.score, 9)) for r in d.collect()}
+    assert as_rows(found) == as_rows(exact) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
