@@ -54,6 +54,12 @@ def _packed(df: DataFrame, key: str, path, pack) -> DataFrame:
     return df.groupBy(key).applyInPandas(make, "path string, content binary")
 
 
+def _parted(df: DataFrame, name: str, key: str, rows: int = 20_000) -> DataFrame:
+    """df with at: ``part/name``, a folder for so many rows in all, so that no file of a name holds more as a table grows."""
+    n = max(1, -(-df.count() // rows))
+    return df.withColumn("at", F.concat(F.pmod(F.xxhash64(key), F.lit(n)).cast("string"), F.lit("/"), name))
+
+
 def _npz(**arrays) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -97,7 +103,7 @@ def _tar(g, ending: str = "txt") -> bytes:
 def s11(spark, sf_dir, c):
     """The members of stored archives, by an index of their headers and ranges that several tasks read."""
     texts = c.groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("uid", "caption"))), lambda x: x["caption"]), " ").alias("text"))
-    f = _packed(texts.withColumn("src", F.concat(F.lit("src"), F.col("clip_id").cast("long") % 20)), "src", lambda k: f"{k}.tar", _tar)
+    f = _packed(_parted(texts.withColumn("src", F.concat(F.lit("src"), F.col("clip_id").cast("long") % 20)), "src", "clip_id"), "at", lambda k: f"{k}.tar", _tar)
     folder = workdir(spark, "archives")
     ranges.store(f, folder)
     m = ranges.contents(ranges.members(ranges.listed(spark, folder, "*.tar")), task_bytes=1 << 16)
@@ -110,7 +116,7 @@ def s23(spark, sf_dir, c):
     """Sidecars of all captions in stored archives, with the fields that are kept."""
     j = c.select(F.col("uid").cast("string").alias("clip_id"), F.to_json(F.struct("caption", "model_name", "start_time")).alias("text"), F.col("data_source").alias("src"))
     folder = workdir(spark, "sidecars")
-    ranges.store(_packed(j, "src", lambda k: f"{k}.tar", lambda g: _tar(g, "json")), folder)
+    ranges.store(_packed(_parted(j, "src", "clip_id"), "at", lambda k: f"{k}.tar", lambda g: _tar(g, "json")), folder)
     return archives.sidecars(spark, folder, "caption string, model_name string", "train", "*.tar")
 
 
@@ -128,7 +134,7 @@ def s08(spark, sf_dir, m):
         w = g.pivot(index="clip_id", columns="metric", values="value")
         return _npz(values=w.to_numpy(float), clip_ids=w.index.to_numpy(str), names=w.columns.to_numpy(str))
 
-    return tensors.metric_matrices(_packed(m, "model", lambda k: f"/m/{k}_metrics.npz", pack))
+    return tensors.metric_matrices(_packed(_parted(m, "model", "clip_id", 100_000), "at", lambda k: f"/m/{k}_metrics.npz", pack))
 
 
 @query("s09_predictions", "vectors", """SELECT row_id::STRING AS clip_id, 'm' || label AS model, kind, "window"::INT AS "window", sample::INT AS sample, round(vec[i]::DOUBLE, 5) AS x0, round(vec[i + 5]::DOUBLE, 5) AS y1 FROM vectors,
