@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, map_rows, materialize
+from .common import drop_scratch, map_rows, materialize, release
 from .substring import WordHashes, mix, run_hash
 
 SHINGLE = 5
@@ -334,30 +334,48 @@ def differences_in_common(x: DataFrame, percent: int) -> DataFrame:
     return _may_link(posted(far, "near_low"), posted(partner, "far_low"), ["hub", "e"])
 
 
+def comparable(docs: DataFrame, classes: DataFrame, percent: int, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """posts (token, c, own, rep, n), sets (c, n, s) and sigs (c, n, sig) of the classes (c, key, rep, n, sig) within reach of a link: no others go through the joins that confirm links."""
+    spark = docs.sparkSession
+    found = None if exact else materialize(prefix_posts(classes, percent), "posts")
+    release(spark)
+    # one row of each posted class brings its set
+    reps = (classes if exact else classes.join(found.select("c").distinct(), "c", "left_semi")).select("c", "key", "n", F.col("rep").alias("doc_id"))
+    brought = docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi")
+    sets = shingle_sets(brought).groupBy(F.col("c").alias("key")).agg(F.first("s").alias("s"))
+    every = materialize(sets.join(reps.select("c", "key", "n"), "key").select("c", "n", "s"), "sets")
+    release(spark)
+    if exact:
+        found = materialize(exact_posts(every, percent), "posts")
+        release(spark)
+    near = materialize(within_reach(every, percent), "reach")
+    posts = materialize(found.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
+    sets = materialize(every.join(near, "c", "left_semi"), "sets")
+    sigs = materialize(classes.join(near, "c", "left_semi").select("c", "n", "sig"), "sigs")
+    for done in (found, every, near):
+        drop_scratch(done)
+    release(spark)
+    return posts, sets, sigs
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and c: the class of equal sets (null where nothing can be linked).
 
     Links are pairs of a similarity of ``percent`` or more: all but a few in a million right at the threshold, or all if ``exact``.
     """
+    spark = docs.sparkSession
     rows = materialize(signatures(docs), "signatures")
-    classes = materialize(
-        rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
-    )
-    found = None if exact else materialize(prefix_posts(classes, percent), "posts")
-    # one row of each posted class brings its set
-    reps = (classes if exact else classes.join(found.select("c").distinct(), "c", "left_semi")).select("c", "n", F.col("rep").alias("doc_id"))
-    brought = docs.select("doc_id", "text").join(reps.select("doc_id"), "doc_id", "left_semi")
-    sets = shingle_sets(brought).groupBy("c").agg(F.first("s").alias("s"))
-    sets = materialize(sets.join(reps.select("c", "n"), "c"), "sets")
-    if exact:
-        found = materialize(exact_posts(sets, percent), "posts")
-    near = materialize(within_reach(sets, percent), "reach")
-    posts = materialize(found.join(near, "c").join(classes.select("c", "rep", "n"), "c"), "posts")
-    sigs = classes.join(near, "c", "left_semi").select("c", "n", "sig")
+    # a written number stands for a class from here on, as digests make up most of what is shuffled
+    classes = rows.filter("c is not null").groupBy(F.col("c").alias("key")).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    release(spark)
+    posts, sets, sigs = comparable(docs, classes, percent, exact)
     least = 0 if exact else least_matches(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialize(confirm(pairs, sigs, sets, percent, least), "links")
+        links = materialize(confirm(pairs, sigs, sets, percent, least), "links")
+        release(spark)
+        return links
 
     hubs = posts.groupBy("token").agg(F.min_by("c", F.struct("own", "rep")).alias("hub"))
     star = posts.join(hubs, "token").filter("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
@@ -375,10 +393,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, exact: bool = False
     more = confirmed(rest)
     label = label if not more.limit(1).count() else _joined(label, more)
 
-    home = classes.select("c", "rep").join(label, "c", "left")
+    home = classes.select("c", "key", "rep").join(label, "c", "left")
     linked = home.filter("label is not null").groupBy("label").agg(F.min("rep").alias("component_id"))
-    home = materialize(home.join(linked, "label", "left").select("c", F.coalesce("component_id", "rep").alias("component_id")), "home")
-    for done in (classes, found, sets, near, posts, links, more, label):
+    home = materialize(home.join(linked, "label", "left").select(F.col("key").alias("c"), F.coalesce("component_id", "rep").alias("component_id")), "home")
+    for done in (classes, sets, sigs, posts, links, more, label):
         drop_scratch(done)
     out = rows.select("doc_id", "n", "c").join(home, "c", "left")
     # an empty set is a component of its own
