@@ -154,16 +154,22 @@ def highest_coverage(captions: DataFrame) -> DataFrame:
     return captions.groupBy("model_name").agg(F.countDistinct("clip_id").alias("n")).orderBy(F.desc("n"), "model_name").limit(1)
 
 
+#: Documents of a task that counts terms.
+TERM_DOCS = 1000
+
+
 def term_weights(docs: DataFrame, text: str = "caption", least_df: int = 3, most_df: float = 0.6, features: int = 20_000) -> DataFrame:
     """(clip_id, text) -> clip_id, term, w: TF-IDF of one- and two-word terms.
 
     Sublinear counts 1 + ln tf, smoothed idf ln((1 + n) / (1 + df)) + 1, rows of unit length. With
     fewer than ten documents, any df will do. Of too many terms the most frequent ones stay.
     """
+    n = docs.select("clip_id").distinct().count()
+    # so many documents a task, else one that got many holds the terms of all of them at once
+    docs = docs.repartition(max(1, -(-n // TERM_DOCS)), "clip_id")
     t = docs.select("clip_id", F.filter(F.split(clean_caption(F.col(text)), " "), lambda w: F.length(w) > 1).alias("t"))
     pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(1))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
     tf = t.select("clip_id", F.explode(F.concat("t", F.coalesce(pairs, F.array().cast("array<string>")))).alias("term")).groupBy("clip_id", "term").agg(F.count("*").alias("tf"))
-    n = docs.select("clip_id").distinct().count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     if n >= 10:
         df = df.filter((F.col("df") >= least_df) & (F.col("df") <= most_df * n))
