@@ -195,9 +195,10 @@ def s16(spark, sf_dir, a):
     """Two folders of files; of videos in both, the later folder's entries count."""
     path = workdir(spark, "labels")
     entry = F.struct(F.col("k").cast("string").alias("folder"), F.col("start_time").cast("int").alias("first_frame"), F.col("end_time").cast("int").alias("last_frame"), F.col("cmd"), F.lit("x").alias("blip"))
-    one = lambda d, cmd: d.withColumn("cmd", F.lit(cmd)).groupBy("k").agg(F.to_json(F.collect_list(entry)).alias("value"))
-    one(a, 0).write.partitionBy("k").text(f"{path}/a")
-    one(a.filter("k % 3 > 0"), 1).write.partitionBy("k").text(f"{path}/b")
+    a = _parted(a.withColumn("name", F.lit("labels")), "name", "k")  # a file holds many videos, so that files don't grow in number with videos
+    one = lambda d, cmd: d.withColumn("cmd", F.lit(cmd)).groupBy("at").agg(F.to_json(F.collect_list(entry)).alias("value"))
+    one(a, 0).write.partitionBy("at").text(f"{path}/a")
+    one(a.filter("k % 3 > 0"), 1).write.partitionBy("at").text(f"{path}/b")
     return readers.label_files(spark, path).groupBy("video_id").agg(F.count("*").alias("n"), F.max("cmd").alias("cmd"))
 
 

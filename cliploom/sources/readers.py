@@ -104,7 +104,7 @@ def messy_csv(spark: SparkSession, path: str, columns: dict[str, str], integers:
 
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Frame entries of per-video JSON files: video_id, first_frame, last_frame, cmd, blip; of a video in several files the last by name."""
+    """Frame entries of JSON files of one or more videos: video_id, first_frame, last_frame, cmd, blip; of a video in several files the last by name."""
     r = spark.read.schema("folder string, first_frame int, last_frame int, cmd int, blip string").option("multiLine", True).option("recursiveFileLookup", True).json(path)
     r = r.select(F.col("folder").alias("video_id"), "first_frame", "last_frame", "cmd", "blip", F.col("_metadata.file_path").alias("f"))
     last = r.groupBy("video_id").agg(F.max("f").alias("f"))

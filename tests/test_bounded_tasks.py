@@ -1,6 +1,10 @@
 """Tasks and files stay bounded as a table grows."""
 
+import os
+
 from cliploom.operators import clusters
+from cliploom.queries import io as q
+from cliploom.queries.base import QUERIES
 
 
 def test_term_weights_count_so_many_documents_a_task(spark, monkeypatch):
@@ -10,3 +14,11 @@ def test_term_weights_count_so_many_documents_a_task(spark, monkeypatch):
     w = clusters.term_weights(d)
     assert sorted(map(tuple, w.collect())) == want and want
     assert "hashpartitioning(clip_id" in (plan := w._jdf.queryExecution().toString()) and ", 8), REPARTITION_BY_NUM" in plan
+
+
+def test_label_files_hold_many_videos(spark, monkeypatch):
+    seen, read = [], q.readers.label_files
+    monkeypatch.setattr(q.readers, "label_files", lambda s, path: seen.append(path) or read(s, path))
+    got = QUERIES["s16_label_files"](spark, "/root/testdata/sf0.001").collect()
+    folder = seen[0].removeprefix("file:")
+    assert len(got) > 10 and sum(f.endswith(".txt") for _, _, fs in os.walk(folder) for f in fs) == 2
