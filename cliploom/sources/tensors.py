@@ -138,10 +138,14 @@ def pose_tables(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for clip, poses, stamps in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                p, t = np.frombuffer(poses, "<f8").reshape(-1, 16), np.frombuffer(stamps, "<i8")
+            for i in range(b.num_rows):  # one clip at a time, and its arrays are read where the batch has them
+                clip = b.column(0)[i].as_py()
+                p, t = np.frombuffer(b.column(1)[i].as_buffer(), "<f8").reshape(-1, 16), np.frombuffer(b.column(2)[i].as_buffer(), "<i8")
                 if len(p) != len(t):
                     raise ValueError(f"{clip}: {len(p)} poses and {len(t)} timestamps")
-                yield pa.RecordBatch.from_arrays([pa.array([clip] * len(t)), pa.array(t), pa.array(list(p), pa.list_(pa.float64()))], ["clip_id", "timestamp_us", "pose"])
+                for at in range(0, len(t), ROWS):
+                    n = len(t[at : at + ROWS])
+                    pose = pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.array(p[at : at + ROWS].ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([clip] * n, pa.string()), pa.array(t[at : at + ROWS]), pose], ["clip_id", "timestamp_us", "pose"])
 
     return both.select("clip_id", "poses", "stamps").mapInArrow(run, "clip_id string, timestamp_us bigint, pose array<double>")

@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
+
 from cliploom.operators import clusters
 from cliploom.queries import io as q
 from cliploom.queries.base import QUERIES
+from cliploom.sources import tensors
 
 
 def test_term_weights_count_so_many_documents_a_task(spark, monkeypatch):
@@ -22,3 +25,12 @@ def test_label_files_hold_many_videos(spark, monkeypatch):
     got = QUERIES["s16_label_files"](spark, "/root/testdata/sf0.001").collect()
     folder = seen[0].removeprefix("file:")
     assert len(got) > 10 and sum(f.endswith(".txt") for _, _, fs in os.walk(folder) for f in fs) == 2
+
+
+def test_poses_of_long_clips(spark):
+    r = np.random.default_rng(3)
+    p = {"a": r.normal(size=(2500, 16)), "b": r.normal(size=(1, 16)), "c": np.zeros((0, 16))}
+    rows = [(k, f"x.{e}", bytearray(v)) for k, x in p.items() for e, v in (("poses", x.astype("<f8").tobytes()), ("stamps", np.arange(len(x), dtype="<i8").tobytes()))]
+    got = tensors.pose_tables(spark.createDataFrame(rows, "clip_id string, member string, content binary")).collect()
+    assert sorted((x.clip_id, x.timestamp_us) for x in got) == [("a", i) for i in range(2500)] + [("b", 0)]
+    assert all(np.array_equal(x.pose, p[x.clip_id][x.timestamp_us]) for x in got)
