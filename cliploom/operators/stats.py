@@ -11,6 +11,20 @@ from ..functions.scalars import word_count
 from .joins import explode_membership, overlapped
 
 
+#: Rows of a task that groups rows by a key.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """df dealt by keys to so many tasks that none groups more than TASK_ROWS on average; left as it is if the session has as many.
+
+    For keys of few rows each, as rows travel before they are merged. rows: how many df has at most; counted if not given.
+    """
+    n, s = -(-(df.count() if rows is None else rows) // TASK_ROWS), df.sparkSession
+    # small partitions of a session are merged until there are about as many as cores
+    return df.repartition(n, *keys) if n > min(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism) else df
+
+
 def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
@@ -100,10 +114,10 @@ def reduce_metrics(metrics: DataFrame, reduction: str, clips: DataFrame | None =
     return m.groupBy("model", "metric").agg(REDUCTIONS[reduction](v).alias("value"), F.countDistinct("clip_id").alias("num_clips"))
 
 
-def metric_matrix(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
-    """model, clip_id and a column per metric; NaN becomes null."""
+def metric_matrix(metrics: DataFrame, names: Sequence[str], rows: int | None = None) -> DataFrame:
+    """model, clip_id and a column per metric; NaN becomes null. rows: how many metrics has at most; counted if not given."""
     v = F.when(~F.isnan("value"), F.col("value"))
-    return metrics.groupBy("model", "clip_id").agg(*[F.max(F.when(F.col("metric") == n, v)).alias(n) for n in names])
+    return spread(metrics, "model", "clip_id", rows=rows).groupBy("model", "clip_id").agg(*[F.max(F.when(F.col("metric") == n, v)).alias(n) for n in names])
 
 
 def metric_series(series: DataFrame, origin: str = "origin_time") -> DataFrame:

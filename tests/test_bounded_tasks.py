@@ -3,10 +3,11 @@
 import os
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cliploom.operators import clusters
+from cliploom.operators import clusters, stats
 from cliploom.queries import io as q
-from cliploom.queries.base import QUERIES
+from cliploom.queries.base import QUERIES, standin
 from cliploom.sources import tensors
 
 
@@ -34,3 +35,33 @@ def test_poses_of_long_clips(spark):
     got = tensors.pose_tables(spark.createDataFrame(rows, "clip_id string, member string, content binary")).collect()
     assert sorted((x.clip_id, x.timestamp_us) for x in got) == [("a", i) for i in range(2500)] + [("b", 0)]
     assert all(np.array_equal(x.pose, p[x.clip_id][x.timestamp_us]) for x in got)
+
+
+def _most_rows(df):
+    """Rows of the task that returns most."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_metric_matrix_groups_so_many_rows_a_task(spark, monkeypatch):
+    rows = [(f"m{i % 2}", f"c{i // 2}" if i else None, k, (float("nan") if i % 7 == 0 else None if i % 5 == 0 else float(i * (k == "a") - i * (k == "b")))) for i in range(600) for k in ("a", "b", "other")]
+    want = {(m, c): [None, None] for m, c, _, _ in rows}
+    for m, c, k, v in rows:
+        if k != "other" and v is not None and v == v:
+            want[m, c]["ab".index(k)] = v
+    monkeypatch.setattr(stats, "TASK_ROWS", 100)
+    d = spark.createDataFrame(rows, "model string, clip_id string, metric string, value double")
+    for given in (None, 2 * len(rows)):
+        got = stats.metric_matrix(d, ["a", "b"], given)
+        assert _most_rows(got) <= 100
+        got = got.collect()
+        assert len(got) == 600 and {(x.model, x.clip_id): [x.a, x.b] for x in got} == want
+
+
+def test_metrics_of_orders_are_grouped_so_many_rows_a_task(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    run = lambda: sorted(map(tuple, QUERIES["a15_metric_matrix"](spark, sf).collect()), key=str)
+    want, before = run(), sorted(map(tuple, standin(spark, sf, "metrics").collect()))
+    monkeypatch.setattr(stats, "TASK_ROWS", 500)
+    m = standin(spark, sf, "metrics")
+    assert _most_rows(m) <= 500 and sorted(map(tuple, m.collect())) == before
+    assert _most_rows(QUERIES["a15_metric_matrix"](spark, sf)) <= 500 and run() == want and len(want) > 1000
