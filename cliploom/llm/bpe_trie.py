@@ -25,13 +25,15 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import kept, map_rows
 
 DEFAULT_FILE = "word_bpe_49k.json"
-#: Bytes of keys and encodings that a worker keeps, about, in each of two generations.
-CACHE_BYTES = 64 << 20
+#: Bytes of words and encodings that a worker keeps, about.
+CACHE_BYTES = 16 << 20
 #: Entries of each of the trie's tables; a full one is begun anew.
 TABLE_ENTRIES = 1_000_000
 
@@ -102,6 +104,8 @@ class Splitter:
 
     Texts of Latin-1 characters, which normalizing only lower-cases, go through a pattern; others through the
     library's normalizer and splitter, so that character classes are the library's own.
+
+    Neither looks across white space, so parts of a text between white space can be split on their own (``parts``).
     """
 
     def __init__(self, path: str):
@@ -110,6 +114,9 @@ class Splitter:
         self.special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.sign = os.path.commonprefix(list(self.special))
+        #: Whether white space cuts special tokens, so that texts must be split whole.
+        self.whole = any(x.split() != [x] for x in self.special)
+        self.odd = "|".join(["[^\\x00-\\xff]", *map(re.escape, self.special)])
 
     def __call__(self, text: str | None) -> list[str]:
         """Words after normalizing; special tokens whole."""
@@ -123,6 +130,17 @@ class Splitter:
             at = m.end()
         return out + self._plain(text[at:])
 
+    def parts(self, parts: pa.Array) -> pa.Array:
+        """Lists of the words of texts without ASCII white space; they hold empty strings, too, which are none.
+
+        Those without special tokens and characters beyond Latin-1 are split by Arrow, all at once.
+        """
+        low = pc.replace_substring(pc.replace_substring(pc.utf8_lower(parts), "\x85", " "), "\xa0", " ")
+        words, odd = pc.replace_substring_regex(low, _LATIN.pattern, "\\0 "), pc.match_substring_regex(parts, self.odd)
+        if pc.any(odd).as_py():
+            words = pc.replace_with_mask(words, odd, pa.array([" ".join(self(p)) for p in parts.filter(odd).to_pylist()], parts.type))
+        return pc.ascii_split_whitespace(words)
+
     def _plain(self, part: str) -> list[str]:
         if part.isascii():
             return _ASCII.findall(part.lower())
@@ -288,7 +306,7 @@ class TrieBPE:
             before = s
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def encode_pieces(self, pieces: list[str]) -> pa.Array:
         """Ids of distinct words, packed as little-endian unsigned 32-bit integers."""
         symbols = {}
         for p in pieces:
@@ -296,7 +314,7 @@ class TrieBPE:
                 s = p if p.isascii() else p.encode().decode("latin-1")
                 symbols[p] = s[:-1] + chr(ord(s[-1]) + 256)
         coded = self.encode_words(list(symbols.values()))
-        return {p: coded[symbols[p]] if p in symbols else pack([self.special[p]]) for p in pieces}
+        return pa.array([coded[symbols[p]] if p in symbols else pack([self.special[p]]) for p in pieces], pa.large_binary())
 
     def decode(self, ids: list[int]) -> bytes:
         """The library's decode for a tokenizer file without a decoder: token strings joined by spaces."""
@@ -310,35 +328,58 @@ def encoder(path: str) -> TrieBPE:
 
 
 class Kept:
-    """Values by key in two generations, each of about ``most`` bytes: what a generation didn't use is forgotten."""
+    """Values by word as Arrow arrays of about ``most`` bytes; when they hold more, only those last asked for stay."""
 
-    def __init__(self, make: Callable[[list], dict], most: int):
-        self.make, self.most, self.young, self.old, self.size = make, most, {}, {}, 0
+    def __init__(self, make: Callable[[list[str]], pa.Array], most: int):
+        self.make, self.most = make, most
+        self.words, self.values = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
 
-    def of(self, keys: set) -> Callable:
-        """Get the values of these keys, making those that are missing."""
-        need = keys - self.young.keys()
-        if need and self.size > self.most:
-            self.old, self.young, self.size, need = self.young, {}, 0, keys
-        if need:
-            found = {k: self.old[k] for k in need & self.old.keys()} if self.old else {}
-            found |= self.make(list(need - found.keys()))
-            self.young |= found
-            self.size += sum(map(len, found)) + sum(map(len, found.values())) + 200 * len(found)
-        return self.young.__getitem__
+    def of(self, words: pa.Array) -> pa.Array:
+        """The values of distinct words, the empty string among them, making those that are missing."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().copy()
+        if (new := at < 0).any():
+            at[new] = np.arange(len(self.words), len(self.words) + new.sum())
+            names = words.filter(pa.array(new))
+            self.words = pa.concat_arrays([self.words, names])
+            self.values = pa.concat_arrays([self.values, self.make(names.to_numpy(zero_copy_only=False).tolist())])
+        values = self.values.take(pa.array(at))
+        if self.words.nbytes + self.values.nbytes > self.most:
+            self.words, self.values = words, values
+        return values
+
+
+def _joined(values: pa.Array, places: pa.Array, offsets: np.ndarray) -> pa.Array:
+    """The values at the places between offsets that follow one another, as one value."""
+    taken = values.take(places)
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[offsets]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends), taken.buffers()[2]])
 
 
 class TextEncoder:
-    """Packed ids of texts, from encodings of their words."""
+    """Packed ids of texts, from encodings of their words.
+
+    Only the distinct parts (between white space) of the texts at hand are split into words, and Python sees only words
+    that aren't kept; the rest is done on Arrow arrays.
+    """
 
-    def __init__(self, split: Callable[[str | None], list[str]], encode: Callable[[list[str]], dict[str, bytes]], most: int = CACHE_BYTES):
+    def __init__(self, split: Splitter, encode: Callable[[list[str]], pa.Array], most: int = CACHE_BYTES):
         self.split, self.words = split, Kept(encode, most)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [self.split(t) for t in texts]
-        get = self.words.of(set().union(*split))
-        for words in split:
-            yield b"".join(map(get, words))
+        if self.split.whole:
+            lists = pa.array([["", *self.split(t)] for t in texts], pa.list_(pa.large_string()))
+        else:
+            lists = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        if not len(lists):
+            return
+        parts = lists.flatten().dictionary_encode()
+        if self.split.whole:
+            coded = self.words.of(parts.dictionary)
+        else:
+            split = self.split.parts(parts.dictionary)
+            words = split.flatten().dictionary_encode()
+            coded = _joined(self.words.of(words.dictionary), words.indices, split.offsets.to_numpy())
+        yield from _joined(coded, parts.indices, lists.offsets.to_numpy()).to_pylist()
 
 
 @kept

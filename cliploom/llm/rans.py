@@ -24,9 +24,10 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import normalizers
+from tokenizers import normalizers, pre_tokenizers
 
 from .bpe_trie import DEFAULT_FILE, Splitter, TextEncoder, drops_spaces, library, tokenizer_path
 from .common import drop_scratch, kept, map_rows, materialize, scratch
@@ -142,7 +143,7 @@ def library_encoder(path: str, code: str) -> Callable[[list[str | None]], Iterab
 
     Where the file's words end at white space, each word is encoded once by a worker process, and joined
     encodings of words are the encoding of the text; with other files texts are encoded whole. Words go to
-    the library many at a time, between spaces; as they are normalized already, it needn't do so again, and
+    the library many at a time, between spaces; as they are normalized and split already, it needn't do so again, and
     a word's ids end at the token that has the mark of a word's end.
     """
     t = library(path)
@@ -159,19 +160,21 @@ def library_encoder(path: str, code: str) -> Callable[[list[str | None]], Iterab
     ends = np.zeros(t.get_vocab_size(), bool)
     ends[[i for w, i in t.get_vocab().items() if w.endswith(mark) or i in added]] = True
     t.normalizer = normalizers.Sequence([])
+    t.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    ])
     width = struct.calcsize(f"<{code}")
 
-    def encode(words: list[str]) -> dict[str, bytes]:
-        groups = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
-        out = {}
-        for group, e in zip(groups, t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, f"<u{width}")
-            stop = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(stop) != len(group):
-                raise ValueError("a word was split")
-            data = ids.tobytes()
-            out |= {w: data[a * width : b * width] for w, a, b in zip(group, [0, *stop], stop, strict=False)}
-        return out
+    def encode(words: list[str]) -> pa.Array:
+        groups, ids = range(0, len(words), WORDS_AT_ONCE), []
+        for e in t.encode_batch_fast([" ".join(words[i : i + WORDS_AT_ONCE]) for i in groups], add_special_tokens=False):
+            ids.append(np.array(e.ids, f"<u{width}"))
+        ids = np.concatenate(ids)
+        stop = np.flatnonzero(ends[ids]) + 1
+        if len(stop) != len(words) or stop[-1] != len(ids):
+            raise ValueError("a word was split")
+        offsets = pa.py_buffer(np.concatenate([[0], stop * width]))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, offsets, pa.py_buffer(ids)])
 
     return TextEncoder(Splitter(path), encode)
 

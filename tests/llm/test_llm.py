@@ -1,4 +1,5 @@
 import hashlib
+import json
 import os
 import random
 import sys
@@ -242,6 +243,42 @@ def test_code_points():
     assert [np.frombuffer(x, "<u2").tolist() for x in rans.library_encoder(bpe_trie.tokenizer_path(), "H")(texts)] == want
 
 
+def test_words_leave_python():
+    """Python splits only what has special tokens or characters beyond Latin-1; the rest is as the library has it, too."""
+    rng, t = random.Random(3), bpe_trie.library(bpe_trie.tokenizer_path())
+    some = [*map(chr, range(256)), *"'sst  \n\t" * 9, "<|endoftext|>", "<|endof", "<|ENDOFTEXT|>", "\u0301", "\u3000", "\u2028", "Σ", "İ", "字"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 50))) for _ in range(3000)] + [None, "", " ", "\xa0", "\x85", "a \u0301b", "a\x1cb\x1f"]
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for encode, kind in ((bpe_trie.trie_encoder(bpe_trie.tokenizer_path()), "<u4"), (rans.library_encoder(bpe_trie.tokenizer_path(), "H"), "<u2")):
+        assert [np.frombuffer(x, kind).tolist() for x in encode(texts)] == want
+        assert list(encode([])) == []
+
+    class Counting(bpe_trie.Splitter):
+        seen: list = []
+
+        def __call__(self, text):
+            self.seen.append(text)
+            return super().__call__(text)
+
+    bpe = bpe_trie.encoder(bpe_trie.tokenizer_path())
+    encode = bpe_trie.TextEncoder(Counting(bpe_trie.tokenizer_path()), bpe.encode_pieces)
+    texts = ["It's plain, isn't it? Übergröße 12\xa0%", "plain and 字, plain again", "a<|endoftext|>b plain"] * 3
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want
+    assert sorted(Counting.seen) == ["a<|endoftext|>b", "字,"]  # 9 whole texts, before
+
+
+def test_special_tokens_with_spaces(tmp_path):
+    """A tokenizer file whose special tokens white space would cut: texts are split whole."""
+    with open(bpe_trie.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"][-1]["content"] = "<|end of text|>"
+    (path := tmp_path / "spaced.json").write_text(json.dumps(spec), encoding="utf-8")
+    t, texts = bpe_trie.library(str(path)), ["a b<|end of text|>c", "", None, "<|end of text", "plain text", "a b<|end of text|>c"]
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe_trie.trie_encoder(str(path))(texts)] == want
+
+
 def test_other_tokenizer_files(spark, docs, corpus):
     """op4 refuses files of another kind; op8 encodes texts whole with them."""
     with pytest.raises(ValueError, match="word ends"):
