@@ -159,7 +159,7 @@ def gradients(df: DataFrame, keys: list[str], time: str, value: str, out: str, t
     vp, vn, tp, tn = F.lag(value).over(by), F.lead(value).over(by), F.lag(time).over(by), F.lead(time).over(by)
     hp, hn = t - tp, tn - t
     mid = _ratio(hp * hp * vn + (hn * hn - hp * hp) * v - hn * hn * vp, hp * hn * (hp + hn))
-    return df.withColumn(out, F.when(vp.isNull(), _ratio(vn - v, hn)).when(vn.isNull(), _ratio(v - vp, hp)).otherwise(mid))
+    return df.withColumn(out, F.when(hp.isNull(), _ratio(vn - v, hn)).when(hn.isNull(), _ratio(v - vp, hp)).otherwise(mid))
 
 
 def savitzky_golay(df: DataFrame, keys: list[str], time: str, value: str, out: str, window: int = 11, order: int = 3) -> DataFrame:

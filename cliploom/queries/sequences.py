@@ -118,7 +118,7 @@ def a26(spark, sf_dir, t):
 @query("w10_gradient", "ticks", """SELECT event_id, round(CASE WHEN hp IS NULL THEN (vn - v) / hn WHEN hn IS NULL THEN (v - vp) / hp ELSE (hp * hp * vn + (hn * hn - hp * hp) * v - hn * hn * vp) / (hp * hn * (hp + hn)) END, 6) AS dv FROM (
   SELECT event_id, v, lag(v) OVER w AS vp, lead(v) OVER w AS vn, (t - lag(t) OVER w)::DOUBLE AS hp, (lead(t) OVER w - t)::DOUBLE AS hn FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY t))""")
 def w10(spark, sf_dir, t):
-    return windows.gradients(t.withColumn("t", F.col("t").cast("double")), ["user_id"], "t", "v", "dv", ["event_id"]).select("event_id", F.round("dv", 6).alias("dv"))
+    return windows.gradients(t.withColumn("t", F.col("t").cast("double")), ["user_id"], "t", "v", "dv", ["event_id"]).select("event_id", (F.round(F.col("dv") * 1e6) / 1e6).alias("dv"))  # as SQL rounds: the product, not the digits
 
 
 @query("w10_savitzky_golay", "ticks")
